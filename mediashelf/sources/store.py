@@ -1,0 +1,237 @@
+"""Stored tables as versioned Parquet folders.
+
+A version is one small manifest that lists, for every table and hash bucket, the folders
+holding its rows.  A batch writes new folders, only for the buckets it touches, and then
+publishes the next manifest; readers see all of a batch or nothing.  Published folders are
+never changed, so running readers are safe and a lost executor can read its input again.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediashelf.schemas import NAME_TYPES, TABLES
+
+
+class VersionConflict(Exception):
+    """Another writer published first; the batch has to be computed again."""
+
+
+@dataclass
+class BucketFiles:
+    folders: list[str]
+    rows: int
+
+
+@dataclass
+class TableState:
+    buckets: dict[int, BucketFiles] = field(default_factory=dict)
+    max_id: int = 0
+
+    @property
+    def rows(self) -> int:
+        return sum(files.rows for files in self.buckets.values())
+
+
+@dataclass
+class Manifest:
+    version: int
+    bucket_count: int
+    tables: dict[str, TableState]
+    batches: dict[str, int]
+
+    def to_json(self) -> str:
+        tables = {
+            name: {
+                "max_id": state.max_id,
+                "buckets": {str(b): [f.folders, f.rows] for b, f in state.buckets.items()},
+            }
+            for name, state in self.tables.items()
+        }
+        return json.dumps({
+            "version": self.version, "bucket_count": self.bucket_count,
+            "batches": self.batches, "tables": tables,
+        })
+
+    @classmethod
+    def from_json(cls, text: str) -> Manifest:
+        raw = json.loads(text)
+        tables = {
+            name: TableState(
+                {int(b): BucketFiles(*files) for b, files in t["buckets"].items()}, t["max_id"])
+            for name, t in raw["tables"].items()
+        }
+        return cls(raw["version"], raw["bucket_count"], tables, raw["batches"])
+
+
+class Store:
+    """A folder of versioned tables, on any file system Spark can reach."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    # -- versions ------------------------------------------------------------------
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, buckets: int = 8) -> Store:
+        """A new store with the seed name types; ``buckets`` fixes how finely tables are split.
+
+        A batch rewrites whole buckets of the tables it updates, so large tables want
+        thousands of buckets.
+        """
+        store = cls(spark, root)
+        empty = Manifest(0, buckets, {name: TableState() for name in TABLES}, {})
+        commit = Commit(store, empty)
+        seed = [("nametype", i + 1, name) for i, name in enumerate(NAME_TYPES)]
+        commit.append("name", spark.createDataFrame(seed, TABLES["name"].ddl))
+        commit.publish()
+        return store
+
+    def _path(self, *parts: str):
+        jvm = self.spark._jvm
+        return jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+
+    def _file_system(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> Manifest:
+        """The latest published version."""
+        fs = self._file_system()
+        names = [s.getPath().getName() for s in fs.listStatus(self._path("_versions"))]
+        latest = max(n for n in names if n.endswith(".json") and not n.startswith("."))
+        stream = fs.open(self._path("_versions", latest))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return Manifest.from_json(text)
+
+    def publish(self, manifest: Manifest) -> None:
+        """Makes ``manifest`` the next version, or fails if that version exists already."""
+        jvm = self.spark._jvm
+        fs = self._file_system()
+        fs.mkdirs(self._path("_versions"))
+        draft = self._path("_versions", f".{uuid.uuid4().hex}.tmp")
+        stream = fs.create(draft, False)
+        try:
+            stream.write(bytearray(manifest.to_json().encode("utf-8")))
+        finally:
+            stream.close()
+        final = self._path("_versions", f"{manifest.version:012d}.json")
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        no_options = self.spark.sparkContext._gateway.new_array(rename, 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            draft.toUri() if draft.toUri().getScheme() else fs.getUri(),
+            self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, final, no_options)
+        except Exception as error:
+            if "FileAlreadyExists" in str(error):
+                raise VersionConflict(f"version {manifest.version} exists") from error
+            raise
+
+    # -- reading -------------------------------------------------------------------
+
+    def read(self, name: str, buckets: list[int] | None = None,
+             manifest: Manifest | None = None) -> DataFrame:
+        """A table, or only some of its buckets, of the given or the latest version."""
+        manifest = manifest or self.manifest()
+        files = manifest.tables[name].buckets
+        chosen = files.values() if buckets is None else [files[b] for b in buckets if b in files]
+        folders = [folder for bucket in chosen for folder in bucket.folders]
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[name].ddl)
+        return self.spark.read.schema(TABLES[name].ddl).parquet(*folders)
+
+    def compact(self, folders_per_bucket: int = 16) -> None:
+        """Rewrites buckets that appends have spread over many folders."""
+        commit = Commit(self, self.manifest())
+        for name, state in commit.base.tables.items():
+            worn = [b for b, f in state.buckets.items() if len(f.folders) > folders_per_bucket]
+            if worn:
+                commit.replace(name, commit.read(name, worn), worn)
+        commit.publish()
+
+
+class Commit:
+    """The tables written by one batch on top of one version."""
+
+    def __init__(self, store: Store, base: Manifest):
+        self.store = store
+        self.spark = store.spark
+        self.base = base
+        self.id = uuid.uuid4().hex
+        self.next = Manifest.from_json(base.to_json())
+        self.next.version = base.version + 1
+
+    def bucket_of(self, name: str) -> Column:
+        """Bucket number of a row, from the table's bucketing column in its stored type."""
+        table = TABLES[name]
+        key = F.col(table.bucket_by).cast(table.type_of(table.bucket_by))
+        return F.pmod(F.xxhash64(key), F.lit(self.base.bucket_count)).cast("int")
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table as this commit has left it so far."""
+        return self.store.read(name, buckets, self.next)
+
+    def state(self, name: str) -> TableState:
+        return self.next.tables[name]
+
+    def stage(self, frame: DataFrame, label: str) -> DataFrame:
+        """Writes an intermediate result once, beside the tables, and reads it back."""
+        path = f"{self.store.root}/_stage/{self.id}/{label}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def touched(self, name: str, keys: DataFrame) -> list[int]:
+        """Buckets of a table that hold any of the keys; at most one number per bucket."""
+        if not self.state(name).buckets:
+            return []
+        distinct = keys.select(self.bucket_of(name).alias("bucket")).distinct()
+        return [row.bucket for row in distinct.collect()]
+
+    def _write(self, name: str, frame: DataFrame) -> dict[int, BucketFiles]:
+        table = TABLES[name]
+        folder = f"{self.store.root}/{name}/{self.id}-{uuid.uuid4().hex[:8]}"
+        (
+            frame.select(*table.columns, self.bucket_of(name).alias("bucket"))
+            .hint("rebalance", "bucket")
+            .write.partitionBy("bucket").parquet(folder)
+        )
+        measures = [F.count(F.lit(1)).alias("rows")]
+        if table.surrogate:
+            measures.append(F.max(table.surrogate).alias("max_id"))
+        found = (
+            self.spark.read.schema(f"{table.ddl}, bucket int").parquet(folder)
+            .groupBy("bucket").agg(*measures).collect()
+        )
+        if table.surrogate:
+            state = self.state(name)
+            state.max_id = max([state.max_id, *[row.max_id for row in found]])
+        return {row.bucket: BucketFiles([f"{folder}/bucket={row.bucket}"], row.rows) for row in found}
+
+    def append(self, name: str, frame: DataFrame) -> None:
+        """Adds rows; stored folders stay as they are."""
+        state = self.state(name)
+        for bucket, files in self._write(name, frame).items():
+            old = state.buckets.get(bucket, BucketFiles([], 0))
+            state.buckets[bucket] = BucketFiles(old.folders + files.folders, old.rows + files.rows)
+
+    def replace(self, name: str, frame: DataFrame, buckets: list[int]) -> None:
+        """Puts ``frame`` in place of everything stored in ``buckets``; other buckets stay."""
+        state = self.state(name)
+        written = self._write(name, frame)
+        for bucket in buckets:
+            state.buckets.pop(bucket, None)
+        state.buckets.update(written)
+
+    def publish(self, stream: str | None = None, batch_id: int | None = None) -> None:
+        if stream is not None:
+            self.next.batches[stream] = batch_id
+        self.store.publish(self.next)
