@@ -26,7 +26,7 @@ def _any(array: Column, bad) -> Column:
 def _conflicting(array: Column, identity, whole) -> Column:
     """Whether two different members share an identity."""
     members = F.array_distinct(F.transform(array, lambda x: F.to_json(whole(x))))
-    identities = F.array_distinct(F.transform(array, lambda x: F.to_json(identity(x))))
+    identities = F.array_distinct(F.transform(array, lambda x: F.to_json(F.struct(*identity(x)))))
     return F.size(members) != F.size(identities)
 
 
@@ -88,10 +88,10 @@ def parse_media(docs: DataFrame) -> DataFrame:
             studios, lambda e: e.isNull() | e["node"]["id"].isNull() | e["isMain"].isNull())),
         ("bad staff", _any(
             staff, lambda e: e["node"]["id"].isNull() | e["node"]["name"].isNull())),
-        ("tag conflict", _conflicting(tags, lambda t: t["id"], _tag)),
-        ("studio conflict", _conflicting(studios, lambda e: e["node"]["id"], _studio)),
+        ("tag conflict", _conflicting(tags, lambda t: [t["id"]], _tag)),
+        ("studio conflict", _conflicting(studios, lambda e: [e["node"]["id"]], _studio)),
         ("staff conflict", _conflicting(
-            staff, lambda e: F.struct(e["node"]["id"], X.role_name(e["role"])), _staff)),
+            staff, lambda e: [e["node"]["id"], X.role_name(e["role"])], _staff)),
     )
     title = m["title"]
     columns = {

@@ -57,6 +57,7 @@ def _retrying(store: Store, stream: str, batch_id: int | None, work, attempts: i
 def _insert_absent(commit: Commit, name: str, incoming: DataFrame, key: list[str]) -> None:
     """Appends rows whose key is not stored, with new surrogate keys."""
     table = TABLES[name]
+    incoming = commit.stage(incoming, f"incoming-{name}")
     stored = commit.read(name, commit.touched(name, incoming))
     new = commit.stage(absent(incoming, stored, key), f"new-{name}")
     if not new.isEmpty():
@@ -66,6 +67,7 @@ def _insert_absent(commit: Commit, name: str, incoming: DataFrame, key: list[str
 def _overwrite(commit: Commit, name: str, incoming: DataFrame, key: str) -> None:
     """Overwrites rows whose attributes differ and adds new ones; surrogates stay."""
     table = TABLES[name]
+    incoming = commit.stage(incoming, f"incoming-{name}")
     buckets = commit.touched(name, incoming)
     merged = overwrite(commit.read(name, buckets), incoming, key, table.surrogate)
     merged = commit.stage(merged, f"merged-{name}")
@@ -154,9 +156,11 @@ def _media_dimensions(commit: Commit, valid: DataFrame) -> None:
     """Names, tags, studios and staff, learnt from every valid document."""
 
     def tags_and_names() -> None:
-        tags = first_seen(flatten.tag_rows(valid, ["seq"]), "ext_tag_id", ["name", "category"])
-        new_tags = commit.stage(
-            absent(tags, commit.read("tag", commit.touched("tag", tags)), ["ext_tag_id"]), "new-tags")
+        rows = flatten.tag_rows(valid, ["seq"])
+        tags = commit.stage(
+            first_seen(rows, "ext_tag_id", ["name", "category"]), "incoming-tag")
+        stored = commit.read("tag", commit.touched("tag", tags))
+        new_tags = commit.stage(absent(tags, stored, ["ext_tag_id"]), "new-tag")
         own = [("mediatype", "media_type"), ("format", "format"), ("source", "source"),
                ("status", "status")]
         pairs = F.concat(
