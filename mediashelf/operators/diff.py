@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashelf.operators.lookups import lookup_join
+from mediashelf.operators.lookups import lookup_join, plain_bytes
 
 INSERT, DELETE, UPDATE, KEEP, OUTSIDE = "insert", "delete", "update", "keep", "outside"
 
@@ -18,6 +18,7 @@ def two_way_diff(
     keys: list[str],
     payload: list[str] = (),
     retained: list[str] = (),
+    scope_rows: int | None = None,
 ) -> DataFrame:
     """Every stored or incoming row once, with what has to happen to it.
 
@@ -32,8 +33,9 @@ def two_way_diff(
     """
     identity = [scope_key, *keys]
     payload, retained = list(payload), list(retained)
-    marked = lookup_join(
-        existing, scope.select(scope_key, F.lit(True).alias("_in_scope")), [scope_key], "left")
+    marks = scope.select(scope_key, F.lit(True).alias("_in_scope"))
+    size = None if scope_rows is None else plain_bytes(scope_rows, 2)
+    marked = lookup_join(existing, marks, [scope_key], "left", size)
     rows = marked.select(
         *identity, *payload, *retained, "_in_scope", F.lit(True).alias("_stored"),
     ).unionByName(

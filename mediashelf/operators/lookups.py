@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+COLUMN_BYTES = 16
 HOT_KEYS_PER_PARTITION = 4
 
 
+def plain_bytes(rows: int, columns: int) -> int:
+    """Size of rows without text."""
+    return rows * columns * COLUMN_BYTES
+
+
+def size_of(frame: DataFrame) -> int:
+    """Size of a dimension in bytes, texts included, from one aggregation over it."""
+    texts = [f.name for f in frame.schema if isinstance(f.dataType, StringType)]
+    lengths = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(c) for c in texts]
+    row = frame.agg(F.count(F.lit(1)).alias("_rows"), *lengths).first()
+    return plain_bytes(row["_rows"], len(frame.columns)) + sum(row[c] for c in texts)
+
+
 def hot_keys(fact: DataFrame, on: list[str]) -> DataFrame:
     """Keys that hold more than their fair part of the fact, as a small local table.
 
@@ -24,16 +39,16 @@ def hot_keys(fact: DataFrame, on: list[str]) -> DataFrame:
 
 
 def lookup_join(
-    fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", dim_rows: int | None = None,
+    fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", dim_bytes: int | None = None,
 ) -> DataFrame:
     """Joins ``fact`` to ``dim``, whose ``on`` columns are unique and never null in the fact.
 
-    A dimension of at most ``BROADCAST_ROWS`` counted rows is broadcast.  A larger one is
+    A dimension measured at no more than ``BROADCAST_BYTES`` is broadcast.  A larger one is
     joined by shuffle, except for the hot keys: their few dimension rows are broadcast and
     their fact rows stay where they are.
     """
-    rows = dim.count() if dim_rows is None else dim_rows
-    if rows <= BROADCAST_ROWS:
+    size = size_of(dim) if dim_bytes is None else dim_bytes
+    if size <= BROADCAST_BYTES:
         return fact.join(F.broadcast(dim), on, how)
     hot = hot_keys(fact, on)
     if hot.isEmpty():

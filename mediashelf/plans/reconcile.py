@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from mediashelf.operators import flatten
 from mediashelf.operators.diff import after_diff, two_way_diff
 from mediashelf.operators.dimensions import absent, first_seen, last_seen, overwrite
 from mediashelf.operators.keys import assign_keys
-from mediashelf.operators.lookups import lookup_join, missing_keys, names_of
+from mediashelf.operators.lookups import lookup_join, missing_keys, names_of, plain_bytes
 from mediashelf.schemas import TABLES
 from mediashelf.sources.requests import media_messages
 from mediashelf.sources.store import Commit, Store, VersionConflict
@@ -79,20 +80,34 @@ def _overwrite(commit: Commit, name: str, incoming: DataFrame, key: str) -> None
     commit.replace(name, kept.unionByName(numbered).drop("changed"), buckets)
 
 
-def _relink(commit: Commit, name: str, incoming: DataFrame, scope: DataFrame, keys: list[str],
+@dataclass
+class Scope:
+    """The written keys a batch speaks for, how many, and the buckets they fall in."""
+
+    keys: DataFrame
+    rows: int
+    buckets: list[int]
+
+
+def _scope(commit: Commit, keys: DataFrame, key: str, label: str) -> Scope:
+    keys = commit.stage(keys, label)
+    return Scope(keys, keys.count(), commit.buckets_with(keys, key))
+
+
+def _relink(commit: Commit, name: str, incoming: DataFrame, scope: Scope, keys: list[str],
             payload: list[str] = ()) -> None:
     """Makes the stored rows of the scope equal to the incoming ones."""
     table = TABLES[name]
     scope_key = table.bucket_by
-    buckets = commit.touched(name, scope)
-    if not buckets:
+    if commit.state(name).rows == 0:
         first_load = incoming.select(scope_key, *keys, *payload).distinct()
         _write_links(commit, name, first_load, keys, [])
         return
     retained = [table.surrogate] if table.surrogate else []
     diff = two_way_diff(
-        commit.read(name, buckets), incoming, scope, scope_key, keys, payload, retained)
-    _write_links(commit, name, after_diff(diff), keys, buckets)
+        commit.read(name, scope.buckets), incoming, scope.keys, scope_key, keys, payload,
+        retained, scope.rows)
+    _write_links(commit, name, after_diff(diff), keys, scope.buckets)
 
 
 def _write_links(commit: Commit, name: str, rows: DataFrame, keys: list[str],
@@ -118,14 +133,15 @@ def _resolve_name(commit: Commit, frame: DataFrame, kind: str, column: str,
                   id_column: str) -> DataFrame:
     """Replaces a name column by the id of that name."""
     names = names_of(commit.read("name"), kind, id_column, column)
-    return lookup_join(frame, names, [column], dim_rows=commit.state("name").rows).drop(column)
+    return lookup_join(frame, names, [column], dim_bytes=commit.size("name")).drop(column)
 
 
 def _resolve_id(commit: Commit, frame: DataFrame, name: str, key: str, how: str = "inner",
                 keep: bool = False) -> DataFrame:
     """Replaces an external id column by the surrogate key of a dimension."""
     ids = commit.read(name).select(key, TABLES[name].surrogate)
-    joined = lookup_join(frame, ids, [key], how, dim_rows=commit.state(name).rows)
+    size = plain_bytes(commit.state(name).rows, 2)
+    joined = lookup_join(frame, ids, [key], how, size)
     return joined if keep else joined.drop(key)
 
 
@@ -140,52 +156,76 @@ def reconcile_media(store: Store, docs: DataFrame, batch_id: int | None = None,
 
 def _apply_media(commit: Commit, docs: DataFrame) -> None:
     parsed = commit.stage(docs_op.parse_media(docs), "media")
-    commit.append("quarantine", docs_op.quarantined(parsed, MEDIA_STREAM))
     valid = docs_op.valid_documents(parsed)
-    _media_dimensions(commit, valid)
-    marks = commit.stage(docs_op.latest_marks(valid, "ext_media_id"), "media-marks")
-    latest = docs_op.latest_documents(valid, "ext_media_id", marks)
-    _media_rows(commit, latest)
-    scope = commit.stage(
-        _resolve_id(commit, marks, "media", "ext_media_id", keep=True), "media-scope")
+    scopes = []
+    _together(
+        lambda: _quarantine(commit, parsed, MEDIA_STREAM),
+        lambda: _studios(commit, valid),
+        lambda: _staff(commit, valid),
+        lambda: scopes.append(_named_media(commit, valid)),
+    )
+    scope = scopes[0]
     _media_links(commit, valid, scope)
     _link_pending(commit, scope)
 
 
-def _media_dimensions(commit: Commit, valid: DataFrame) -> None:
-    """Names, tags, studios and staff, learnt from every valid document."""
-
-    def tags_and_names() -> None:
-        rows = flatten.tag_rows(valid, ["seq"])
-        tags = commit.stage(
-            first_seen(rows, "ext_tag_id", ["name", "category"]), "incoming-tag")
-        stored = commit.read("tag", commit.touched("tag", tags))
-        new_tags = commit.stage(absent(tags, stored, ["ext_tag_id"]), "new-tag")
-        own = [("mediatype", "media_type"), ("format", "format"), ("source", "source"),
-               ("status", "status")]
-        pairs = F.concat(
-            F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in own]),
-            F.transform("genres", lambda g: F.struct(F.lit("genre").alias("kind"), g.alias("name"))),
-        )
-        names = valid.select(F.explode(pairs).alias("pair")).select("pair.*")
-        categories = new_tags.select(
-            F.lit("tagcategory").alias("kind"), F.col("category").alias("name"))
-        _insert_names(commit, names.unionByName(categories))
+def _quarantine(commit: Commit, parsed: DataFrame, stream: str) -> None:
+    bad = docs_op.quarantined(parsed, stream)
+    if not bad.isEmpty():
+        commit.append("quarantine", bad)
+
+
+def _studios(commit: Commit, valid: DataFrame) -> None:
+    rows = flatten.studio_rows(valid, ["seq"])
+    _insert_absent(commit, "studio", first_seen(rows, "ext_studio_id", ["name"]), ["ext_studio_id"])
+
+
+def _staff(commit: Commit, valid: DataFrame) -> None:
+    rows = flatten.staff_rows(valid, ["seq"])
+    _overwrite(commit, "staff", last_seen(rows, "ext_staff_id", STAFF_NAMES), "ext_staff_id")
+
+
+def _named_media(commit: Commit, valid: DataFrame) -> Scope:
+    """Names, then the tags and media that refer to them; returns the media of the batch."""
+    new_tags = _new_tags(commit, valid)
+    _media_names(commit, valid, new_tags)
+    scopes = []
+
+    def tags() -> None:
         if not new_tags.isEmpty():
             numbered = assign_keys(new_tags, ["ext_tag_id"], "tag_id", commit.state("tag").max_id)
             commit.append(
                 "tag", _resolve_name(commit, numbered, "tagcategory", "category", "category_id"))
 
-    def studios() -> None:
-        rows = flatten.studio_rows(valid, ["seq"])
-        _insert_absent(
-            commit, "studio", first_seen(rows, "ext_studio_id", ["name"]), ["ext_studio_id"])
+    def media() -> None:
+        marks = commit.stage(docs_op.latest_marks(valid, "ext_media_id"), "media-marks")
+        _media_rows(commit, docs_op.latest_documents(valid, "ext_media_id", marks))
+        keys = _resolve_id(commit, marks, "media", "ext_media_id", keep=True)
+        scopes.append(_scope(commit, keys, "media_id", "media-scope"))
 
-    def staff() -> None:
-        rows = flatten.staff_rows(valid, ["seq"])
-        _overwrite(commit, "staff", last_seen(rows, "ext_staff_id", STAFF_NAMES), "ext_staff_id")
+    _together(tags, media)
+    return scopes[0]
+
+
+def _new_tags(commit: Commit, valid: DataFrame) -> DataFrame:
+    rows = flatten.tag_rows(valid, ["seq"])
+    tags = commit.stage(first_seen(rows, "ext_tag_id", ["name", "category"]), "incoming-tag")
+    stored = commit.read("tag", commit.touched("tag", tags))
+    return commit.stage(absent(tags, stored, ["ext_tag_id"]), "new-tag")
 
-    _together(tags_and_names, studios, staff)
+
+def _media_names(commit: Commit, valid: DataFrame, new_tags: DataFrame) -> None:
+    """Names of every valid document, and categories of tags not known before."""
+    own = [("mediatype", "media_type"), ("format", "format"), ("source", "source"),
+           ("status", "status")]
+    pairs = F.concat(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in own]),
+        F.transform("genres", lambda g: F.struct(F.lit("genre").alias("kind"), g.alias("name"))),
+    )
+    names = valid.select(F.explode(pairs).alias("pair")).select("pair.*")
+    categories = new_tags.select(
+        F.lit("tagcategory").alias("kind"), F.col("category").alias("name"))
+    _insert_names(commit, names.unionByName(categories))
 
 
 def _media_rows(commit: Commit, latest: DataFrame) -> None:
@@ -200,12 +240,12 @@ def _media_rows(commit: Commit, latest: DataFrame) -> None:
     _overwrite(commit, "media", rows, "ext_media_id")
 
 
-def _media_links(commit: Commit, valid: DataFrame, scope: DataFrame) -> None:
+def _media_links(commit: Commit, valid: DataFrame, scope: Scope) -> None:
     """The five relations of the last documents; the scope is documents, not their links."""
 
     def linked(column: str) -> DataFrame:
         return valid.select("ext_media_id", "seq", column).join(
-            scope, ["ext_media_id", "seq"]).select("media_id", column)
+            scope.keys, ["ext_media_id", "seq"]).select("media_id", column)
 
     def genres() -> None:
         rows = flatten.genre_rows(linked("genres"), ["media_id"])
@@ -235,13 +275,15 @@ def _media_links(commit: Commit, valid: DataFrame, scope: DataFrame) -> None:
     _together(genres, tags, studios, staff, names)
 
 
-def _link_pending(commit: Commit, scope: DataFrame) -> None:
+def _link_pending(commit: Commit, scope: Scope) -> None:
     """Moves list entries that waited for a media which has now arrived."""
     if commit.state("pending_entry").rows == 0:
         return
-    arrived = scope.select("ext_media_id", "media_id")
-    found = commit.stage(
-        lookup_join(commit.read("pending_entry"), arrived, ["ext_media_id"]), "found-pending")
+    arrived = scope.keys.select("ext_media_id", "media_id")
+    found = lookup_join(
+        commit.read("pending_entry"), arrived, ["ext_media_id"],
+        dim_bytes=plain_bytes(scope.rows, 2))
+    found = commit.stage(found, "found-pending")
     if found.isEmpty():
         return
     commit.append("list_entry", found.drop("ext_media_id"))
@@ -273,21 +315,23 @@ def reconcile_lists(store: Store, docs: DataFrame, batch_id: int | None = None,
 
 
 def _apply_lists(commit: Commit, parsed: DataFrame) -> None:
-    commit.append("quarantine", docs_op.quarantined(parsed, LIST_STREAM))
     valid = docs_op.valid_documents(parsed)
+    scopes = []
 
     def viewers() -> None:
         _insert_absent(
             commit, "viewer", valid.select("ext_user_id").distinct(), ["ext_user_id"])
+        marks = docs_op.latest_marks(valid, "ext_user_id")
+        keys = _resolve_id(commit, marks, "viewer", "ext_user_id", keep=True)
+        scopes.append(_scope(commit, keys, "viewer_id", "list-scope"))
 
     def statuses() -> None:
         status = F.explode(F.array_distinct(F.transform("entries", lambda e: e["status"])))
         _insert_names(commit, valid.select(F.lit("watchstatus").alias("kind"), status.alias("name")))
 
-    _together(viewers, statuses)
-    marks = docs_op.latest_marks(valid, "ext_user_id")
-    scope = commit.stage(_resolve_id(commit, marks, "viewer", "ext_user_id", keep=True), "list-scope")
-    latest = valid.join(scope, ["ext_user_id", "seq"]).select("viewer_id", "entries")
+    _together(lambda: _quarantine(commit, parsed, LIST_STREAM), viewers, statuses)
+    scope = scopes[0]
+    latest = valid.join(scope.keys, ["ext_user_id", "seq"]).select("viewer_id", "entries")
     entries = flatten.collapse_entries(
         flatten.entry_rows(latest, ["viewer_id"]), ["viewer_id", "ext_media_id"], ["pos"])
     entries = commit.stage(

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediashelf.operators.lookups import size_of
 from mediashelf.schemas import NAME_TYPES, TABLES
 
 
@@ -169,13 +170,16 @@ class Commit:
         self.id = uuid.uuid4().hex
         self.next = Manifest.from_json(base.to_json())
         self.next.version = base.version + 1
+        self._sizes: dict[str, tuple[int, int]] = {}
 
-    def bucket_of(self, name: str) -> Column:
-        """Bucket number of a row, from the table's bucketing column in its stored type."""
-        table = TABLES[name]
-        key = F.col(table.bucket_by).cast(table.type_of(table.bucket_by))
+    def bucket_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.base.bucket_count)).cast("int")
 
+    def row_bucket(self, name: str) -> Column:
+        """Bucket of a table's row, from its bucketing column in its stored type."""
+        table = TABLES[name]
+        return self.bucket_of(F.col(table.bucket_by).cast(table.type_of(table.bucket_by)))
+
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """A table as this commit has left it so far."""
         return self.store.read(name, buckets, self.next)
@@ -183,6 +187,13 @@ class Commit:
     def state(self, name: str) -> TableState:
         return self.next.tables[name]
 
+    def size(self, name: str) -> int:
+        """Bytes of a table; measured again only when its row count has changed."""
+        rows = self.state(name).rows
+        if self._sizes.get(name, (None, 0))[0] != rows:
+            self._sizes[name] = (rows, size_of(self.read(name)))
+        return self._sizes[name][1]
+
     def stage(self, frame: DataFrame, label: str) -> DataFrame:
         """Writes an intermediate result once, beside the tables, and reads it back."""
         path = f"{self.store.root}/_stage/{self.id}/{label}"
@@ -190,17 +201,22 @@ class Commit:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def touched(self, name: str, keys: DataFrame) -> list[int]:
-        """Buckets of a table that hold any of the keys; at most one number per bucket."""
+        """Buckets of a table that may hold any of the keys; at most one number per bucket."""
         if not self.state(name).buckets:
             return []
-        distinct = keys.select(self.bucket_of(name).alias("bucket")).distinct()
+        distinct = keys.select(self.row_bucket(name).alias("bucket")).distinct()
+        return [row.bucket for row in distinct.collect()]
+
+    def buckets_with(self, keys: DataFrame, key: str) -> list[int]:
+        """Buckets, of any table bucketed on ``key``, that the keys fall in."""
+        distinct = keys.select(self.bucket_of(F.col(key)).alias("bucket")).distinct()
         return [row.bucket for row in distinct.collect()]
 
     def _write(self, name: str, frame: DataFrame) -> dict[int, BucketFiles]:
         table = TABLES[name]
         folder = f"{self.store.root}/{name}/{self.id}-{uuid.uuid4().hex[:8]}"
         (
-            frame.select(*table.columns, self.bucket_of(name).alias("bucket"))
+            frame.select(*table.columns, self.row_bucket(name).alias("bucket"))
             .hint("rebalance", "bucket")
             .write.partitionBy("bucket").parquet(folder)
         )
