@@ -58,8 +58,18 @@ def _staff(e: Column) -> Column:
     )
 
 
+def _once(column: Column) -> Column:
+    """A column that later filters cannot be pushed through.
+
+    Catalyst would copy a costly expression into every filter on it, and parse each document
+    again for every field the filter looks at; a generator keeps it evaluated once.
+    """
+    return F.explode(F.array(column))
+
+
 def _parsed(docs: DataFrame, schema: str) -> DataFrame:
-    return docs.select("seq", "value", F.from_json("value", schema, PARSE_OPTIONS).alias("doc"))
+    return docs.select(
+        "seq", "value", _once(F.from_json("value", schema, PARSE_OPTIONS)).alias("doc"))
 
 
 def _malformed() -> Column:
@@ -165,7 +175,7 @@ def parse_lists(docs: DataFrame) -> DataFrame:
 
 
 def _keep_valid(frame: DataFrame, reason: Column, columns: dict[str, Column]) -> DataFrame:
-    flagged = frame.withColumn("reason", reason)
+    flagged = frame.select("*", _once(reason).alias("reason"))
     valid = F.col("reason").isNull()
     return flagged.select(
         "seq", "reason",

@@ -21,13 +21,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for row-wise work that costs far more than its bytes suggest.
+
+    A file with fewer splits than the session has cores is spread over all of them; a large
+    table has enough splits and is left as it is.
+    """
+    frame = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 # -- media documents: one per order, for the order's customer ------------------------
 
 
 def order_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the values a media document is made of."""
     date = F.col("o_orderdate").cast("date")
-    return load(spark, sf_dir, "orders").select(
+    return load_spread(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("seq"),
         F.col("o_custkey").cast("int").alias("id"),
         F.col("o_orderstatus").alias("st"),
@@ -108,7 +119,7 @@ def catalogue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("FINISHED").alias("status"), nothing.alias("tags"),
         F.split("p_name", " ").alias("genres"), empty.alias("studios"), empty.alias("staff"),
     )
-    return load(spark, sf_dir, "part").select(
+    return load_spread(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("seq"),
         F.to_json(F.struct(F.struct(body.alias("Media")).alias("data"))).alias("value"))
 
@@ -137,7 +148,7 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Error events have an error document in one branch.
     """
     k = F.get_json_object("props", "$.k").cast("int")
-    events = load(spark, sf_dir, "events").withColumn("k", k)
+    events = load_spread(spark, sf_dir, "events").withColumn("k", k)
     media, unknown = F.col("k"), F.col("k") + UNKNOWN_MEDIA
     whole = F.floor("value").cast("int")
 
