@@ -23,11 +23,16 @@ def _any(array: Column, bad) -> Column:
     return F.exists(array, lambda item: F.coalesce(bad(item), F.lit(False)))
 
 
-def _conflicting(array: Column, identity, whole) -> Column:
-    """Whether two different members share an identity."""
+def _conflicting(array: Column, id_of, whole, identity=None) -> Column:
+    """Whether two different members share an identity, which includes their integer id.
+
+    Members are only compared where an id occurs twice, which is rare.
+    """
+    identity = identity or (lambda x: [id_of(x)])
     members = F.array_distinct(F.transform(array, lambda x: F.to_json(whole(x))))
     identities = F.array_distinct(F.transform(array, lambda x: F.to_json(F.struct(*identity(x)))))
-    return F.size(members) != F.size(identities)
+    repeated = F.size(F.array_distinct(F.transform(array, id_of))) < F.size(array)
+    return F.when(repeated, F.size(members) != F.size(identities)).otherwise(F.lit(False))
 
 
 def _tag(t: Column) -> Column:
@@ -98,10 +103,11 @@ def parse_media(docs: DataFrame) -> DataFrame:
             studios, lambda e: e.isNull() | e["node"]["id"].isNull() | e["isMain"].isNull())),
         ("bad staff", _any(
             staff, lambda e: e["node"]["id"].isNull() | e["node"]["name"].isNull())),
-        ("tag conflict", _conflicting(tags, lambda t: [t["id"]], _tag)),
-        ("studio conflict", _conflicting(studios, lambda e: [e["node"]["id"]], _studio)),
+        ("tag conflict", _conflicting(tags, lambda t: t["id"], _tag)),
+        ("studio conflict", _conflicting(studios, lambda e: e["node"]["id"], _studio)),
         ("staff conflict", _conflicting(
-            staff, lambda e: [e["node"]["id"], X.role_name(e["role"])], _staff)),
+            staff, lambda e: e["node"]["id"], _staff,
+            identity=lambda e: [e["node"]["id"], X.role_name(e["role"])])),
     )
     title = m["title"]
     columns = {

@@ -40,19 +40,29 @@ def entry_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
         *carry, "pos", "item.*")
 
 
-def collapse_entries(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def collapse_entries(
+    entries: DataFrame, keys: list[str], order: list[str], first: list[str] = FIRST_COLUMNS,
+) -> DataFrame:
     """One row per key: dates, score and status of the first entry, progress and repeats summed.
 
-    All three aggregates combine on the map side, so a hot key shrinks before the shuffle.
+    All aggregates combine on the map side, so a hot key shrinks before the shuffle.  With one
+    order column and no texts among ``first`` they also stay in a hash aggregate.
     """
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    if len(order) == 1:
+        picked = [F.min_by(c, position).alias(c) for c in first]
+        unpacked = first
+    else:
+        picked = [F.min_by(F.struct(*first), position).alias("first")]
+        unpacked = [f"first.{c}" for c in first]
     return (
         entries.groupBy(*keys)
         .agg(
-            F.min_by(F.struct(*FIRST_COLUMNS), F.struct(*order)).alias("first"),
+            *picked,
             X.wrapped_int(F.sum("progress")).alias("progress"),
             X.wrapped_int(F.sum("repeat")).alias("rewatched"),
         )
-        .select(*keys, "first.*", "progress", "rewatched")
+        .select(*keys, *unpacked, "progress", "rewatched")
     )
 
 

@@ -24,6 +24,7 @@ from mediashelf.sources.requests import media_messages
 from mediashelf.sources.store import Commit, Store, VersionConflict
 
 MEDIA_STREAM, LIST_STREAM = "media", "lists"
+ENTRY_ATTRIBUTES = ["date_start", "date_end", "score", "status_id"]
 STAFF_NAMES = ["first_name", "last_name", "full_name", "native_name"]
 
 
@@ -332,14 +333,15 @@ def _apply_lists(commit: Commit, parsed: DataFrame) -> None:
     _together(lambda: _quarantine(commit, parsed, LIST_STREAM), viewers, statuses)
     scope = scopes[0]
     latest = valid.join(scope.keys, ["ext_user_id", "seq"]).select("viewer_id", "entries")
+    rows = _resolve_name(
+        commit, flatten.entry_rows(latest, ["viewer_id"]), "watchstatus", "status", "status_id")
     entries = flatten.collapse_entries(
-        flatten.entry_rows(latest, ["viewer_id"]), ["viewer_id", "ext_media_id"], ["pos"])
-    entries = commit.stage(
-        _resolve_name(commit, entries, "watchstatus", "status", "status_id"), "entries")
+        rows, ["viewer_id", "ext_media_id"], ["pos"], ENTRY_ATTRIBUTES)
+    entries = commit.stage(entries, "entries")
     entries = commit.stage(
         _resolve_id(commit, entries, "media", "ext_media_id", "left", keep=True), "entries-media")
     known = F.col("media_id").isNotNull()
-    payload = ["date_start", "date_end", "score", "progress", "rewatched", "status_id"]
+    payload = [*ENTRY_ATTRIBUTES, "progress", "rewatched"]
     _together(
         lambda: _relink(commit, "list_entry", entries.filter(known).drop("ext_media_id"),
                         scope, ["media_id"], payload),

@@ -1,0 +1,83 @@
+import pytest
+from conftest import media
+from pyspark.sql import functions as F
+
+from mediashelf.plans import reconcile
+from mediashelf.plans.reconcile import reconcile_media
+from mediashelf.sources.store import Commit, VersionConflict
+
+
+def viewers(spark, start, end):
+    return spark.range(start, end).select(
+        F.col("id").alias("viewer_id"), F.col("id").cast("int").alias("ext_user_id"))
+
+
+def test_seed_name_types(store):
+    seed = sorted((r.name_id, r.name) for r in store.read("name").collect())
+    assert seed == [(1, "romaji"), (2, "english"), (3, "native"), (4, "synonyms")]
+
+
+def test_readers_keep_their_version(spark, store):
+    commit = Commit(store, store.manifest())
+    commit.append("viewer", viewers(spark, 1, 101))
+    assert store.read("viewer").count() == 0
+    commit.publish()
+    before = store.read("viewer")
+    commit = Commit(store, store.manifest())
+    commit.replace("viewer", viewers(spark, 200, 210), list(range(4)))
+    commit.publish()
+    assert before.count() == 100
+    assert store.read("viewer").count() == 10
+    state = store.manifest().tables["viewer"]
+    assert (state.rows, state.max_id) == (10, 209)
+
+
+def test_replace_leaves_other_buckets(spark, store):
+    commit = Commit(store, store.manifest())
+    commit.append("viewer", viewers(spark, 1, 101))
+    key = viewers(spark, 7, 8)
+    buckets = commit.touched("viewer", key)
+    assert len(buckets) == 1
+    kept = commit.read("viewer").count() - commit.read("viewer", buckets).count()
+    commit.replace("viewer", key, buckets)
+    commit.publish()
+    assert store.read("viewer").count() == kept + 1
+
+
+def test_second_writer_has_to_start_again(spark, store):
+    base = store.manifest()
+    one, two = Commit(store, base), Commit(store, base)
+    one.append("viewer", viewers(spark, 1, 3))
+    two.append("viewer", viewers(spark, 1, 3))
+    one.publish()
+    with pytest.raises(VersionConflict):
+        two.publish()
+    assert store.read("viewer").count() == 2
+
+
+def test_reconcile_retries_after_a_conflict(spark, store, documents, monkeypatch):
+    work, raced = reconcile._apply_media, []
+
+    def racing(commit, docs):
+        work(commit, docs)
+        if not raced:
+            raced.append(1)
+            other = Commit(store, store.manifest())
+            other.append("viewer", viewers(spark, 1, 3))
+            other.publish()
+
+    monkeypatch.setattr(reconcile, "_apply_media", racing)
+    reconcile_media(store, documents(media(1)))
+    assert store.read("viewer").count() == 2
+    assert store.read("media").count() == 1
+
+
+def test_compact_keeps_rows(spark, store):
+    for i in range(4):
+        commit = Commit(store, store.manifest())
+        commit.append("viewer", viewers(spark, i * 50 + 1, i * 50 + 51))
+        commit.publish()
+    before = sorted(store.read("viewer").collect())
+    store.compact(folders_per_bucket=2)
+    assert sorted(store.read("viewer").collect()) == before
+    assert all(len(f.folders) == 1 for f in store.manifest().tables["viewer"].buckets.values())

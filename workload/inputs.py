@@ -180,7 +180,7 @@ def list_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List entries as order lines: the viewer is the customer, the media the part."""
-    lines = load(spark, sf_dir, "lineitem").select(
+    lines = load_spread(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("ext_media_id"),
         F.col("l_shipdate").cast("date").alias("date_end"),
         F.col("l_discount").alias("discount"),

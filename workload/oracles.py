@@ -235,6 +235,12 @@ CASE WHEN pr = '5-LOW' THEN 'null' ELSE pr END AS format, 'S' || m AS source, st
 ORACLES["media_attributes"] = f"""
 WITH {_MEDIA} SELECT seq, CAST(id AS INTEGER) AS ext_media_id, {_ATTRIBUTES} FROM valid"""
 
+ORACLES["media_quarantine"] = f"""
+WITH {_MEDIA}
+SELECT 'media' AS stream, seq, true AS has_text,
+       CASE WHEN price < 50000 THEN 'no media' ELSE 'missing section' END AS reason
+FROM raw WHERE seq NOT IN (SELECT seq FROM valid)"""
+
 ORACLES["media_stream"] = f"""
 WITH {_MEDIA} SELECT CAST(id AS INTEGER) AS ext_media_id, {_ATTRIBUTES} FROM latest"""
 

@@ -247,7 +247,7 @@ def flags_and_roles(spark, sf):
 def cleaned_titles(spark, sf):
     """Quotes stripped from raw JSON text, single quotes doubled for export."""
     quote, text = F.lit('"'), F.col("text")
-    return load(spark, sf, "documents").select(
+    return inputs.load_spread(spark, sf, "documents").select(
         "doc_id",
         X.clean_title(F.concat(quote, text, quote)).alias("both"),
         F.md5(X.clean_title(F.concat(text, quote))).alias("one_md5"),
@@ -316,8 +316,9 @@ def media_attributes(spark, sf):
 
 @query
 def media_quarantine(spark, sf):
-    """Rejected media documents with their reason and text."""
-    return documents.quarantined(_parsed_media(spark, sf), "media")
+    """Rejected media documents with their reason; their text is kept."""
+    rejected = documents.quarantined(_parsed_media(spark, sf), "media")
+    return rejected.withColumn("has_text", F.length("value") > 0).drop("value")
 
 
 @query
