@@ -24,6 +24,7 @@ from mediashelf.sources.requests import media_messages
 from mediashelf.sources.store import Commit, Store, VersionConflict
 
 MEDIA_STREAM, LIST_STREAM = "media", "lists"
+SMALL_ROWS = 100_000
 ENTRY_ATTRIBUTES = ["date_start", "date_end", "score", "status_id"]
 STAFF_NAMES = ["first_name", "last_name", "full_name", "native_name"]
 
@@ -56,12 +57,28 @@ def _retrying(store: Store, stream: str, batch_id: int | None, work, attempts: i
     return False
 
 
+def _against(commit: Commit, name: str, incoming: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Incoming rows and the buckets of a table they have to be compared with.
+
+    A small table is compared whole; for a larger one the incoming keys are written once and
+    only the buckets they fall in are read.
+    """
+    state = commit.state(name)
+    if state.rows <= SMALL_ROWS:
+        return incoming, list(state.buckets)
+    incoming = commit.stage(incoming, f"incoming-{name}")
+    return incoming, commit.touched(name, incoming)
+
+
+def _absent(commit: Commit, name: str, incoming: DataFrame, key: list[str]) -> DataFrame:
+    incoming, buckets = _against(commit, name, incoming)
+    return commit.stage(absent(incoming, commit.read(name, buckets), key), f"new-{name}")
+
+
 def _insert_absent(commit: Commit, name: str, incoming: DataFrame, key: list[str]) -> None:
     """Appends rows whose key is not stored, with new surrogate keys."""
     table = TABLES[name]
-    incoming = commit.stage(incoming, f"incoming-{name}")
-    stored = commit.read(name, commit.touched(name, incoming))
-    new = commit.stage(absent(incoming, stored, key), f"new-{name}")
+    new = _absent(commit, name, incoming, key)
     if not new.isEmpty():
         commit.append(name, assign_keys(new, key, table.surrogate, commit.state(name).max_id))
 
@@ -69,8 +86,7 @@ def _insert_absent(commit: Commit, name: str, incoming: DataFrame, key: list[str
 def _overwrite(commit: Commit, name: str, incoming: DataFrame, key: str) -> None:
     """Overwrites rows whose attributes differ and adds new ones; surrogates stay."""
     table = TABLES[name]
-    incoming = commit.stage(incoming, f"incoming-{name}")
-    buckets = commit.touched(name, incoming)
+    incoming, buckets = _against(commit, name, incoming)
     merged = overwrite(commit.read(name, buckets), incoming, key, table.surrogate)
     merged = commit.stage(merged, f"merged-{name}")
     if merged.filter("changed").isEmpty():
@@ -210,9 +226,8 @@ def _named_media(commit: Commit, valid: DataFrame) -> Scope:
 
 def _new_tags(commit: Commit, valid: DataFrame) -> DataFrame:
     rows = flatten.tag_rows(valid, ["seq"])
-    tags = commit.stage(first_seen(rows, "ext_tag_id", ["name", "category"]), "incoming-tag")
-    stored = commit.read("tag", commit.touched("tag", tags))
-    return commit.stage(absent(tags, stored, ["ext_tag_id"]), "new-tag")
+    tags = first_seen(rows, "ext_tag_id", ["name", "category"])
+    return _absent(commit, "tag", tags, ["ext_tag_id"])
 
 
 def _media_names(commit: Commit, valid: DataFrame, new_tags: DataFrame) -> None:

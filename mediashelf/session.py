@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, app: str = "mediashelf") -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        # call sites for error messages cost several round trips per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -1,8 +1,9 @@
 import datetime
 
+import pytest
 from conftest import date, media, staff, studio, tag
 
-from mediashelf.plans import views
+from mediashelf.plans import reconcile, views
 from mediashelf.plans.reconcile import reconcile_media
 from mediashelf.schemas import FOREIGN_KEYS, TABLES, UNIQUE_KEYS
 from mediashelf.operators.audit import duplicate_keys, orphans
@@ -84,7 +85,9 @@ def test_bad_documents_change_nothing(store, documents):
     }
 
 
-def test_update_keeps_surrogates_and_scope(store, documents):
+@pytest.mark.parametrize("small_rows", [reconcile.SMALL_ROWS, 0])
+def test_update_keeps_surrogates_and_scope(store, documents, monkeypatch, small_rows):
+    monkeypatch.setattr(reconcile, "SMALL_ROWS", small_rows)
     one = media(1, genres=["A", "B"], tags=[tag(1, "old", "c")], synonyms=["s"],
                 staff={"edges": [staff(3, "Art", first="old")]},
                 studios={"edges": [studio(2, "old", True)]})
