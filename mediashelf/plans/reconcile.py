@@ -47,13 +47,19 @@ def _retrying(store: Store, stream: str, batch_id: int | None, work, attempts: i
         if batch_id is not None and base.batches.get(stream, -1) >= batch_id:
             return False
         commit = Commit(store, base)
-        work(commit)
         try:
+            work(commit)
             commit.publish(stream if batch_id is not None else None, batch_id)
-            return True
         except VersionConflict:
+            commit.abandon()
             if attempt == attempts - 1:
                 raise
+        except Exception:
+            commit.abandon()
+            raise
+        else:
+            commit.drop_stage()
+            return True
     return False
 
 
@@ -320,14 +326,17 @@ def reconcile_lists(store: Store, docs: DataFrame, batch_id: int | None = None,
     Entries of unknown media wait in ``pending_entry`` until a media batch brings them.
     With ``fetch_media`` (ids in, ``id, data`` out) they are fetched and reconciled first.
     """
-    parsed = Commit(store, store.manifest()).stage(docs_op.parse_lists(docs), "lists")
-    if fetch_media is not None:
-        wanted = flatten.entry_rows(docs_op.valid_documents(parsed), [])
-        known = store.read("media")
-        unknown = missing_keys(wanted, known, ["ext_media_id"])
-        fetched = fetch_media(unknown.select(F.col("ext_media_id").alias("id")))
-        reconcile_media(store, media_messages(fetched))
-    return _retrying(store, stream, batch_id, lambda commit: _apply_lists(commit, parsed))
+    reading = Commit(store, store.manifest())
+    try:
+        parsed = reading.stage(docs_op.parse_lists(docs), "lists")
+        if fetch_media is not None:
+            wanted = flatten.entry_rows(docs_op.valid_documents(parsed), [])
+            unknown = missing_keys(wanted, reading.read("media"), ["ext_media_id"])
+            fetched = fetch_media(unknown.select(F.col("ext_media_id").alias("id")))
+            reconcile_media(store, media_messages(fetched))
+        return _retrying(store, stream, batch_id, lambda commit: _apply_lists(commit, parsed))
+    finally:
+        reading.drop_stage()
 
 
 def _apply_lists(commit: Commit, parsed: DataFrame) -> None:

@@ -51,7 +51,7 @@ def refresh_decisions(
     counts = recommendations.groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n_stored"))
     stored = viewers.join(counts, "viewer_id").select("ext_user_id", "n_stored")
     flagged = (
-        requests.join(stored, "ext_user_id", "left")
+        lookup_join(requests, stored, ["ext_user_id"], "left")
         .withColumn("n_stored", F.coalesce("n_stored", F.lit(0).cast("bigint")))
         .withColumn("refresh", messages.wants_refresh(params))
         .withColumn("n_other", messages.other_parameters(params))
@@ -67,8 +67,8 @@ def refresh_decisions(
 
 def resolve_users(requests: DataFrame, directory: DataFrame) -> DataFrame:
     """``name`` requests with the user id of that name; unknown names get none."""
-    return requests.join(directory.select("name", "ext_user_id"), "name", "left").withColumn(
-        "known", F.col("ext_user_id").isNotNull())
+    known = lookup_join(requests, directory.select("name", "ext_user_id"), ["name"], "left")
+    return known.withColumn("known", F.col("ext_user_id").isNotNull())
 
 
 def refresh_lists(

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediashelf.operators.lookups import lookup_join
+
 # Offset words passed through, and the column a config kind is kept in.
 OFFSET_WORDS = ("earliest", "latest")
 CONFIG_COLUMNS = {"int": "value_int", "str": "value_str"}
@@ -60,7 +62,7 @@ def config_values(counters: DataFrame, wanted: DataFrame, kind: str, default: st
         .groupBy("counter_name")
         .agg(F.min_by(F.col(column).cast("string"), "counter_id").alias("value"))
     )
-    return wanted.join(stored, "counter_name", "left").select(
+    return lookup_join(wanted, stored, ["counter_name"], "left").select(
         "counter_name", F.coalesce("value", F.lit(default)).alias("value"))
 
 

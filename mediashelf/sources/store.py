@@ -46,6 +46,10 @@ class Manifest:
     tables: dict[str, TableState]
     batches: dict[str, int]
 
+    def folders(self) -> set[str]:
+        buckets = [b for state in self.tables.values() for b in state.buckets.values()]
+        return {folder for bucket in buckets for folder in bucket.folders}
+
     def to_json(self) -> str:
         tables = {
             name: {
@@ -101,12 +105,16 @@ class Store:
     def _file_system(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> Manifest:
-        """The latest published version."""
-        fs = self._file_system()
-        names = [s.getPath().getName() for s in fs.listStatus(self._path("_versions"))]
-        latest = max(n for n in names if n.endswith(".json") and not n.startswith("."))
-        stream = fs.open(self._path("_versions", latest))
+    def versions(self) -> list[int]:
+        """All versions whose manifest is still kept, oldest first."""
+        listed = self._file_system().listStatus(self._path("_versions"))
+        names = [status.getPath().getName() for status in listed]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def manifest(self, version: int | None = None) -> Manifest:
+        """A published version, by default the latest."""
+        version = self.versions()[-1] if version is None else version
+        stream = self._file_system().open(self._path("_versions", f"{version:012d}.json"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -137,6 +145,24 @@ class Store:
                 raise VersionConflict(f"version {manifest.version} exists") from error
             raise
 
+    def remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self._file_system().delete(path, True)
+
+    def vacuum(self, keep: int) -> None:
+        """Removes what only versions before the last ``keep`` use; their readers must be done.
+
+        Folders of batches still being written are in no manifest and stay.
+        """
+        versions = self.versions()
+        old, kept = versions[:-keep], versions[-keep:]
+        used = set().union(*[self.manifest(v).folders() for v in kept])
+        stale = set().union(*[self.manifest(v).folders() for v in old]) - used
+        for folder in sorted(stale):
+            self.remove(folder)
+        for version in old:
+            self.remove(f"{self.root}/_versions/{version:012d}.json")
+
     # -- reading -------------------------------------------------------------------
 
     def read(self, name: str, buckets: list[int] | None = None,
@@ -150,14 +176,27 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name].ddl)
         return self.spark.read.schema(TABLES[name].ddl).parquet(*folders)
 
-    def compact(self, folders_per_bucket: int = 16) -> None:
-        """Rewrites buckets that appends have spread over many folders."""
+    def compact(self, folders_per_bucket: int = 16) -> bool:
+        """Rewrites buckets that appends have spread over many folders.
+
+        Gives way to a batch published meanwhile; false if nothing was published.
+        """
         commit = Commit(self, self.manifest())
-        for name, state in commit.base.tables.items():
-            worn = [b for b, f in state.buckets.items() if len(f.folders) > folders_per_bucket]
-            if worn:
-                commit.replace(name, commit.read(name, worn), worn)
-        commit.publish()
+        worn = {
+            name: [b for b, files in state.buckets.items() if len(files.folders) > folders_per_bucket]
+            for name, state in commit.base.tables.items()
+        }
+        if not any(worn.values()):
+            return False
+        for name, buckets in worn.items():
+            if buckets:
+                commit.replace(name, commit.read(name, buckets), buckets)
+        try:
+            commit.publish()
+        except VersionConflict:
+            commit.abandon()
+            return False
+        return True
 
 
 class Commit:
@@ -171,6 +210,7 @@ class Commit:
         self.next = Manifest.from_json(base.to_json())
         self.next.version = base.version + 1
         self._sizes: dict[str, tuple[int, int]] = {}
+        self._written: list[str] = []
 
     def bucket_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.base.bucket_count)).cast("int")
@@ -215,6 +255,7 @@ class Commit:
     def _write(self, name: str, frame: DataFrame) -> dict[int, BucketFiles]:
         table = TABLES[name]
         folder = f"{self.store.root}/{name}/{self.id}-{uuid.uuid4().hex[:8]}"
+        self._written.append(folder)
         (
             frame.select(*table.columns, self.row_bucket(name).alias("bucket"))
             .hint("rebalance", "bucket")
@@ -251,3 +292,13 @@ class Commit:
         if stream is not None:
             self.next.batches[stream] = batch_id
         self.store.publish(self.next)
+
+    def drop_stage(self) -> None:
+        """Removes the intermediate results, once nothing reads them any more."""
+        self.store.remove(f"{self.store.root}/_stage/{self.id}")
+
+    def abandon(self) -> None:
+        """Removes everything an unpublished commit has written."""
+        self.drop_stage()
+        for folder in self._written:
+            self.store.remove(folder)

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from conftest import media
 from pyspark.sql import functions as F
@@ -55,6 +57,22 @@ def test_second_writer_has_to_start_again(spark, store):
     assert store.read("viewer").count() == 2
 
 
+def test_vacuum_removes_only_what_no_kept_version_uses(spark, store):
+    for start in (1, 51):
+        commit = Commit(store, store.manifest())
+        commit.append("viewer", viewers(spark, start, start + 50))
+        commit.publish()
+    store.compact(folders_per_bucket=1)
+    before = sorted(store.read("viewer").collect())
+    folders = store.manifest(3).folders() - store.manifest().folders()
+    assert folders and all(Path(f).exists() for f in folders)
+    store.vacuum(keep=1)
+    assert not any(Path(f).exists() for f in folders)
+    assert store.versions() == [4]
+    assert sorted(store.read("viewer").collect()) == before
+    assert store.read("name").count() == 4
+
+
 def test_reconcile_retries_after_a_conflict(spark, store, documents, monkeypatch):
     work, raced = reconcile._apply_media, []
 
@@ -70,6 +88,9 @@ def test_reconcile_retries_after_a_conflict(spark, store, documents, monkeypatch
     reconcile_media(store, documents(media(1)))
     assert store.read("viewer").count() == 2
     assert store.read("media").count() == 1
+    assert not list(Path(store.root, "_stage").iterdir())
+    written = {str(p) for p in Path(store.root, "media").iterdir()}
+    assert written == {str(Path(f).parent) for f in store.manifest().folders() if "/media/" in f}
 
 
 def test_compact_keeps_rows(spark, store):
@@ -78,6 +99,7 @@ def test_compact_keeps_rows(spark, store):
         commit.append("viewer", viewers(spark, i * 50 + 1, i * 50 + 51))
         commit.publish()
     before = sorted(store.read("viewer").collect())
-    store.compact(folders_per_bucket=2)
+    assert store.compact(folders_per_bucket=2)
+    assert not store.compact(folders_per_bucket=2)
     assert sorted(store.read("viewer").collect()) == before
     assert all(len(f.folders) == 1 for f in store.manifest().tables["viewer"].buckets.values())
