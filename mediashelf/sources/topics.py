@@ -13,7 +13,7 @@ def _documents(frame: DataFrame, source: str) -> DataFrame:
     value = F.col("value").cast("string").alias("value")
     if source != "kafka":
         return frame.select("seq", value)
-    # offset first, partition last: unique, and arrival order within a partition
+    # offset first, partition last: unique in a topic, and arrival order within a partition
     seq = F.shiftleft("offset", PARTITION_BITS) + F.col("partition")
     return frame.select(seq.alias("seq"), value)
 
