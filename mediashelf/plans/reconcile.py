@@ -10,6 +10,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +30,25 @@ ENTRY_ATTRIBUTES = ["date_start", "date_end", "score", "status_id"]
 STAFF_NAMES = ["first_name", "last_name", "full_name", "native_name"]
 
 
-def _together(*steps: Callable[[], None]) -> None:
+def _together(commit: Commit, *steps: Callable[[], None]) -> None:
     """Runs independent steps at the same time; the first failure is raised."""
+    target = inheritable_thread_target(commit.spark)
     with ThreadPoolExecutor(len(steps)) as pool:
-        for done in [pool.submit(step) for step in steps]:
+        for done in [pool.submit(target(step)) for step in steps]:
             done.result()
 
 
 def _retrying(store: Store, stream: str, batch_id: int | None, work, attempts: int = 5) -> bool:
     """Publishes one batch; false if it was published before.
 
-    When another writer publishes in between, the batch is computed again on top of that
-    version.
+    When another application publishes in between, the batch is computed again on top of
+    that version.
     """
+    with store.turn():
+        return _attempts(store, stream, batch_id, work, attempts)
+
+
+def _attempts(store: Store, stream: str, batch_id: int | None, work, attempts: int) -> bool:
     for attempt in range(attempts):
         base = store.manifest()
         if batch_id is not None and base.batches.get(stream, -1) >= batch_id:
@@ -182,6 +189,7 @@ def _apply_media(commit: Commit, docs: DataFrame) -> None:
     valid = docs_op.valid_documents(parsed)
     scopes = []
     _together(
+        commit,
         lambda: _quarantine(commit, parsed, MEDIA_STREAM),
         lambda: _studios(commit, valid),
         lambda: _staff(commit, valid),
@@ -226,7 +234,7 @@ def _named_media(commit: Commit, valid: DataFrame) -> Scope:
         keys = _resolve_id(commit, marks, "media", "ext_media_id", keep=True)
         scopes.append(_scope(commit, keys, "media_id", "media-scope"))
 
-    _together(tags, media)
+    _together(commit, tags, media)
     return scopes[0]
 
 
@@ -294,7 +302,7 @@ def _media_links(commit: Commit, valid: DataFrame, scope: Scope) -> None:
         rows = _resolve_name(commit, rows, "nametype", "kind", "name_type_id")
         _relink(commit, "media_name", rows, scope, ["name_type_id", "name"])
 
-    _together(genres, tags, studios, staff, names)
+    _together(commit, genres, tags, studios, staff, names)
 
 
 def _link_pending(commit: Commit, scope: Scope) -> None:
@@ -354,7 +362,7 @@ def _apply_lists(commit: Commit, parsed: DataFrame) -> None:
         status = F.explode(F.array_distinct(F.transform("entries", lambda e: e["status"])))
         _insert_names(commit, valid.select(F.lit("watchstatus").alias("kind"), status.alias("name")))
 
-    _together(lambda: _quarantine(commit, parsed, LIST_STREAM), viewers, statuses)
+    _together(commit, lambda: _quarantine(commit, parsed, LIST_STREAM), viewers, statuses)
     scope = scopes[0]
     latest = valid.join(scope.keys, ["ext_user_id", "seq"]).select("viewer_id", "entries")
     rows = _resolve_name(
@@ -367,6 +375,7 @@ def _apply_lists(commit: Commit, parsed: DataFrame) -> None:
     known = F.col("media_id").isNotNull()
     payload = [*ENTRY_ATTRIBUTES, "progress", "rewatched"]
     _together(
+        commit,
         lambda: _relink(commit, "list_entry", entries.filter(known).drop("ext_media_id"),
                         scope, ["media_id"], payload),
         lambda: _relink(commit, "pending_entry", entries.filter(~known).drop("media_id"),

@@ -9,7 +9,9 @@ never changed, so running readers are safe and a lost executor can read its inpu
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +76,9 @@ class Manifest:
         return cls(raw["version"], raw["bucket_count"], tables, raw["batches"])
 
 
+_TURNS: dict[str, threading.RLock] = defaultdict(threading.RLock)
+
+
 class Store:
     """A folder of versioned tables, on any file system Spark can reach."""
 
@@ -105,6 +110,14 @@ class Store:
     def _file_system(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def turn(self) -> threading.RLock:
+        """Held while a batch is computed and published.
+
+        Streams of one application take turns, so a long batch never loses to short ones;
+        writers of different applications meet only when they publish.
+        """
+        return _TURNS[self.root]
+
     def versions(self) -> list[int]:
         """All versions whose manifest is still kept, oldest first."""
         listed = self._file_system().listStatus(self._path("_versions"))
@@ -181,6 +194,10 @@ class Store:
 
         Gives way to a batch published meanwhile; false if nothing was published.
         """
+        with self.turn():
+            return self._compact(folders_per_bucket)
+
+    def _compact(self, folders_per_bucket: int) -> bool:
         commit = Commit(self, self.manifest())
         worn = {
             name: [b for b, files in state.buckets.items() if len(files.folders) > folders_per_bucket]

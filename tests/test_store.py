@@ -103,3 +103,15 @@ def test_compact_keeps_rows(spark, store):
     assert not store.compact(folders_per_bucket=2)
     assert sorted(store.read("viewer").collect()) == before
     assert all(len(f.folders) == 1 for f in store.manifest().tables["viewer"].buckets.values())
+
+
+def test_streams_of_one_application_take_turns(spark, store, documents):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        batches = [documents(media(i, genres=["A", f"g{i}"])) for i in range(2)]
+        done = [pool.submit(reconcile_media, store, batch) for batch in batches]
+        assert all(d.result() for d in done)
+    assert store.versions() == [1, 2, 3]
+    assert store.read("media").count() == 2
+    assert store.read("name").filter("kind = 'genre'").count() == 3
