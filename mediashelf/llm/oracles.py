@@ -72,6 +72,16 @@ SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, tokens
 FROM (SELECT *, unnest(range(1, times + 1)) AS epoch FROM taken)
 """
 
+OP9 = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
+), g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
+  sha256(norm) AS text_sha256
+FROM t JOIN g USING (norm)
+"""
+
 OP10 = r"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES
   ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -96,4 +106,4 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM urls LEFT JOIN best USING (host, path)
 """
 
-ORACLES = {"op8_mix_sources": OP8, "op10_url_filters": OP10}
+ORACLES = {"op8_mix_sources": OP8, "op9_exact_dedup": OP9, "op10_url_filters": OP10}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashelf.llm import mixing, url_filter
+from mediashelf.llm import exact_dedup, language, mixing, quality, url_filter
+from mediashelf.llm.common import fold
 
 URL_RULES = [  # fixed values: the rules every page is judged by
     ("com", "/", "allow"),
@@ -47,6 +48,35 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from the labelled documents outside the held-out third."""
+    return quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select(
+        F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return language.identify(docs, model).select(
+        F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"),
+        "lang_pred", "score")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its copies."""
+    return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -55,6 +85,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
+    "op5_language": op5_language,
     "op8_mix_sources": op8_mix_sources,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
 }
