@@ -2,6 +2,38 @@
 
 from __future__ import annotations
 
+OP6 = """
+WITH turns AS (
+  SELECT conv_id, replace(coalesce(role, ''), '<|', '< |') AS s,
+    replace(coalesce(text, ''), '<|', '< |') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      replace(coalesce(role, ''), '<|', '< |'), replace(coalesce(text, ''), '<|', '< |')) - 1 AS rank
+  FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, s AS perspective FROM turns WHERE s <> 'system'
+), said AS (
+  SELECT t.conv_id, perspective, rank, rank // 64 AS part, s = perspective AS own,
+    CASE WHEN s = 'system' THEN '<|system|>' WHEN s = perspective THEN '<|assistant|>'
+      ELSE '<|user:' || s || '|>' END || chr(10) AS head, x || '<|end|>' AS body
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective
+    ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM said
+), parts AS (
+  SELECT conv_id, perspective, part, count(*) AS n_turns,
+    count(*) FILTER (own) AS n_own, min(pos) AS start,
+    string_agg(head || body || chr(10), '' ORDER BY rank) AS rendered,
+    list(pos + length(head) ORDER BY rank) FILTER (own) AS a,
+    list(pos + length(head) + length(body) ORDER BY rank) FILTER (own) AS b
+  FROM placed GROUP BY 1, 2, 3
+)
+SELECT conv_id, perspective, part::INTEGER AS part, n_turns::INTEGER AS n_turns,
+  n_own::INTEGER AS n_own, start::BIGINT AS start, rendered,
+  coalesce(array_to_string(list_transform(a, lambda v: (v - start)::VARCHAR), ','), '') AS mask_starts,
+  coalesce(array_to_string(list_transform(b, lambda v: (v - start)::VARCHAR), ','), '') AS mask_ends
+FROM parts
+"""
+
 OP8 = r"""
 WITH docs AS (
   SELECT doc_id, lang, source, CASE WHEN source IN ('src0','src1','src2','src3','src4')
@@ -106,4 +138,4 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM urls LEFT JOIN best USING (host, path)
 """
 
-ORACLES = {"op8_mix_sources": OP8, "op9_exact_dedup": OP9, "op10_url_filters": OP10}
+ORACLES = {"op6_chat_formatting": OP6, "op8_mix_sources": OP8, "op9_exact_dedup": OP9, "op10_url_filters": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashelf.llm import exact_dedup, language, mixing, quality, url_filter
+from mediashelf.llm import chat, exact_dedup, language, mixing, quality, url_filter
 from mediashelf.llm.common import fold
 
 URL_RULES = [  # fixed values: the rules every page is judged by
@@ -39,6 +39,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the perspective of each of its participants."""
+    return chat.rotate(_table(spark, sf_dir, "conversations")).select(
+        "conv_id", "perspective", "part", "n_turns", "n_own", "start", "rendered",
+        F.array_join("mask_starts", ",").alias("mask_starts"),
+        F.array_join("mask_ends", ",").alias("mask_ends"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every time a document is taken into the mixture."""
     docs = _table(spark, sf_dir, "documents")
@@ -87,6 +95,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality": op3_quality,
     "op5_language": op5_language,
+    "op6_chat_formatting": op6_chat_formatting,
     "op8_mix_sources": op8_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
