@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediashelf.llm.common import small, staged
 
 LEVELS = ("domain", "language", "source")
-SLICE_ROWS = 50_000  # rows of one leaf ordered together; a leaf of more rows has more slices
+SLICE_ROWS = 1_000  # rows of one leaf ordered together; a leaf of more rows has more slices
 
 
 def key_of(seed: int, epoch: int, doc_id):
