@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashelf.llm import chat, exact_dedup, language, mixing, quality, url_filter
+from mediashelf.llm import chat, exact_dedup, language, mixing, pieces, quality, url_filter
 from mediashelf.llm.common import fold
 
 URL_RULES = [  # fixed values: the rules every page is judged by
@@ -56,6 +56,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and whether decoding them gives the text back."""
+    coded = pieces.with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join("ids", ",")
+    return coded.select(
+        "doc_id", F.size("ids").alias("n_ids"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Learned from the labelled documents outside the held-out third."""
     return quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
@@ -93,6 +102,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_quality": op3_quality,
     "op5_language": op5_language,
     "op6_chat_formatting": op6_chat_formatting,
