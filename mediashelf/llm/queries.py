@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashelf.llm import chat, exact_dedup, language, mixing, pieces, quality, url_filter
+from mediashelf.llm import chat, exact_dedup, language, mixing, near_dedup, pieces, quality, url_filter
 from mediashelf.llm.common import fold
 
 URL_RULES = [  # fixed values: the rules every page is judged by
@@ -47,6 +47,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("mask_ends", ",").alias("mask_ends"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near-duplicates by four-word shingles."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every time a document is taken into the mixture."""
     docs = _table(spark, sf_dir, "documents")
@@ -106,6 +111,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_language": op5_language,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_near_dedup": op7_near_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
