@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+OP4 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(id, c) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id
+), parts AS (SELECT id, min(c) AS c FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, vec_id) AS component_id,
+  vec_id IS NOT DISTINCT FROM coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN parts ON parts.id = vec_id
+"""
+
 OP6 = """
 WITH turns AS (
   SELECT conv_id, replace(coalesce(role, ''), '<|', '< |') AS s,
@@ -138,4 +159,4 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM urls LEFT JOIN best USING (host, path)
 """
 
-ORACLES = {"op6_chat_formatting": OP6, "op8_mix_sources": OP8, "op9_exact_dedup": OP9, "op10_url_filters": OP10}
+ORACLES = {"op4_vector_dedup": OP4, "op6_chat_formatting": OP6, "op8_mix_sources": OP8, "op9_exact_dedup": OP9, "op10_url_filters": OP10}

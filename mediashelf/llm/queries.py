@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashelf.llm import chat, exact_dedup, language, mixing, near_dedup, pieces, quality, url_filter
+from mediashelf.llm import chat, exact_dedup, language, mixing, near_dedup, pieces, quality, url_filter, vector_dedup
 from mediashelf.llm.common import fold
 
 URL_RULES = [  # fixed values: the rules every page is judged by
@@ -85,6 +85,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of links and its component."""
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -109,6 +114,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality": op3_quality,
+    "op4_vector_dedup": op4_vector_dedup,
     "op5_language": op5_language,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_near_dedup": op7_near_dedup,
