@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -312,9 +312,11 @@ def with_ids(docs: DataFrame, model_file: str = DEFAULT_MODEL, text: str = "text
     key = f"{model_file}:{len(data)}:{os.path.getmtime(model_file)}"
     docs = docs.drop(*[c for c in (ids, back) if c and c != text])
     place = docs.columns.index(text)
-    kept = docs.schema
-    schema = kept.add(ids, "array<int>")
-    schema = schema.add(back, "string") if back else schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if back:
+        schema.add(back, "string")
+
+    names = schema.names
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(key, shared.value)
@@ -328,6 +330,6 @@ def with_ids(docs: DataFrame, model_file: str = DEFAULT_MODEL, text: str = "text
                 if back:
                     columns.append(pa.array([None if f is None else pieces.decode(f)
                                              for f in found], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(batches, schema)
