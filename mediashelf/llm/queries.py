@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashelf.llm import chat, exact_dedup, language, mixing, near_dedup, pieces, quality, url_filter, vector_dedup
+from mediashelf.llm import chat, exact_dedup, language, mixing, near_dedup, pieces, quality, substring_dedup, url_filter, vector_dedup
 from mediashelf.llm.common import fold
 
 URL_RULES = [  # fixed values: the rules every page is judged by
@@ -70,6 +70,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that also start anywhere else."""
+    return substring_dedup.summary(_table(spark, sf_dir, "documents"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Learned from the labelled documents outside the held-out third."""
     return quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
@@ -113,6 +118,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_vector_dedup": op4_vector_dedup,
     "op5_language": op5_language,
