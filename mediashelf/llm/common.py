@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mediashelf.session import written
@@ -46,22 +46,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            both.where("v > u").join(small(staged(least, "least")), "u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        large = large.where("u <> v").distinct()
+        large = staged(large.where("u <> v").distinct(), "links")
         # small star: the neighbours below x, and x itself, point to the smallest of them
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        below = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small_star = (
-            large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(small(below), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(below.select("u", F.col("m").alias("v")))
         )
-        links = staged(small_star.where("u <> v").distinct(), "links")
-        mark = links.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if mark == before:
+        seen = Observation()
+        links = staged(small_star.where("u <> v").distinct().observe(
+            seen, F.count("*").alias("n"),
+            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")), "links")
+        if seen.get == before:
             break
-        before = mark
+        before = seen.get
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     members = links.select(F.col("u").alias("id"), F.col("v").alias("component"))

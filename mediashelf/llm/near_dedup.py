@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ HASHES = 64  # minwise tokens of a document
 TREES = 12  # independent trees, each starting at a token position of its own
 NODE_LIMIT = 48  # a node of so many sets or fewer is compared exhaustively
 SPLITS = 1.25  # branches a set takes at a crowded node, on average: 1 / 0.8
-LEVELS = 14  # deeper nodes are compared block by block
+LEVELS = 14  # deeper nodes are compared block by block,
+PAIRS_PER_SET = 64  # and so are all that are left once they make so many pairs per set or fewer
 ID_ROWS = 1_000_000  # ids (8 bytes each) broadcast at most
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _RANDOM = np.random.default_rng(20_240_607)
@@ -151,8 +153,8 @@ def near_duplicates(
     by further tokens (1 / 0.8 of them on average, so that linked pairs stay together as often
     as not while others part).  A crowded node whose sets are all connected already is done:
     comparing its pairs would add nothing.  Links found by any tree are confirmed on full sets.
-    Nodes still crowded after LEVELS branchings are compared block by block, so none is left
-    out.  With 12 trees a pair at 0.8 meets in a small node of at least one with a probability
+    What is left is compared block by block as soon as that is no more than PAIRS_PER_SET pairs
+    per set, and after LEVELS branchings in any case, so none is left out.  With 12 trees a pair at 0.8 meets in a small node of at least one with a probability
     above 0.999.
     """
     rows = staged(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(
@@ -163,46 +165,52 @@ def near_duplicates(
         F.min(F.struct("id", "tokens", *SKETCH)).alias("c")
     ).select("key", "n", F.col("c.id").alias("id"), "c.tokens", *[f"c.{s}" for s in SKETCH]), "classes")
     least = int(HASHES * (percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
+    n_classes = classes.count()
     trees = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
-    nodes = classes.select("id", *SKETCH, trees).select(
-        F.xxhash64("tree", "token").alias("node"), "id", *SKETCH).distinct()
+    nodes = classes.select("id", trees).select(F.xxhash64("tree", "token").alias("node"), "id")
+    sketches = classes.select("id", *SKETCH)
     spark = docs.sparkSession
-    links = spark.createDataFrame([], f"a {kind}, b {kind}")
-    labels = spark.createDataFrame([], f"id {kind}, component {kind}")
+    state = _State(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), words, percent,
+                   spark.createDataFrame([], f"a {kind}, b {kind}"),
+                   spark.createDataFrame([], f"id {kind}, component {kind}"))
     for level in range(LEVELS + 1):
-        crowds = nodes.groupBy("node").agg(
-            F.count("*").alias("size"), F.min(F.struct("id", *SKETCH)).alias("first")
-        ).where("size > 1")
-        alive = staged(nodes.join(crowds, "node"), "nodes")
+        crowds = staged(nodes.groupBy("node").agg(
+            F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1"), "crowds")
+        alive = staged(nodes.join(crowds, "node").join(sketches, "id"), "nodes")
         few, many = alive.where(F.col("size") <= NODE_LIMIT), alive.where(F.col("size") > NODE_LIMIT)
-        x, y = few.alias("x"), few.alias("y")
+        x, y = few.alias("x"), few.select("node", "id", *SKETCH).alias("y")
         pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
                        & (_agreement("x", "y") >= least)).select(
             F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        stars = many.where(F.col("id") != F.col("first.id")).alias("x").where(
-            _agreement("x", "x.first") >= least).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-        pairs = pairs.unionByName(stars)
-        if level == LEVELS:
-            pairs = pairs.unionByName(_block_pairs(many, least))
-        pairs = staged(pairs.distinct(), "pairs")
-        links, labels = _grown(pairs, links, labels, docs, doc_id, text, words, percent)
-        named = many.join(labels, "id", "left").withColumn(
+        firsts = staged(crowds.where(F.col("size") > NODE_LIMIT).select(
+            F.col("node"), F.col("first").alias("id")).join(sketches, "id"), "firsts")
+        stars = many.alias("x").join(firsts.alias("y"), "node").where(
+            (F.col("x.id") != F.col("y.id")) & (_agreement("x", "y") >= least)).select(
+            F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+        state = _grown(staged(pairs.unionByName(stars).distinct(), "pairs"), state)
+        named = many.join(state.labels, "id", "left").withColumn(
             "component", F.coalesce("component", "id"))
-        mixed = named.groupBy("node").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        rest = many.join(mixed.select("node"), "node", "left_semi")
+        mixed = staged(named.groupBy("node").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")
+        ).where("lo <> hi").select("node", "n"), "mixed")
+        work = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+        if not work:
+            break
+        rest = named.join(mixed.select("node"), "node", "left_semi")
+        if level == LEVELS or work <= PAIRS_PER_SET * n_classes:
+            state = _grown(staged(_block_pairs(staged(rest, "rest"), least).distinct(), "pairs"), state)
+            break
         # which tokens a node branches by is drawn from the node: one, or at times a second one
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HASHES - TREES)) + TREES
         second = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(HASHES - TREES)) + TREES
         also = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < round(1000 * (SPLITS - 1))
         choice = F.when(also & (first != second), F.array(first, second)).otherwise(F.array(first))
         nodes = staged(
-            rest.withColumn("at", F.explode(choice))
+            rest.select("node", "id", F.explode(choice).alias("at"))
             .join(classes.select("id", "tokens"), "id")
-            .select(F.xxhash64("node", "at", F.expr("tokens[cast(at AS int)]")).alias("node"),
-                    "id", *SKETCH).distinct(), "branches")
-        if level == LEVELS or nodes.isEmpty():
-            break
+            .select(F.xxhash64("node", "at", F.expr("tokens[cast(at AS int)]")).alias("node"), "id"),
+            "branches")
+    labels = state.labels
     member = rows.select("id", "n", "key").join(
         classes.select("key", "n", F.col("id").alias("rep")), ["key", "n"], "left")
     out = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -214,33 +222,53 @@ def near_duplicates(
 
 
 def _block_pairs(many: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs of nodes that branching cannot make small: every block of a node meets
-    every block of the same node, in a task of its own."""
+    """Candidate pairs of nodes that are not branched further: every block of a node meets every
+    block of the same node.  Pairs that are in one component already are left out."""
     blocks = F.ceil(F.col("size") / NODE_LIMIT)
     rows = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("blocks", blocks)
+    columns = ["node", "id", "component", *SKETCH, "block"]
     x = rows.withColumn("other", F.explode(F.expr("sequence(block, cast(blocks - 1 AS bigint))")))
-    y = rows.select("node", "id", *SKETCH, F.col("block").alias("other")).alias("y")
-    mine = x.select("node", "id", *SKETCH, "block", "other").alias("x")
-    upper = mine.join(y, ["node", "other"]).where(
-        ((F.col("block") < F.col("other")) | (F.col("x.id") < F.col("y.id")))
-        & (F.col("x.id") != F.col("y.id")) & (_agreement("x", "y") >= least))
-    return upper.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-
-def _grown(pairs, links, labels, docs, doc_id, text, words, percent):
+    x = x.select(*columns, "other").alias("x")
+    y = rows.select(*columns, F.col("block").alias("other")).alias("y")
+    met = x.join(y, ["node", "other"]).where(
+        ((F.col("x.block") < F.col("other")) | (F.col("x.id") < F.col("y.id")))
+        & (F.col("x.component") != F.col("y.component")) & (_agreement("x", "y") >= least))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+@dataclass(frozen=True)
+class _State:
+    """Texts by id, how they are compared, and the confirmed links and components so far."""
+
+    texts: DataFrame
+    words: int
+    percent: int
+    links: DataFrame
+    labels: DataFrame
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        a = self.labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+        b = self.labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        return pairs.join(a, "a", "left").join(b, "b", "left").where(
+            F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def with_links(self, links: DataFrame) -> _State:
+        if links.isEmpty():
+            return self
+        links = staged(self.links.unionByName(links), "links")
+        return replace(self, links=links, labels=staged(components(links), "labels"))
+
+
+def _grown(pairs: DataFrame, state: _State) -> _State:
     """Links and labels after confirming candidate pairs: first one pair for every set, then
     those whose ends are still in different components."""
     if pairs.isEmpty():
-        return links, labels
-    asked = pairs
-    a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    asked = asked.join(a, "a", "left").join(b, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    asked = staged(asked, "asked")
+        return state
+    asked = staged(state.apart(pairs), "asked")
     ids = asked.select(F.col("a").alias("id")).unionByName(
         asked.select(F.col("b").alias("id"))).distinct()
-    ids = small(staged(ids, "ids"), ID_ROWS)
+    words = state.words
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -250,20 +278,12 @@ def _grown(pairs, links, labels, docs, doc_id, text, words, percent):
                 [part.column(0), pa.array(sets, pa.binary())], names=["id", "members"])
 
     kind = dict(pairs.dtypes)["a"]
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    texts = state.texts.join(small(staged(ids, "ids"), ID_ROWS), "id", "left_semi")
     sets = staged(texts.mapInArrow(batches, f"id {kind}, members binary"), "members")
-    one = asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(links.unionByName(_confirmed(one, sets, percent)), "confirmed")
-    labels = staged(components(links), "labels")
-    a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = asked.join(one, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = staged(_confirmed(apart, sets, percent), "confirmed")
-    if more.isEmpty():
-        return links, labels
-    links = staged(links.unionByName(more), "links")
-    return links, staged(components(links), "labels")
+    one = staged(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    state = state.with_links(staged(_confirmed(one, sets, state.percent), "confirmed"))
+    left = state.apart(asked.join(one, ["a", "b"], "left_anti"))
+    return state.with_links(staged(_confirmed(left, sets, state.percent), "confirmed"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
