@@ -96,7 +96,7 @@ def _coded(bits: int, tables: int):
 
 
 def _compared(least: float):
-    def group(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         table, low, high = int(key[3]), int(key[4]), int(key[5])
         rows = rows.sort_values(["block", "id"], ignore_index=True)
         block = rows["block"].to_numpy()
