@@ -95,10 +95,5 @@ def title_rows(synonyms: Column, romaji: Column, english: Column, native: Column
     )
 
 
-def changed(new: Column, old: Column) -> Column:
-    """Null-safe "any attribute differs" over two structs."""
-    return ~new.eqNullSafe(old)
-
-
 def max_or_zero(column: Column) -> Column:
     return F.coalesce(F.max(column), F.lit(0))

@@ -27,24 +27,26 @@ def two_way_diff(
     compared on ``scope_key`` and ``keys``; ``payload`` comes from the incoming row,
     ``retained`` (a surrogate) from the stored one.
 
-    Stored and incoming rows meet in one aggregation on the whole identity, which no single
-    scope key can skew; marking the stored rows takes no shuffle while the scope is small
-    enough to broadcast.
+    Stored rows of the scope and incoming rows meet in one aggregation on the whole identity,
+    which no single scope key can skew; stored rows outside the scope pass by it.  Marking the
+    stored rows takes no shuffle while the scope is small enough to broadcast.  Incoming rows
+    must be of the scope.
     """
     identity = [scope_key, *keys]
     payload, retained = list(payload), list(retained)
     marks = scope.select(scope_key, F.lit(True).alias("_in_scope"))
     size = None if scope_rows is None else plain_bytes(scope_rows, 2)
     marked = lookup_join(existing, marks, [scope_key], "left", size)
-    rows = marked.select(
-        *identity, *payload, *retained, "_in_scope", F.lit(True).alias("_stored"),
+    outside = marked.filter(F.col("_in_scope").isNull()).select(
+        *identity, *payload, *retained, F.lit(OUTSIDE).alias("action"))
+    rows = marked.filter("_in_scope").select(
+        *identity, *payload, *retained, F.lit(True).alias("_stored"),
     ).unionByName(
         incoming.select(*identity, *payload, F.lit(False).alias("_stored")),
         allowMissingColumns=True,
     )
     stored = F.col("_stored")
     merged = rows.groupBy(*identity).agg(
-        F.bool_or("_in_scope").alias("_in_scope"),
         F.bool_or(stored).alias("_stored"),
         F.bool_or(~stored).alias("_arrived"),
         *[F.max(F.when(stored, F.col(c))).alias(f"_old_{c}") for c in payload],
@@ -57,8 +59,7 @@ def two_way_diff(
     action = (
         F.when(~F.col("_stored"), INSERT)
         .when(F.col("_arrived"), F.when(same, KEEP).otherwise(UPDATE))
-        .when(F.col("_in_scope"), DELETE)
-        .otherwise(OUTSIDE)
+        .otherwise(DELETE)
     )
     return merged.select(
         *identity,
@@ -66,7 +67,7 @@ def two_way_diff(
           for c in payload],
         *retained,
         action.alias("action"),
-    )
+    ).unionByName(outside)
 
 
 def after_diff(diff: DataFrame) -> DataFrame:

@@ -124,10 +124,10 @@ def parse_media(docs: DataFrame) -> DataFrame:
         "format": X.text_or_null(m["format"]),
         "source": X.text_or_null(m["source"]),
         "status": X.text_or_null(m["status"]),
-        "tags": F.transform(tags, _tag),
+        "tags": F.array_distinct(F.transform(tags, _tag)),
         "genres": F.array_distinct(F.transform(genres, X.text_or_null)),
-        "studios": F.transform(studios, _studio),
-        "staff": F.transform(staff, _staff),
+        "studios": F.array_distinct(F.transform(studios, _studio)),
+        "staff": F.array_distinct(F.transform(staff, _staff)),
     }
     return _keep_valid(_parsed(docs, MEDIA_DOCUMENT), reason, columns)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mediashelf.operators import documents as docs_op
 from mediashelf.operators import flatten
-from mediashelf.operators.diff import after_diff, two_way_diff
+from mediashelf.operators.diff import after_diff, changes, two_way_diff
 from mediashelf.operators.dimensions import absent, first_seen, last_seen, overwrite
 from mediashelf.operators.keys import assign_keys
 from mediashelf.operators.lookups import lookup_join, missing_keys, names_of, plain_bytes
@@ -25,7 +25,7 @@ from mediashelf.sources.requests import media_messages
 from mediashelf.sources.store import Commit, Store, VersionConflict
 
 MEDIA_STREAM, LIST_STREAM = "media", "lists"
-SMALL_ROWS = 100_000
+ATTEMPTS = 5
 ENTRY_ATTRIBUTES = ["date_start", "date_end", "score", "status_id"]
 STAFF_NAMES = ["first_name", "last_name", "full_name", "native_name"]
 
@@ -38,7 +38,7 @@ def _together(commit: Commit, *steps: Callable[[], None]) -> None:
             done.result()
 
 
-def _retrying(store: Store, stream: str, batch_id: int | None, work, attempts: int = 5) -> bool:
+def _retrying(store: Store, stream: str, batch_id: int | None, work, attempts: int) -> bool:
     """Publishes one batch; false if it was published before.
 
     When another application publishes in between, the batch is computed again on top of
@@ -71,14 +71,7 @@ def _attempts(store: Store, stream: str, batch_id: int | None, work, attempts: i
 
 
 def _against(commit: Commit, name: str, incoming: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Incoming rows and the buckets of a table they have to be compared with.
-
-    A small table is compared whole; for a larger one the incoming keys are written once and
-    only the buckets they fall in are read.
-    """
-    state = commit.state(name)
-    if state.rows <= SMALL_ROWS:
-        return incoming, list(state.buckets)
+    """Incoming rows, written once, and the buckets of a table that they fall in."""
     incoming = commit.stage(incoming, f"incoming-{name}")
     return incoming, commit.touched(name, incoming)
 
@@ -137,7 +130,12 @@ def _relink(commit: Commit, name: str, incoming: DataFrame, scope: Scope, keys:
     diff = two_way_diff(
         commit.read(name, scope.buckets), incoming, scope.keys, scope_key, keys, payload,
         retained, scope.rows)
-    _write_links(commit, name, after_diff(diff), keys, scope.buckets)
+    diff = commit.stage(diff, f"diff-{name}")
+    # equal sets need no write: only buckets with a row to insert, update or delete are replaced
+    changed = commit.touched_any(name, changes(diff))
+    if changed:
+        inside = diff.filter(commit.row_bucket(name).isin(changed))
+        _write_links(commit, name, after_diff(inside), keys, changed)
 
 
 def _write_links(commit: Commit, name: str, rows: DataFrame, keys: list[str],
@@ -168,9 +166,13 @@ def _resolve_name(commit: Commit, frame: DataFrame, kind: str, column: str,
 
 def _resolve_id(commit: Commit, frame: DataFrame, name: str, key: str, how: str = "inner",
                 keep: bool = False) -> DataFrame:
-    """Replaces an external id column by the surrogate key of a dimension."""
-    ids = commit.read(name).select(key, TABLES[name].surrogate)
-    size = plain_bytes(commit.state(name).rows, 2)
+    """Replaces an external id column by the surrogate key of a dimension.
+
+    ``frame`` is written; only the buckets its keys fall in are read.
+    """
+    buckets = commit.touched(name, frame)
+    ids = commit.read(name, buckets).select(key, TABLES[name].surrogate)
+    size = plain_bytes(commit.state(name).rows_in(buckets), 2)
     joined = lookup_join(frame, ids, [key], how, size)
     return joined if keep else joined.drop(key)
 
@@ -178,14 +180,28 @@ def _resolve_id(commit: Commit, frame: DataFrame, name: str, key: str, how: str
 # -- media -------------------------------------------------------------------------
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """Documents with a ``seq`` that no two share: when they arrived, their number, and their
+    place in the batch.  Written before anything compares it."""
+    arrived = F.col("arrived") if "arrived" in docs.columns else F.lit(0).cast("bigint")
+    return docs.select(
+        F.struct(arrived.alias("arrived"), F.col("seq").alias("number"),
+                 F.monotonically_increasing_id().alias("place")).alias("seq"),
+        "value")
+
+
 def reconcile_media(store: Store, docs: DataFrame, batch_id: int | None = None,
-                    stream: str = MEDIA_STREAM) -> bool:
-    """Applies ``(seq, value)`` media documents in ``seq`` order, as one version."""
-    return _retrying(store, stream, batch_id, lambda commit: _apply_media(commit, docs))
+                    stream: str = MEDIA_STREAM, attempts: int = ATTEMPTS) -> bool:
+    """Applies ``(seq, value)`` media documents in order, as one version.
+
+    ``arrived``, if there is such a column, comes before ``seq``; documents equal in both are
+    taken in the order they stand in the batch.
+    """
+    return _retrying(store, stream, batch_id, lambda commit: _apply_media(commit, docs), attempts)
 
 
 def _apply_media(commit: Commit, docs: DataFrame) -> None:
-    parsed = commit.stage(docs_op.parse_media(docs), "media")
+    parsed = commit.stage(docs_op.parse_media(in_order(docs)), "media")
     valid = docs_op.valid_documents(parsed)
     scopes = []
     _together(
@@ -203,7 +219,7 @@ def _apply_media(commit: Commit, docs: DataFrame) -> None:
 def _quarantine(commit: Commit, parsed: DataFrame, stream: str) -> None:
     bad = docs_op.quarantined(parsed, stream)
     if not bad.isEmpty():
-        commit.append("quarantine", bad)
+        commit.append("quarantine", bad.withColumn("seq", F.col("seq.number")))
 
 
 def _studios(commit: Commit, valid: DataFrame) -> None:
@@ -273,9 +289,13 @@ def _media_rows(commit: Commit, latest: DataFrame) -> None:
 def _media_links(commit: Commit, valid: DataFrame, scope: Scope) -> None:
     """The five relations of the last documents; the scope is documents, not their links."""
 
+    columns = ["genres", "tags", "studios", "staff", "names"]
+    last = commit.stage(
+        valid.select("ext_media_id", "seq", *columns).join(scope.keys, ["ext_media_id", "seq"])
+        .select("media_id", *columns), "last-documents")
+
     def linked(column: str) -> DataFrame:
-        return valid.select("ext_media_id", "seq", column).join(
-            scope.keys, ["ext_media_id", "seq"]).select("media_id", column)
+        return last.select("media_id", column)
 
     def genres() -> None:
         rows = flatten.genre_rows(linked("genres"), ["media_id"])
@@ -328,23 +348,40 @@ def _link_pending(commit: Commit, scope: Scope) -> None:
 
 def reconcile_lists(store: Store, docs: DataFrame, batch_id: int | None = None,
                     stream: str = LIST_STREAM,
-                    fetch_media: Callable[[DataFrame], DataFrame] | None = None) -> bool:
-    """Applies ``(seq, value)`` list documents in ``seq`` order, as one version.
+                    fetch_media: Callable[[DataFrame], DataFrame] | None = None,
+                    attempts: int = ATTEMPTS) -> bool:
+    """Applies ``(seq, value)`` list documents in order, as one version.
 
     Entries of unknown media wait in ``pending_entry`` until a media batch brings them.
-    With ``fetch_media`` (ids in, ``id, data`` out) they are fetched and reconciled first.
+    With ``fetch_media`` (ids in, ``id, data`` out) they are fetched and reconciled first; a
+    batch that was published before is neither parsed nor fetched again, and what was fetched
+    is written before it is used.
     """
-    reading = Commit(store, store.manifest())
-    try:
-        parsed = reading.stage(docs_op.parse_lists(docs), "lists")
-        if fetch_media is not None:
-            wanted = flatten.entry_rows(docs_op.valid_documents(parsed), [])
-            unknown = missing_keys(wanted, reading.read("media"), ["ext_media_id"])
-            fetched = fetch_media(unknown.select(F.col("ext_media_id").alias("id")))
-            reconcile_media(store, media_messages(fetched))
-        return _retrying(store, stream, batch_id, lambda commit: _apply_lists(commit, parsed))
-    finally:
-        reading.drop_stage()
+    with store.turn():
+        base = store.manifest()
+        if batch_id is not None and base.batches.get(stream, -1) >= batch_id:
+            return False
+        reading = Commit(store, base)
+        try:
+            parsed = reading.stage(docs_op.parse_lists(in_order(docs)), "lists")
+            if fetch_media is not None:
+                _fetch_unknown(store, reading, parsed, fetch_media, attempts)
+            return _retrying(
+                store, stream, batch_id, lambda commit: _apply_lists(commit, parsed), attempts)
+        finally:
+            reading.drop_stage()
+
+
+def _fetch_unknown(store: Store, reading: Commit, parsed: DataFrame,
+                   fetch_media: Callable[[DataFrame], DataFrame], attempts: int) -> None:
+    entries = flatten.entry_rows(docs_op.valid_documents(parsed), [])
+    wanted = reading.stage(entries.select("ext_media_id").distinct(), "wanted")
+    known = reading.read("media", reading.touched("media", wanted))
+    unknown = missing_keys(wanted, known, ["ext_media_id"])
+    fetched = fetch_media(unknown.select(F.col("ext_media_id").alias("id")))
+    fetched = reading.stage(media_messages(fetched), "fetched")
+    if not fetched.isEmpty():
+        reconcile_media(store, fetched, attempts=attempts)
 
 
 def _apply_lists(commit: Commit, parsed: DataFrame) -> None:
@@ -354,7 +391,7 @@ def _apply_lists(commit: Commit, parsed: DataFrame) -> None:
     def viewers() -> None:
         _insert_absent(
             commit, "viewer", valid.select("ext_user_id").distinct(), ["ext_user_id"])
-        marks = docs_op.latest_marks(valid, "ext_user_id")
+        marks = commit.stage(docs_op.latest_marks(valid, "ext_user_id"), "viewer-marks")
         keys = _resolve_id(commit, marks, "viewer", "ext_user_id", keep=True)
         scopes.append(_scope(commit, keys, "viewer_id", "list-scope"))
 

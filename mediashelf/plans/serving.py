@@ -22,11 +22,15 @@ RECOMMENDATION_COLUMNS = [
 def stored_recommendations(
     users: DataFrame, viewers: DataFrame, recommendations: DataFrame, media: DataFrame,
 ) -> DataFrame:
-    """Stored recommendations of the given ``ext_user_id`` rows, lowest score first per user."""
+    """Stored recommendations of the given ``ext_user_id`` rows, lowest score first per user.
+
+    Users stand in no order among themselves.
+    """
     wanted = viewers.join(users.select("ext_user_id").distinct(), "ext_user_id", "left_semi")
     found = lookup_join(recommendations, wanted, ["viewer_id"])
     titled = lookup_join(found, media.select("media_id", "ext_media_id", "title"), ["media_id"])
-    return titled.select(*RECOMMENDATION_COLUMNS).orderBy("ext_user_id", "score", "media_id")
+    by_user = titled.select(*RECOMMENDATION_COLUMNS).repartition("ext_user_id")
+    return by_user.sortWithinPartitions("ext_user_id", "score", "media_id")
 
 
 def recommendations_for(store: Store, users: DataFrame) -> DataFrame:
@@ -94,16 +98,64 @@ def serve(
     requests: DataFrame,
     fetch_lists: Callable[[DataFrame], DataFrame],
     generate: Callable[[DataFrame], DataFrame] = _no_generator,
+    fetch_media: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Recommendations for ``ext_user_id, params`` requests.
+    """Recommendations for ``ext_user_id, params`` requests, and the requests turned down.
 
-    Users whose recommendations are to be computed anew have their lists refreshed and are
-    handed to ``generate``, which returns the six recommendation columns.
+    Users whose recommendations are to be computed anew have their lists refreshed, media that
+    their lists name and the store lacks being fetched on the way, and are handed to
+    ``generate``, which returns the six recommendation columns.  A request that is turned down
+    comes back as one row without recommendation and with its ``reason``.
     """
     decided = refresh_decisions(requests, store.read("viewer"), store.read("recommendation"))
+    rejected = _turned_down(decided.filter(F.col("decision") == REJECTED), "bad parameters")
     answered = recommendations_for(store, decided.filter(F.col("decision") == STORED))
+    answered = answered.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
     anew = decided.filter(F.col("decision") == RECOMPUTE).select("ext_user_id").distinct()
     if anew.isEmpty():
         return answered
-    refresh_lists(store, anew, fetch_lists)
-    return answered.unionByName(generate(anew).select(*RECOMMENDATION_COLUMNS))
+    refresh_lists(store, anew, fetch_lists, fetch_media)
+    made = generate(anew).select(*RECOMMENDATION_COLUMNS)
+    return answered.unionByName(made.withColumn("reason", F.lit(None).cast("string")))
+
+
+def _turned_down(requests: DataFrame, reason: str, *carry: str) -> DataFrame:
+    kinds = {
+        "viewer_id": "bigint", "media_id": "bigint", "ext_media_id": "int", "title": "string",
+        "score": "int",
+    }
+    columns = [F.lit(None).cast(kinds[c]).alias(c) if c in kinds else F.col(c)
+               for c in RECOMMENDATION_COLUMNS]
+    return requests.select(*columns, F.lit(reason).alias("reason"), *carry)
+
+
+def serve_by_name(
+    store: Store,
+    requests: DataFrame,
+    directory: DataFrame,
+    fetch_lists: Callable[[DataFrame], DataFrame],
+    generate: Callable[[DataFrame], DataFrame] = _no_generator,
+    fetch_media: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The same for ``name, params`` requests, with the ``name`` they were asked under.
+
+    ``directory`` holds ``name, ext_user_id``; a name it lacks is turned down.
+    """
+    resolved = resolve_users(requests, directory)
+    known = resolved.filter("known").select("name", "ext_user_id", "params")
+    answers = serve(store, known.drop("name"), fetch_lists, generate, fetch_media)
+    names = known.select("name", "ext_user_id").distinct()
+    unknown = resolved.filter(~F.col("known")).select("name", "ext_user_id").distinct()
+    named = lookup_join(answers, names, ["ext_user_id"])
+    return named.unionByName(_turned_down(unknown, "unknown name", "name"))
+
+
+def refresh_lists_by_name(
+    store: Store, names: DataFrame, directory: DataFrame,
+    fetch_lists: Callable[[DataFrame], DataFrame],
+    fetch_media: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Refreshes the lists of the ``name`` rows' users; returns the names that are unknown."""
+    resolved = resolve_users(names.select("name").distinct(), directory)
+    refresh_lists(store, resolved.filter("known"), fetch_lists, fetch_media)
+    return resolved.filter(~F.col("known")).select("name")

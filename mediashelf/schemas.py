@@ -47,11 +47,6 @@ LIST_DOCUMENT = ", ".join(f"{b} {_BRANCH}" for b in LIST_BRANCHES) + f", {CORRUP
 # Seed rows of the name-type dimension, ids 1 to 4.
 NAME_TYPES = ("romaji", "english", "native", "synonyms")
 
-# Kinds of names held by the shared name dimension.
-NAME_KINDS = (
-    "mediatype", "format", "source", "status", "genre", "tagcategory", "nametype", "watchstatus",
-)
-
 
 class Table(NamedTuple):
     """A stored table: columns, the column it is hash-bucketed on, its surrogate key if any."""

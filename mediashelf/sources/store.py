@@ -40,6 +40,9 @@ class TableState:
     def rows(self) -> int:
         return sum(files.rows for files in self.buckets.values())
 
+    def rows_in(self, buckets: list[int]) -> int:
+        return sum(self.buckets[b].rows for b in buckets if b in self.buckets)
+
 
 @dataclass
 class Manifest:
@@ -264,6 +267,10 @@ class Commit:
         distinct = keys.select(self.row_bucket(name).alias("bucket")).distinct()
         return [row.bucket for row in distinct.collect()]
 
+    def touched_any(self, name: str, rows: DataFrame) -> list[int]:
+        """Buckets of a table that the rows fall in, stored or not yet."""
+        return [r.bucket for r in rows.select(self.row_bucket(name).alias("bucket")).distinct().collect()]
+
     def buckets_with(self, keys: DataFrame, key: str) -> list[int]:
         """Buckets, of any table bucketed on ``key``, that the keys fall in."""
         distinct = keys.select(self.bucket_of(F.col(key)).alias("bucket")).distinct()

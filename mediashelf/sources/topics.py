@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOPIC_SCHEMA = "seq bigint, value string"
-PARTITION_BITS = 12
 
 
-def _documents(frame: DataFrame, source: str) -> DataFrame:
+def _documents(frame: DataFrame, source: str, arrival: bool = True) -> DataFrame:
+    """``arrived, seq, value``; the first two give arrival order.
+
+    In Kafka they are a record's offset and partition, which only together are unique; in
+    files the time a file was written and the number given to the document.
+    """
     value = F.col("value").cast("string").alias("value")
-    if source != "kafka":
+    if source == "kafka":
+        return frame.select(
+            F.col("offset").alias("arrived"), F.col("partition").cast("bigint").alias("seq"), value)
+    if not arrival:
         return frame.select("seq", value)
-    # offset first, partition last: unique in a topic, and arrival order within a partition
-    seq = F.shiftleft("offset", PARTITION_BITS) + F.col("partition")
-    return frame.select(seq.alias("seq"), value)
+    arrived = F.unix_micros(F.col("_metadata.file_modification_time")).alias("arrived")
+    return frame.select(arrived, "seq", value)
 
 
 def _reader(reader, source: str, options: dict[str, str]):
@@ -24,12 +30,12 @@ def _reader(reader, source: str, options: dict[str, str]):
 
 
 def read_topic(spark: SparkSession, source: str, options: dict[str, str]) -> DataFrame:
-    """All documents of a topic as a batch."""
-    return _documents(_reader(spark.read, source, options).load(), source)
+    """All documents of a topic as a batch; of a file topic ``seq, value``."""
+    return _documents(_reader(spark.read, source, options).load(), source, arrival=False)
 
 
 def stream_topic(spark: SparkSession, source: str, options: dict[str, str]) -> DataFrame:
-    """The documents of a topic as a stream."""
+    """The documents of a topic as a stream, with their arrival."""
     return _documents(_reader(spark.readStream, source, options).load(), source)
 
 

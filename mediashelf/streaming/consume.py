@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from mediashelf.plans.reconcile import reconcile_lists, reconcile_media
+from mediashelf.plans.reconcile import ATTEMPTS, reconcile_lists, reconcile_media
 from mediashelf.sources.store import Store
 from mediashelf.streaming.sinks import batch_sink, stream_identity
 
@@ -16,12 +16,12 @@ COMPACT_EVERY = 100
 
 def _consume(
     documents: DataFrame, store: Store, checkpoint: str, bounded: bool,
-    reconcile: Callable[..., bool], **options,
+    reconcile: Callable[..., bool], compact_every: int, **options,
 ) -> DataStreamWriter:
     def apply(batch: DataFrame, batch_id: int) -> None:
         stream = stream_identity(store.spark, checkpoint)
         reconcile(store, batch, batch_id=batch_id, stream=stream, **options)
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        if batch_id % compact_every == compact_every - 1:
             store.compact()
 
     return batch_sink(documents, checkpoint, apply, bounded)
@@ -29,15 +29,19 @@ def _consume(
 
 def consume_media(
     documents: DataFrame, store: Store, checkpoint: str, bounded: bool = False,
+    attempts: int = ATTEMPTS, compact_every: int = COMPACT_EVERY,
 ) -> DataStreamWriter:
     """Reconciles every micro-batch of media documents; a batch replayed after a failure is skipped."""
-    return _consume(documents, store, checkpoint, bounded, reconcile_media)
+    return _consume(
+        documents, store, checkpoint, bounded, reconcile_media, compact_every, attempts=attempts)
 
 
 def consume_lists(
     documents: DataFrame, store: Store, checkpoint: str, bounded: bool = False,
     fetch_media: Callable[[DataFrame], DataFrame] | None = None,
+    attempts: int = ATTEMPTS, compact_every: int = COMPACT_EVERY,
 ) -> DataStreamWriter:
     """The same for list documents."""
     return _consume(
-        documents, store, checkpoint, bounded, reconcile_lists, fetch_media=fetch_media)
+        documents, store, checkpoint, bounded, reconcile_lists, compact_every,
+        fetch_media=fetch_media, attempts=attempts)

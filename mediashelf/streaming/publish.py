@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from mediashelf.functions.messages import is_due, tick_id
 from mediashelf.functions.text import max_or_zero
@@ -27,31 +28,40 @@ def due_ids(ticks: DataFrame, boundary: int) -> DataFrame:
 class IdWalk:
     """A publishing stream that ends once the ticks have reached the boundary.
 
+    A bounded source is read out whatever the order of its ticks; an endless one gives them in
+    order, and the walk stops when the batch that reached the boundary has been committed.
     Documents are fetched once per batch: the position of the walk is taken from the ticks,
     not from the fetched rows.
     """
 
     def __init__(self, ticks: DataFrame, fetch: FetchStep, messages: FetchStep, write: WriteStep,
                  boundary: int, checkpoint: str, bounded: bool = False):
-        self._done = threading.Event()
+        self._last: int | None = None
 
         def apply(batch: DataFrame, batch_id: int) -> None:
             write(messages(fetch(due_ids(batch, boundary))))
+            if bounded:
+                return
             reached = batch.agg(max_or_zero(tick_id(F.col("value"))).alias("id")).first().id
-            if reached >= boundary:
-                self._done.set()
+            if reached >= boundary and self._last is None:
+                self._last = batch_id
 
         self._writer = batch_sink(ticks, checkpoint, apply, bounded)
 
     def run(self, poll_seconds: float = 10) -> None:
         """Runs until the boundary is reached or a bounded source is read."""
         query = self._writer.start()
-        while query.isActive and not self._done.wait(poll_seconds):
-            pass
+        while query.isActive and not self._committed(query):
+            time.sleep(poll_seconds)
         query.stop()
         if query.exception() is not None:
             raise query.exception()
 
+    def _committed(self, query: StreamingQuery) -> bool:
+        """Whether the batch that reached the boundary is done; progress follows the commit."""
+        progress = query.lastProgress
+        return self._last is not None and progress is not None and progress["batchId"] >= self._last
+
 
 def publish_media(ticks: DataFrame, fetch: FetchStep, write: WriteStep, boundary: int,
                   checkpoint: str, bounded: bool = False) -> IdWalk:

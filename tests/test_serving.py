@@ -71,7 +71,38 @@ def test_serve_refreshes_lists_and_hands_over(spark, served):
             F.lit(0).cast("bigint").alias("media_id"), F.lit(1).alias("ext_media_id"),
             F.lit("t").alias("title"), F.lit(5).alias("score"))
 
+    requested = requested.unionByName(asked(spark, (9, "[]")))
     answer = serving.serve(served, requested, fetch, generate).collect()
-    assert sorted((r.ext_user_id, r.score) for r in answer) == [(7, 10), (7, 50), (7, 90), (8, 5)]
+    assert sorted((r.ext_user_id, r.score) for r in answer if r.reason is None) == [
+        (7, 10), (7, 50), (7, 90), (8, 5)]
+    assert [(r.ext_user_id, r.reason) for r in answer if r.reason] == [(9, "bad parameters")]
     entries = views.list_entries(served).filter("ext_user_id = 8").collect()
     assert [(r.ext_media_id, r.progress) for r in entries] == [(3, 4)]
+
+
+def test_serve_by_name_fetches_media_and_turns_unknown_names_down(spark, served):
+    branch = '{"data":{"MediaListCollection":{"lists":%s}}}'
+    fresh = lists([[entry(40, user=8)]])
+    anime = fresh[len('{"anime": '):fresh.index(', "manga"')]
+    table = spark.createDataFrame([(8, anime, branch % "[]")], "id int, anime string, manga string")
+    parts = spark.createDataFrame([(40, media(40))], "id int, data string")
+    directory = spark.createDataFrame([("ann", 7), ("bob", 8)], "name string, ext_user_id int")
+    asked_names = spark.createDataFrame(
+        [("ann", '{"genres":["A"]}'), ("bob", "{}"), ("cy", "{}")], "name string, params string")
+
+    def generate(users):
+        entries = views.list_entries(served).join(users, "ext_user_id")
+        return entries.select(
+            F.lit(0).cast("bigint").alias("viewer_id"), "ext_user_id",
+            F.lit(0).cast("bigint").alias("media_id"), "ext_media_id", F.lit("t").alias("title"),
+            F.lit(5).alias("score"))
+
+    found = serving.serve_by_name(
+        served, asked_names, directory, requests.from_table(table, "anime", "manga"), generate,
+        requests.from_table(parts, "data")).collect()
+    assert sorted((r.name, r.ext_media_id) for r in found if r.reason is None) == [
+        ("ann", 1), ("ann", 2), ("ann", 3), ("bob", 40)]
+    assert [(r.name, r.reason) for r in found if r.reason] == [("cy", "unknown name")]
+    unknown = serving.refresh_lists_by_name(
+        served, asked_names, directory, requests.from_table(table, "anime", "manga"))
+    assert [r.name for r in unknown.collect()] == ["cy"]

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediashelf.operators.lookups import lookup_join
-from mediashelf.sources.topics import write_topic
 
 # Where the inputs are cut into a first and a second batch.
 ORDER_CUT = "1998-04-01"
@@ -22,14 +21,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for row-wise work that costs far more than its bytes suggest.
-
-    A file with fewer splits than the session has cores is spread over all of them; a large
-    table has enough splits and is left as it is.
-    """
-    frame = load(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    """A table for row-wise work that costs far more than its bytes suggest, dealt out evenly."""
+    return load(spark, sf_dir, name).hint("rebalance")
 
 
 # -- media documents: one per order, for the order's customer ------------------------
@@ -61,16 +54,19 @@ def media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("name"),
     )
     tags = F.array(
+        F.struct(m.alias("id"), F.concat(st, m).alias("name"), pr.alias("category")),
         F.struct(m.alias("id"), F.concat(st, m).alias("name"), pr.alias("category")),
         F.struct((F.substring(pr, 1, 1).cast("int") + 100).alias("id"), pr.alias("name"),
                  st.alias("category")),
     )
     studios = F.array(
+        F.struct((st == "O").alias("isMain"), F.struct(y.alias("id"), st.alias("name")).alias("node")),
         F.struct((st == "O").alias("isMain"), F.struct(y.alias("id"), st.alias("name")).alias("node")),
         F.struct(F.lit(False).alias("isMain"),
                  F.struct((m + 10).alias("id"), pr.alias("name")).alias("node")),
     )
     staff = F.array(
+        F.struct(F.lower(pr).alias("role"), person.alias("node")),
         F.struct(F.lower(pr).alias("role"), person.alias("node")),
         F.struct(F.lower(st).alias("role"), person.alias("node")),
     )
@@ -192,8 +188,3 @@ def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("date_start"))
     return lookup_join(lines, orders, ["l_orderkey"])
 
-
-def write_batches(batches: list[DataFrame], folder: str) -> None:
-    """Topic files, one append per batch."""
-    for batch in batches:
-        write_topic(batch, "parquet", {"path": folder})

@@ -46,14 +46,18 @@ def ticks_to_documents(spark, sf):
     return requests.ticked(ticks, F.col("props"))
 
 
+def _counters(customer: DataFrame) -> DataFrame:
+    """Counters that name the boundary of a walk over the customers."""
+    return customer.select(
+        F.col("c_custkey").alias("counter_id"), F.lit("media").alias("counter_name"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey") + 500).cast("int").alias("value_int"))
+
+
 @query
 def id_walk(spark, sf):
     """Every id up to a configured boundary, fetched from a table, error documents left out."""
     customer = load(spark, sf, "customer")
-    counters = customer.select(
-        F.col("c_custkey").alias("counter_id"), F.lit("media").alias("counter_name"),
-        F.when(F.col("c_acctbal") > 0, F.col("c_custkey") + 500).cast("int").alias("value_int"))
-    boundary = int(options.config_value(counters, "media", "int", "5"))
+    boundary = int(options.config_value(_counters(customer), "media", "int", "5"))
     document = F.when(
         F.col("c_acctbal") < 0, F.concat(F.lit(messages.ERROR_PREFIX), F.lit("[]}"))
     ).otherwise(F.concat(F.lit('{"name":"'), F.col("c_name"), F.lit('"}')))
@@ -159,7 +163,8 @@ def published_media(spark, sf):
     publish_media(
         _ticks(spark, sf), requests.from_table(table, "data"),
         lambda frame: topics.write_topic(frame, "parquet", {"path": sink}),
-        boundary=table.count() // 2, checkpoint=new_scratch(spark, "checkpoint"), bounded=True,
+        boundary=int(options.config_value(_counters(customer), "media", "int", "5")),
+        checkpoint=new_scratch(spark, "checkpoint"), bounded=True,
     ).run(poll_seconds=0.2)
     return topics.read_topic(spark, "parquet", {"path": sink})
 
@@ -268,7 +273,7 @@ def title_names(spark, sf):
 
 def _parameters() -> F.Column:
     kind, props = F.col("event_type"), F.col("props")
-    rest = F.concat(F.lit(","), F.substring(props, 2, 100))
+    rest = F.concat(F.lit(","), F.expr("substring(props, 2)"))
     return (
         F.when(kind == "view", F.concat(F.lit('{"refresh":"true"'), rest))
         .when(kind == "click", F.concat(F.lit('{"refresh":true'), rest))
