@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GRID = 4_000_000  # cells of one batch of equal-length words, at most
-CACHE = 400_000  # words whose pieces a worker remembers
+CACHE = 800_000  # words whose pieces a worker remembers,
+PAIRS, SLOT_BITS = 1_000_000, 19  # and pairs of pieces; slots of the table that is asked first
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNIGRAM, BPE = 1, 2
 
@@ -55,6 +56,22 @@ def model_type(data: bytes) -> int:
     return UNIGRAM
 
 
+class _Pairs(dict):
+    """Whether merging leaves two pieces side by side, worked out once for each pair met."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) > PAIRS:
+            self.clear()
+        text, n = self.pieces.text, len(self.pieces.scores)
+        a, b = text[pair // n], text[pair % n]
+        value = self[pair] = self.pieces._merged(a + b) == [a, b]
+        return value
+
+
 class Pieces:
     """A model's pieces as sorted hashes, and the search for the best segmentation.
 
@@ -99,9 +116,11 @@ class Pieces:
         top = p.vocab_size()
         self.scores = np.zeros(top)
         self.scores[normal] = [self.score[i] for i in normal]
-        self.allowed_keys = np.zeros(0, dtype=np.int64)
-        self.allowed = np.zeros(0, dtype=bool)
-        self.cache: dict[str, list[int]] = {}
+        self.allowed_keys = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
+        self.allowed = np.zeros(1 << SLOT_BITS, dtype=bool)
+        self.pairs = _Pairs(self)
+        self.cache: dict[str, bytes] = {}
+        self.spelling = [self._bytes_of(i) for i in range(top)]
 
     @staticmethod
     def _hash(points: np.ndarray) -> np.ndarray:
@@ -142,27 +161,21 @@ class Pieces:
         result = np.ones(len(left), dtype=bool)
         merges = np.flatnonzero(left >= 0)
         pair = left[merges] * np.int64(len(self.scores)) + right[merges]
-        spot = np.searchsorted(self.allowed_keys, pair)
-        spot[spot == len(self.allowed_keys)] = 0
-        if len(self.allowed_keys):
-            known = self.allowed_keys[spot] == pair
-        else:
-            known = np.zeros(len(pair), dtype=bool)
-        if not known.all():
-            fresh = np.unique(pair[~known])
-            sides = [(self.text[int(k) // len(self.scores)], self.text[int(k) % len(self.scores)])
-                     for k in fresh]
-            found = np.array([self._merged(a + b) == [a, b] for a, b in sides], dtype=bool)
-            keys = np.concatenate([self.allowed_keys, fresh])
-            order = np.argsort(keys, kind="stable")  # two sorted runs merge in linear time
-            self.allowed_keys = keys[order]
-            self.allowed = np.concatenate([self.allowed, found])[order]
-            spot = np.searchsorted(self.allowed_keys, pair)
-        result[merges] = self.allowed[spot]
+        slot = (pair.astype(np.uint64) * _MULTIPLIER >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        # answers given before, one for each slot; what is not there is looked up or worked out
+        answer = self.allowed[slot]
+        missing = np.flatnonzero(self.allowed_keys[slot] != pair)
+        if len(missing):
+            fresh, first, which = np.unique(pair[missing], return_index=True, return_inverse=True)
+            found = np.fromiter(map(self.pairs.__getitem__, fresh.tolist()), bool, len(fresh))
+            answer[missing] = found[which]
+            self.allowed_keys[slot[missing[first]]] = fresh
+            self.allowed[slot[missing[first]]] = found
+        result[merges] = answer
         return result
 
-    def _advance(self, words: list[str]) -> list[list[int]]:
-        """Pieces of words of one length: -1 stands for a character no piece holds."""
+    def _advance(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, as the bytes of 32-bit numbers."""
         n, size = len(words), len(words[0])
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32
                                ).reshape(n, size).astype(np.uint64)
@@ -177,53 +190,65 @@ class Pieces:
                 keys = self._hash(windows)
                 spot = np.minimum(np.searchsorted(self.keys[length], keys), len(self.keys[length]) - 1)
                 probes[length] = np.where(self.keys[length][spot] == keys, self.ids[length][spot], -2)
+        by_rank = self.kind == BPE
         for end in range(1, size + 1):
-            lengths = [k for k in probes if k <= end]
-            candidates = np.full((n, len(lengths) + 1), -np.inf)
-            ids = np.full((n, len(lengths) + 1), -1, dtype=np.int64)
-            starts = np.array([end - k for k in lengths] + [end - 1])
+            value = np.full(n, -np.inf)
+            piece, start = np.full(n, -1, dtype=np.int64), np.full(n, end - 1)
             single = np.ones(n, dtype=bool)  # no piece for the one character
-            for i, k in enumerate(lengths):
+            for k in sorted(probes, reverse=True):
+                if k > end:
+                    continue
                 found = probes[k][:, end - k]
-                rows = np.flatnonzero(found >= 0)
+                fits = found >= 0
                 if k == 1:
-                    single[rows] = False
+                    single = ~fits
+                # where ranks decide, one piece fits at most, so a row that has it is done
+                rows = np.flatnonzero(fits & (value == -np.inf) if by_rank else fits)
                 if not len(rows):
                     continue
-                ids[rows, i] = found[rows]
-                value = best[rows, end - k]
-                if self.kind == UNIGRAM:
-                    value = value + self.scores[found[rows]]
+                ids, total = found[rows], best[rows, end - k]
+                if not by_rank:
+                    total = total + self.scores[ids]
+                    better = total > value[rows]
                 elif end > k:
-                    fits = self._side_by_side(last[rows, end - k], found[rows])
-                    value = np.where(fits, value, -np.inf)
-                candidates[rows, i] = value
-            rows = np.flatnonzero(single)
-            penalty = self.unknown_score if self.kind == UNIGRAM else 0.0
-            candidates[rows, -1] = best[rows, end - 1] + penalty
-            pick = candidates.argmax(axis=1)
-            row = np.arange(n)
-            best[:, end], back[:, end] = candidates[row, pick], starts[pick]
-            last[:, end] = ids[row, pick]
-        out = []
-        for w in range(n):
-            pieces, at = [], size
-            while at:
-                pieces.append((int(last[w, at]), words[w][at - 1]))
-                at = int(back[w, at])
-            out.append(self._spelled(pieces[::-1]))
-        return out
-
-    def _spelled(self, pieces: list[tuple[int, str]]) -> list[int]:
+                    better = self._side_by_side(last[rows, end - k], ids)
+                else:
+                    better = np.ones(len(rows), dtype=bool)
+                rows = rows[better]
+                value[rows], piece[rows], start[rows] = total[better], ids[better], end - k
+            unknown = best[:, end - 1] + (0.0 if by_rank else self.unknown_score)
+            rows = np.flatnonzero(single & (unknown > value))
+            value[rows], piece[rows], start[rows] = unknown[rows], -1, end - 1
+            best[:, end], last[:, end], back[:, end] = value, piece, start
+        # backwards through all words at once; each fills its row from the right
+        out, at, row = np.full((n, size), -2, dtype=np.int32), np.full(n, size), np.arange(n)
+        step = size
+        while len(row):
+            step -= 1
+            out[row, step] = last[row, at]
+            at = back[row, at]
+            going = at > 0
+            row, at = row[going], at[going]
+        begins, odd = (out == -2).sum(axis=1).tolist(), (out == -1).any(axis=1).tolist()
+        return [
+            self._spelled(words[w], out[w, begin:].tolist()) if rare else out[w, begin:].tobytes()
+            for w, (begin, rare) in enumerate(zip(begins, odd, strict=True))]
+
+    def _spelled(self, word: str, pieces: list[int]) -> bytes:
+        """Ids of a word from its pieces, -1 being a character that no piece holds."""
         ids: list[int] = []
-        for id_, character in pieces:
+        at = 0
+        for id_ in pieces:
             if id_ >= 0:
                 ids.append(id_)
-            elif self.fallback:
-                ids += self.byte_ids[list(character.encode("utf-8", "surrogatepass"))].tolist()
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)  # neighbouring unknown characters are one piece
-        return ids
+                at += len(self.text[id_])
+                continue
+            if self.fallback:
+                ids += self.byte_ids[list(word[at].encode("utf-8", "surrogatepass"))].tolist()
+            else:
+                ids.append(self.unknown)
+            at += 1
+        return np.array(ids, dtype=np.int32).tobytes()
 
     def segment(self, words: list[str]) -> None:
         """Puts the pieces of distinct words into the cache, words of equal length together."""
@@ -231,9 +256,7 @@ class Pieces:
         for w in words:
             # equal ranks occur among runs of space marks only; there merging itself decides
             if self.kind == BPE and SPACE + SPACE in w:
-                parts = self._merged(w)
-                self.cache[w] = self._spelled([
-                    (self.id_of.get(p, -1), p) for p in parts])
+                self.cache[w] = self._spelled(w, [self.id_of.get(p, -1) for p in self._merged(w)])
             else:
                 by_length.setdefault(len(w), []).append(w)
         for size, same in by_length.items():
@@ -260,30 +283,30 @@ class Pieces:
             out.append(SPACE * marks)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the model's own library gives them."""
         cut = [self.words(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        self.segment([w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in self.cache])
-        joined = [[i for w in ws for i in self.cache[w]] for ws in cut]
+        self.segment([w for w in {w for ws in cut for w in ws} if w not in self.cache])
+        ids = [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), np.int32) for ws in cut]
         if self.fallback:
-            return joined
+            return ids
+        # neighbouring unknown characters are one piece
         u = self.unknown
-        return [[i for k, i in enumerate(ids) if i != u or k == 0 or ids[k - 1] != u]
-                for ids in joined]
+        return [x[(x != u) | (np.append(-1, x[:-1]) != u)] for x in ids]
+
+    def _bytes_of(self, id_: int) -> bytes:
+        if id_ in self.text:
+            return self.text[id_].replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        if self.processor.is_byte(id_):
+            return bytes([int(self.processor.id_to_piece(id_)[3:5], 16)])
+        return " ⁇ ".encode() if id_ == self.unknown else b""
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces joined, bytes read as UTF-8, the mark before the text gone."""
-        out = bytearray()
-        for i in ids:
-            if i in self.text:
-                out += self.text[i].encode("utf-8", "surrogatepass")
-            elif self.processor.is_byte(i):
-                out.append(int(self.processor.id_to_piece(i)[3:5], 16))
-            elif i == self.unknown:
-                out += f"{SPACE}⁇{SPACE}".encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -325,11 +348,15 @@ def with_ids(docs: DataFrame, model_file: str = DEFAULT_MODEL, text: str = "text
                 few = part.slice(a, 1024)
                 texts = few.column(place).to_pylist()
                 found = pieces.encode([t or "" for t in texts])
-                found = [f if t is not None else None for f, t in zip(found, texts, strict=True)]
-                columns = [*few.columns, pa.array(found, pa.list_(pa.int32()))]
+                null = np.array([t is None for t in texts], dtype=bool)
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+                columns = [*few.columns, pa.ListArray.from_arrays(
+                    pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(found)),
+                    mask=pa.array(null))]
                 if back:
-                    columns.append(pa.array([None if f is None else pieces.decode(f)
-                                             for f in found], pa.string()))
+                    columns.append(pa.array(
+                        [None if t is None else pieces.decode(f)
+                         for f, t in zip(found, texts, strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(batches, schema)
