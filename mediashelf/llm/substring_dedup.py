@@ -14,7 +14,7 @@ from mediashelf.llm import anchors, induced
 from mediashelf.llm.common import small, staged
 
 SHARD_BYTES = 4 << 20  # text of one suffix array, about; larger ones work on disk
-CROWD = 1_000  # an anchor with more different contexts is settled window by window
+CROWD_BYTES = 16 << 20  # an anchor whose different contexts are longer in sum is settled window by window
 ID_ROWS = 1_000_000  # keys (16 bytes each) broadcast at most
 SPANS = "array<struct<begin:int,end:int>>"
 
@@ -132,7 +132,7 @@ def _windows(length: int):
 
 def repeated_spans(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400,
-    shard_bytes: int = SHARD_BYTES, crowd: int = CROWD, memory: int = induced.MEMORY,
+    shard_bytes: int = SHARD_BYTES, crowd: int = CROWD_BYTES, memory: int = induced.MEMORY,
     base: int = induced.BASE,
 ) -> DataFrame:
     """``id, d, spans``: the maximal runs of bytes that are covered by a ``length``-byte string
@@ -146,8 +146,8 @@ def repeated_spans(
     of one anchor make up one stretch of text, its context.  Equal contexts are merged before
     any text moves; where an anchor has several different ones, they go to a shard chosen by the
     anchor, and the shard's suffix array, sorted by induction in bounded memory, marks what is
-    repeated.  An anchor with more than ``crowd`` different contexts does not fit one shard: its
-    strings are counted one by one by their 128-bit hashes, with partial sums.
+    repeated.  An anchor with more than ``crowd`` bytes of different contexts is too much for
+    one task: its strings are counted one by one by their 128-bit hashes, with partial sums.
     """
     keyed = _keyed(docs, doc_id, text)
     kind = dict(keyed.dtypes)["id"]
@@ -160,7 +160,7 @@ def repeated_spans(
     mixed = staged(alive.where("mixed").groupBy("h", "c").agg(
         F.count("*").alias("k"), F.min(F.struct("id", "d", "start", "size")).alias("rep")
     ).select("h", "c", "k", "rep.*"), "contexts")
-    crowds = staged(mixed.groupBy("h").count().where(F.col("count") > crowd).select("h"), "crowds")
+    crowds = staged(mixed.groupBy("h").agg(F.sum("size").alias("long")).where(F.col("long") > crowd).select("h"), "crowds")
     asked = mixed.groupBy("id", "d").agg(
         F.collect_list(F.struct("h", "c", "k", "start", "size")).alias("asked"))
     asked = staged(asked, "asked").withColumnRenamed("id", "id2").withColumnRenamed("d", "d2")
