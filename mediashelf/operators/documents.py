@@ -35,18 +35,44 @@ def _conflicting(array: Column, id_of, whole, identity=None) -> Column:
     return F.when(repeated, F.size(members) != F.size(identities)).otherwise(F.lit(False))
 
 
+def _text(value: Column) -> Column:
+    """Text of a variant, whatever its type; JSON null as the word ``null``."""
+    return X.text_or_null(F.try_variant_get(value, "$", "string"))
+
+
+def _role(value: Column) -> Column:
+    return F.upper(_text(value))
+
+
+def _whole(value: Column) -> Column:
+    """A JSON number that is an integer, else null; a text holding digits is no number."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "int"))
+
+
+def _count(value: Column) -> Column:
+    return F.coalesce(_whole(value), F.lit(0))
+
+
+def _lacking(holder: Column, *fields: str) -> Column:
+    """Whether a field is missing; one that is there and null is not."""
+    missing = F.lit(False)
+    for field in fields:
+        missing = missing | holder[field].isNull()
+    return missing
+
+
 def _tag(t: Column) -> Column:
     return F.struct(
         t["id"].alias("ext_tag_id"),
-        X.text_or_null(t["name"]).alias("name"),
-        X.text_or_null(t["category"]).alias("category"),
+        _text(t["name"]).alias("name"),
+        _text(t["category"]).alias("category"),
     )
 
 
 def _studio(e: Column) -> Column:
     return F.struct(
         e["node"]["id"].alias("ext_studio_id"),
-        X.text_or_null(e["node"]["name"]).alias("name"),
+        _text(e["node"]["name"]).alias("name"),
         e["isMain"].alias("is_main"),
     )
 
@@ -55,11 +81,11 @@ def _staff(e: Column) -> Column:
     name = e["node"]["name"]
     return F.struct(
         e["node"]["id"].alias("ext_staff_id"),
-        X.text_or_null(name["first"]).alias("first_name"),
-        X.text_or_null(name["last"]).alias("last_name"),
-        X.text_or_null(name["full"]).alias("full_name"),
-        X.text_or_null(name["native"]).alias("native_name"),
-        X.role_name(e["role"]).alias("role"),
+        _text(name["first"]).alias("first_name"),
+        _text(name["last"]).alias("last_name"),
+        _text(name["full"]).alias("full_name"),
+        _text(name["native"]).alias("native_name"),
+        _role(e["role"]).alias("role"),
     )
 
 
@@ -98,32 +124,39 @@ def parse_media(docs: DataFrame) -> DataFrame:
         ("no media", m.isNull()),
         ("no id", m["id"].isNull()),
         ("missing section", missing),
+        ("missing field", _lacking(m, "type", "format", "source", "status")
+         | _lacking(m["title"], "romaji", "english", "native")),
         ("bad tag", _any(tags, lambda t: t.isNull() | t["id"].isNull())),
         ("bad studio", _any(
             studios, lambda e: e.isNull() | e["node"]["id"].isNull() | e["isMain"].isNull())),
         ("bad staff", _any(
             staff, lambda e: e["node"]["id"].isNull() | e["node"]["name"].isNull())),
+        ("missing field", _any(tags, lambda t: _lacking(t, "name", "category"))
+         | _any(studios, lambda e: _lacking(e["node"], "name"))
+         | _any(staff, lambda e: _lacking(e, "role") | _lacking(
+             e["node"]["name"], "first", "last", "full", "native"))),
         ("tag conflict", _conflicting(tags, lambda t: t["id"], _tag)),
         ("studio conflict", _conflicting(studios, lambda e: e["node"]["id"], _studio)),
         ("staff conflict", _conflicting(
             staff, lambda e: e["node"]["id"], _staff,
-            identity=lambda e: [e["node"]["id"], X.role_name(e["role"])])),
+            identity=lambda e: [e["node"]["id"], _role(e["role"])])),
     )
     title = m["title"]
     columns = {
         "ext_media_id": m["id"],
-        "media_type": X.text_or_null(m["type"]),
-        "title": X.text_or_null(title["romaji"]),
-        "names": X.title_rows(synonyms, title["romaji"], title["english"], title["native"]),
+        "media_type": _text(m["type"]),
+        "title": _text(title["romaji"]),
+        "names": X.title_rows(
+            synonyms, _text(title["romaji"]), _text(title["english"]), _text(title["native"])),
         "date_start": X.date_of(m["startDate"]),
         "date_end": X.date_of(m["endDate"]),
-        "episodes": X.lenient_int(m["episodes"]),
-        "duration": X.lenient_int(m["duration"]),
-        "chapters": X.lenient_int(m["chapters"]),
-        "volumes": X.lenient_int(m["volumes"]),
-        "format": X.text_or_null(m["format"]),
-        "source": X.text_or_null(m["source"]),
-        "status": X.text_or_null(m["status"]),
+        "episodes": _count(m["episodes"]),
+        "duration": _count(m["duration"]),
+        "chapters": _count(m["chapters"]),
+        "volumes": _count(m["volumes"]),
+        "format": _text(m["format"]),
+        "source": _text(m["source"]),
+        "status": _text(m["status"]),
         "tags": F.array_distinct(F.transform(tags, _tag)),
         "genres": F.array_distinct(F.transform(genres, X.text_or_null)),
         "studios": F.array_distinct(F.transform(studios, _studio)),
@@ -140,12 +173,13 @@ def _entry(e: Column) -> Column:
         X.score_points(e["score"]).alias("score"),
         e["progress"].alias("progress"),
         e["repeat"].alias("repeat"),
-        X.text_or_null(e["status"]).alias("status"),
+        _text(e["status"]).alias("status"),
     )
 
 
 def _bad_entry(e: Column) -> Column:
-    required = [e["mediaId"], e["startedAt"], e["completedAt"], e["score"], e["progress"], e["repeat"]]
+    required = [e["mediaId"], e["startedAt"], e["completedAt"], e["score"], e["progress"], e["repeat"],
+                e["status"]]
     bad = F.isnan(e["score"])
     for part in required:
         bad = bad | part.isNull()
@@ -171,7 +205,7 @@ def parse_lists(docs: DataFrame) -> DataFrame:
         ).alias("shape"),
         raw.alias("raw"),
     )
-    user = F.get(F.col("raw"), F.lit(0))["userId"]
+    user = _whole(F.get(F.col("raw"), F.lit(0))["userId"])
     reason = F.coalesce(F.col("shape"), _first_reason(
         ("no viewer", user.isNull()),
         ("bad entry", _any(F.col("raw"), _bad_entry)),

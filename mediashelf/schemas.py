@@ -2,7 +2,8 @@
 
 Document field names are the input format and therefore fixed.  Leaves that must
 be valid for a document to count carry their real type, so ``from_json`` itself
-flags a mistyped one as corrupt; leaves that may be anything are strings.
+flags a mistyped one as corrupt; leaves that may be anything are variants, which tell a
+missing field, null, a number and a text apart.
 """
 
 from __future__ import annotations
@@ -16,23 +17,23 @@ _DATE_PARTS = "STRUCT<year: INT, month: INT, day: INT>"
 
 # The shape of an incoming media document.
 MEDIA_FIELDS = f"""
-  id: INT, type: STRING,
-  title: STRUCT<romaji: STRING, english: STRING, native: STRING>,
+  id: INT, type: VARIANT,
+  title: STRUCT<romaji: VARIANT, english: VARIANT, native: VARIANT>,
   synonyms: ARRAY<STRING>,
   startDate: {_DATE_PARTS}, endDate: {_DATE_PARTS},
-  episodes: STRING, duration: STRING, chapters: STRING, volumes: STRING,
-  format: STRING, source: STRING, status: STRING,
-  tags: ARRAY<STRUCT<id: INT, name: STRING, category: STRING>>,
+  episodes: VARIANT, duration: VARIANT, chapters: VARIANT, volumes: VARIANT,
+  format: VARIANT, source: VARIANT, status: VARIANT,
+  tags: ARRAY<STRUCT<id: INT, name: VARIANT, category: VARIANT>>,
   genres: ARRAY<STRING>,
-  studios: STRUCT<edges: ARRAY<STRUCT<isMain: BOOLEAN, node: STRUCT<id: INT, name: STRING>>>>,
-  staff: STRUCT<edges: ARRAY<STRUCT<role: STRING,
-    node: STRUCT<id: INT, name: STRUCT<first: STRING, last: STRING, full: STRING, native: STRING>>>>>
+  studios: STRUCT<edges: ARRAY<STRUCT<id: VARIANT, isMain: BOOLEAN, node: STRUCT<id: INT, name: VARIANT>>>>,
+  staff: STRUCT<edges: ARRAY<STRUCT<id: VARIANT, role: VARIANT,
+    node: STRUCT<id: INT, name: STRUCT<first: VARIANT, last: VARIANT, full: VARIANT, native: VARIANT>>>>>
 """
 
 # The shape of one entry of a viewer's list document.
 ENTRY_FIELDS = f"""
-  userId: INT, mediaId: INT, startedAt: {_DATE_PARTS}, completedAt: {_DATE_PARTS},
-  score: DOUBLE, progress: INT, repeat: INT, status: STRING
+  userId: VARIANT, id: VARIANT, mediaId: INT, startedAt: {_DATE_PARTS}, completedAt: {_DATE_PARTS},
+  score: DOUBLE, progress: INT, repeat: INT, media: VARIANT, status: VARIANT
 """
 
 # The two branches of a list document, in reading order.

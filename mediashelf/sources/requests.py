@@ -20,6 +20,10 @@ from mediashelf.schemas import ENTRY_FIELDS, MEDIA_FIELDS
 LIST_TYPES = ("ANIME", "MANGA")
 
 
+# What is asked for of an entry's media, which is read as a whole.
+INNER = {"media": "{ id type }"}
+
+
 def _selection(fields: T.StructType) -> str:
     """A selection set that asks for every field of a schema."""
     parts = []
@@ -28,6 +32,8 @@ def _selection(fields: T.StructType) -> str:
         if isinstance(inner, T.ArrayType):
             inner = inner.elementType
         nested = " " + _selection(inner) if isinstance(inner, T.StructType) else ""
+        if isinstance(inner, T.VariantType) and field.name in INNER:
+            nested = " " + INNER[field.name]
         parts.append(field.name + nested)
     return "{ " + " ".join(parts) + " }"
 

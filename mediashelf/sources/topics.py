@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOPIC_SCHEMA = "seq bigint, value string"
+TOPIC_SCHEMA = "arrived bigint, seq bigint, value string"
 
 
 def _documents(frame: DataFrame, source: str, arrival: bool = True) -> DataFrame:
     """``arrived, seq, value``; the first two give arrival order.
 
     In Kafka they are a record's offset and partition, which only together are unique; in
-    files the time a file was written and the number given to the document.
+    files the time of the append and the number given to the document.
     """
     value = F.col("value").cast("string").alias("value")
     if source == "kafka":
@@ -20,8 +22,7 @@ def _documents(frame: DataFrame, source: str, arrival: bool = True) -> DataFrame
             F.col("offset").alias("arrived"), F.col("partition").cast("bigint").alias("seq"), value)
     if not arrival:
         return frame.select("seq", value)
-    arrived = F.unix_micros(F.col("_metadata.file_modification_time")).alias("arrived")
-    return frame.select(arrived, "seq", value)
+    return frame.select(F.coalesce("arrived", F.lit(0).cast("bigint")).alias("arrived"), "seq", value)
 
 
 def _reader(reader, source: str, options: dict[str, str]):
@@ -40,8 +41,9 @@ def stream_topic(spark: SparkSession, source: str, options: dict[str, str]) -> D
 
 
 def write_topic(frame: DataFrame, sink: str, options: dict[str, str]) -> None:
-    """Appends documents to a topic; a file topic also keeps ``seq``, its arrival order."""
-    columns = ["value"] if sink == "kafka" else ["seq", "value"]
+    """Appends documents to a topic; a file topic also keeps when, and in which order: ``seq``."""
+    arrived = F.lit(time.time_ns() // 1000).alias("arrived")
+    columns = ["value"] if sink == "kafka" else [arrived, "seq", "value"]
     frame.select(*columns).write.format(sink).options(**options).mode("append").save()
 
 

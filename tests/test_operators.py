@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediashelf.operators import audit, dimensions, flatten, lookups
+from mediashelf.operators import documents as documents_op
 from mediashelf.operators.diff import changes, two_way_diff
 from mediashelf.operators.keys import assign_keys
 
@@ -124,3 +125,33 @@ def test_audits(spark):
     assert rows(audit.orphans(child, "k", parent, "id")) == [(5, 1)]
     assert rows(audit.null_counts(child, ["k", "t"])) == [("k", 1), ("t", 1)]
     assert rows(audit.too_long(child, {"t": 2})) == [("t", 1, 4)]
+
+
+def test_missing_null_number_and_text_are_told_apart(documents):
+    import json
+
+    from conftest import entry, lists, media
+
+    def without(*path):
+        doc = json.loads(media(1, tags=[{"id": 1, "name": "t", "category": "c"}]))
+        part = doc["data"]["Media"]
+        for key in path[:-1]:
+            part = part[key]
+        del part[path[-1]]
+        return json.dumps(doc)
+
+    docs = documents(
+        media(1, format=None, episodes="7", duration=7, chapters=7.5, status=3), without("format"),
+        without("title", "native"), without("tags", 0, "name"), without("episodes"))
+    found = {r.seq: r for r in documents_op.parse_media(docs).collect()}
+    assert [found[i].reason for i in range(5)] == [None, *["missing field"] * 3, None]
+    first = found[0]
+    assert (first.format, first.episodes, first.duration, first.chapters, first.status) == (
+        "null", 0, 7, 0, "3")
+    assert found[4].episodes == 0
+    listed = documents(
+        lists([[entry(1, user=5), entry(2, user="x")]]), lists([[entry(1, user="5")]]),
+        lists([[entry(1, user=5), {k: v for k, v in entry(2).items() if k != "status"}]]))
+    found = {r.seq: r for r in documents_op.parse_lists(listed).collect()}
+    assert [found[i].reason for i in range(3)] == [None, "no viewer", "bad entry"]
+    assert found[0].ext_user_id == 5 and len(found[0].entries) == 2

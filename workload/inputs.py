@@ -14,6 +14,7 @@ from mediashelf.operators.lookups import lookup_join
 ORDER_CUT = "1998-04-01"
 EVENT_CUT = "2024-01-30"
 UNKNOWN_MEDIA = 1_000_000
+WITH_NULLS = {"ignoreNullFields": "false"}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +51,8 @@ def media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = (st == "P") & (pr == "3-MEDIUM")
     person = F.struct(
         d.alias("id"),
-        F.struct(st.alias("first"), pr.alias("last"), F.concat_ws(" ", st, pr).alias("full"))
-        .alias("name"),
+        F.struct(st.alias("first"), pr.alias("last"), F.concat_ws(" ", st, pr).alias("full"),
+                 F.lit(None).cast("string").alias("native")).alias("name"),
     )
     tags = F.array(
         F.struct(m.alias("id"), F.concat(st, m).alias("name"), pr.alias("category")),
@@ -90,7 +91,7 @@ def media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(studios.alias("edges")).alias("studios"),
         F.struct(staff.alias("edges")).alias("staff"),
     )
-    document = F.to_json(F.struct(F.struct(body.alias("Media")).alias("data")))
+    document = F.to_json(F.struct(F.struct(body.alias("Media")).alias("data")), WITH_NULLS)
     error = F.lit('{"errors":[{"message":"Not Found."}],"data":null}')
     return order_columns(spark, sf_dir).select(
         "ordered", "seq", F.when(F.col("price") < 50000, error).otherwise(document).alias("value"))
@@ -102,22 +103,23 @@ def media_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [docs.filter(~late).drop("ordered"), docs.filter(late).drop("ordered")]
 
 
-def catalogue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plain media document per part."""
+def catalogue_documents(spark: SparkSession, sf_dir: str, extra: int = 0) -> DataFrame:
+    """A plain media document per part; ``extra`` makes another version of it."""
     nothing = F.array().cast("array<string>")
     empty = F.struct(nothing.alias("edges"))
     dates = F.struct(F.lit(2000).alias("year"))
     body = F.struct(
         F.col("p_partkey").cast("int").alias("id"), F.lit("ANIME").alias("type"),
-        F.struct(F.col("p_name").alias("romaji")).alias("title"), nothing.alias("synonyms"),
-        dates.alias("startDate"), dates.alias("endDate"), F.col("p_size").alias("episodes"),
+        F.struct(F.col("p_name").alias("romaji"), F.lit(None).cast("string").alias("english"),
+                 F.lit(None).cast("string").alias("native")).alias("title"), nothing.alias("synonyms"),
+        dates.alias("startDate"), dates.alias("endDate"), (F.col("p_size") + extra).alias("episodes"),
         F.col("p_type").alias("format"), F.col("p_brand").alias("source"),
         F.lit("FINISHED").alias("status"), nothing.alias("tags"),
         F.split("p_name", " ").alias("genres"), empty.alias("studios"), empty.alias("staff"),
     )
     return load_spread(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("seq"),
-        F.to_json(F.struct(F.struct(body.alias("Media")).alias("data"))).alias("value"))
+        F.to_json(F.struct(F.struct(body.alias("Media")).alias("data")), WITH_NULLS).alias("value"))
 
 
 # -- list documents: one per event, for the event's user -----------------------------
@@ -151,7 +153,7 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     def branch(*lists):
         entries = F.array(*[F.struct(F.array(*x).alias("entries")) for x in lists])
         inner = F.struct(entries.alias("lists")).alias("MediaListCollection")
-        return F.to_json(F.struct(F.struct(inner).alias("data")))
+        return F.to_json(F.struct(F.struct(inner).alias("data")), WITH_NULLS)
 
     anime = branch(
         [_entry(media, whole, F.lit(0)), _entry(media * 2, F.lit(2), F.lit(1))],

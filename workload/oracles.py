@@ -35,13 +35,13 @@ MEDIA_QUERY = (
     "query ($id: Int) { Media(id: $id, id_not: 0) { id type title { romaji english native }"
     " synonyms startDate { year month day } endDate { year month day } episodes duration chapters"
     " volumes format source status tags { id name category } genres"
-    " studios { edges { isMain node { id name } } }"
-    " staff { edges { role node { id name { first last full native } } } } } }"
+    " studios { edges { id isMain node { id name } } }"
+    " staff { edges { id role node { id name { first last full native } } } } } }"
 )
 LIST_QUERY = (
     "query ($userId: Int) { MediaListCollection(userId: $userId, type: %s) { lists { entries"
-    " { userId mediaId startedAt { year month day } completedAt { year month day } score progress"
-    " repeat status } } } }"
+    " { userId id mediaId startedAt { year month day } completedAt { year month day } score progress"
+    " repeat media { id type } status } } } }"
 )
 USER_QUERY = "query ($name: String) { User(name: $name) { id } }"
 
@@ -242,8 +242,6 @@ SELECT 'media' AS stream, seq, true AS has_text,
        CASE WHEN price < 50000 THEN 'no media' ELSE 'missing section' END AS reason
 FROM raw WHERE seq NOT IN (SELECT seq FROM valid)"""
 
-ORACLES["media_stream"] = f"""
-WITH {_MEDIA} SELECT CAST(id AS INTEGER) AS ext_media_id, {_ATTRIBUTES} FROM latest"""
 
 
 def _unnested(template: str, columns: str) -> str:
@@ -337,7 +335,7 @@ SELECT ext_user_id, ext_media_id, date_start, date_end, score, status, progress,
        ext_media_id NOT IN (SELECT p_partkey FROM part) AS waits
 FROM entries"""
 
-ORACLES["list_stream"] = f"""
+ORACLES["waiting_media"] = f"""
 WITH {_EVENTS}, entries AS ({_collapsed('latest')})
 SELECT DISTINCT ext_media_id FROM entries
 WHERE ext_media_id NOT IN (SELECT p_partkey FROM part)"""
@@ -546,3 +544,13 @@ FROM documents
 UNION ALL
 SELECT 'lang', count(*) FILTER (length(lang) > 50), CAST(max(length(lang)) AS INTEGER)
 FROM documents"""
+
+ORACLES["media_versions"] = """
+SELECT CAST(p_partkey AS INTEGER) AS ext_media_id, p_name AS title,
+       CAST(p_size + 100 AS INTEGER) AS episodes
+FROM part"""
+
+# the same documents by another way
+ORACLES["media_stream"] = ORACLES["media_reconcile"]
+ORACLES["list_stream"] = ORACLES["list_reconcile"]
+ORACLES["list_replay"] = ORACLES["list_reconcile"]

@@ -655,14 +655,26 @@ def media_reconcile(spark, sf):
 
 @query
 def media_stream(spark, sf):
-    """Media rows after the same documents arrived as a stream."""
+    """All relations after the same documents arrived as a stream."""
     store, topic = _store(spark, "media"), new_scratch(spark, "topic")
     checkpoint = new_scratch(spark, "checkpoint")
     for batch in inputs.media_batches(spark, sf):
         topics.write_topic(batch, "parquet", {"path": topic})
         stream = topics.stream_topic(spark, "parquet", {"path": topic})
         consume_media(stream, store, checkpoint, bounded=True).start().awaitTermination()
-    return views.media(store)
+    return views.relations(store)
+
+
+@query
+def media_versions(spark, sf):
+    """Two versions of every part's document, published under the same number, read as one batch."""
+    store, topic = _store(spark, "versions"), new_scratch(spark, "topic")
+    for extra in (0, 100):
+        docs = inputs.catalogue_documents(spark, sf, extra)
+        topics.write_topic(docs, "parquet", {"path": topic})
+    stream = topics.stream_topic(spark, "parquet", {"path": topic})
+    consume_media(stream, store, new_scratch(spark, "checkpoint"), bounded=True).start().awaitTermination()
+    return store.read("media").select("ext_media_id", "title", "episodes")
 
 
 def _catalogue(spark, sf) -> Store:
@@ -677,6 +689,11 @@ def list_reconcile(spark, sf):
     store = _catalogue(spark, sf)
     for batch in inputs.list_batches(spark, sf):
         reconcile_lists(store, batch)
+    return _list_rows(store)
+
+
+def _list_rows(store: Store) -> DataFrame:
+    """Stored list entries and those that wait for their media."""
     known = views.list_entries(store).withColumn("waits", F.lit(False))
     status = lookups.names_of(store.read("name"), "watchstatus", "status_id", "status")
     waiting = lookups.lookup_join(store.read("pending_entry"), store.read("viewer"), ["viewer_id"])
@@ -686,7 +703,7 @@ def list_reconcile(spark, sf):
 
 @query
 def list_stream(spark, sf):
-    """Media the lists wait for after the documents arrived as a stream, the last batch twice."""
+    """The same after the documents arrived as a stream, the last batch twice."""
     store, topic = _catalogue(spark, sf), new_scratch(spark, "topic")
     checkpoint = new_scratch(spark, "checkpoint")
     first, second = inputs.list_batches(spark, sf)
@@ -694,6 +711,26 @@ def list_stream(spark, sf):
         topics.write_topic(batch, "parquet", {"path": topic})
         stream = topics.stream_topic(spark, "parquet", {"path": topic})
         consume_lists(stream, store, checkpoint, bounded=True).start().awaitTermination()
+    return _list_rows(store)
+
+
+@query
+def list_replay(spark, sf):
+    """List rows after a committed batch came again under its number, with other documents."""
+    store = _catalogue(spark, sf)
+    first, second = inputs.list_batches(spark, sf)
+    reconcile_lists(store, first, batch_id=0)
+    reconcile_lists(store, second, batch_id=1)
+    reconcile_lists(store, first, batch_id=1)
+    return _list_rows(store)
+
+
+@query
+def waiting_media(spark, sf):
+    """Media that stored list entries wait for."""
+    store = _catalogue(spark, sf)
+    for batch in inputs.list_batches(spark, sf):
+        reconcile_lists(store, batch)
     return media_requests(store)
 
 
