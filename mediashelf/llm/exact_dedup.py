@@ -138,7 +138,8 @@ def duplicate_groups(
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; all columns as they were."""
+    """``docs`` without the rows whose text another row keeps; all columns as they were.  Rows
+    without an id cannot be named, so they always stay."""
     gone = duplicate_groups(docs, doc_id, text).where("NOT kept").select(
         F.col("doc_id").alias(doc_id))
     return docs.join(gone.distinct(), doc_id, "left_anti").select(*docs.columns)

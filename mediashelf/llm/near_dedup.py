@@ -18,7 +18,7 @@ TREES = 12  # independent trees, each starting at a token position of its own
 NODE_LIMIT = 48  # a node of so many sets or fewer is compared exhaustively
 SPLITS = 1.25  # branches a set takes at a crowded node, on average: 1 / 0.8
 LEVELS = 14  # deeper nodes are compared block by block,
-PAIRS_PER_SET = 64  # and so are all that are left once they make so many pairs per set or fewer
+PAIRS_PER_SET = 16  # and so are all that are left once they make so many pairs per set or fewer
 ID_ROWS = 1_000_000  # ids (8 bytes each) broadcast at most
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _RANDOM = np.random.default_rng(20_240_607)
@@ -101,18 +101,24 @@ def _summaries(words: int):
     return batches
 
 
-SKETCH = ["s0", "s1", "s2", "s3"]
+SKETCH = ["n", "s0", "s1", "s2", "s3"]  # size of the set, and four bits of each token
+SIGMAS = 4.5  # pairs that agree in fewer tokens than linked ones do by so many deviations are out
 
 
-def _agreement(a: str, b: str):
-    """Of how many tokens the four bits agree, from two sketches."""
+def _similar(a: str, b: str, percent: int):
+    """Whether two sketches leave it open that the sets are linked: linked sets are of like size,
+    and of their tokens' bits about as many agree as the similarity and chance make likely."""
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    like = (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
+    share = percent / 100 + (1 - percent / 100) / 16
+    least = int(HASHES * share - SIGMAS * (HASHES * share * (1 - share)) ** 0.5)
     total = F.lit(HASHES)
-    for s in SKETCH:
+    for s in SKETCH[1:]:
         x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         total = total - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+    return like & (total >= least)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,17 +160,16 @@ def near_duplicates(
     as not while others part).  A crowded node whose sets are all connected already is done:
     comparing its pairs would add nothing.  Links found by any tree are confirmed on full sets.
     What is left is compared block by block as soon as that is no more than PAIRS_PER_SET pairs
-    per set, and after LEVELS branchings in any case, so none is left out.  With 12 trees a pair at 0.8 meets in a small node of at least one with a probability
-    above 0.999.
+    per set, and after LEVELS branchings in any case, so none is left out.  With 12 trees a pair
+    at 0.8 meets in a small node of at least one with a probability above 0.999.
     """
     rows = staged(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(
         _summaries(words), f"id {dict(docs.dtypes)[doc_id]}, n bigint, key binary, "
         "tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "sets")
     kind = dict(rows.dtypes)["id"]
     classes = staged(rows.where("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(
-        F.min(F.struct("id", "tokens", *SKETCH)).alias("c")
-    ).select("key", "n", F.col("c.id").alias("id"), "c.tokens", *[f"c.{s}" for s in SKETCH]), "classes")
-    least = int(HASHES * (percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5))
+        F.min(F.struct("id", "tokens", *SKETCH[1:])).alias("c")
+    ).select("key", "n", F.col("c.id").alias("id"), "c.tokens", *[f"c.{s}" for s in SKETCH[1:]]), "classes")
     n_classes = classes.count()
     trees = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
     nodes = classes.select("id", trees).select(F.xxhash64("tree", "token").alias("node"), "id")
@@ -180,12 +185,12 @@ def near_duplicates(
         few, many = alive.where(F.col("size") <= NODE_LIMIT), alive.where(F.col("size") > NODE_LIMIT)
         x, y = few.alias("x"), few.select("node", "id", *SKETCH).alias("y")
         pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
-                       & (_agreement("x", "y") >= least)).select(
+                       & _similar("x", "y", percent)).select(
             F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         firsts = staged(crowds.where(F.col("size") > NODE_LIMIT).select(
             F.col("node"), F.col("first").alias("id")).join(sketches, "id"), "firsts")
         stars = many.alias("x").join(firsts.alias("y"), "node").where(
-            (F.col("x.id") != F.col("y.id")) & (_agreement("x", "y") >= least)).select(
+            (F.col("x.id") != F.col("y.id")) & _similar("x", "y", percent)).select(
             F.col("y.id").alias("a"), F.col("x.id").alias("b"))
         state = _grown(staged(pairs.unionByName(stars).distinct(), "pairs"), state)
         named = many.join(state.labels, "id", "left").withColumn(
@@ -198,7 +203,7 @@ def near_duplicates(
             break
         rest = named.join(mixed.select("node"), "node", "left_semi")
         if level == LEVELS or work <= PAIRS_PER_SET * n_classes:
-            state = _grown(staged(_block_pairs(staged(rest, "rest"), least).distinct(), "pairs"), state)
+            state = _grown(staged(_block_pairs(staged(rest, "rest"), percent).distinct(), "pairs"), state)
             break
         # which tokens a node branches by is drawn from the node: one, or at times a second one
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HASHES - TREES)) + TREES
@@ -221,7 +226,7 @@ def near_duplicates(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _block_pairs(many: DataFrame, least: int) -> DataFrame:
+def _block_pairs(many: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of nodes that are not branched further: every block of a node meets every
     block of the same node.  Pairs that are in one component already are left out."""
     blocks = F.ceil(F.col("size") / NODE_LIMIT)
@@ -232,7 +237,7 @@ def _block_pairs(many: DataFrame, least: int) -> DataFrame:
     y = rows.select(*columns, F.col("block").alias("other")).alias("y")
     met = x.join(y, ["node", "other"]).where(
         ((F.col("x.block") < F.col("other")) | (F.col("x.id") < F.col("y.id")))
-        & (F.col("x.component") != F.col("y.component")) & (_agreement("x", "y") >= least))
+        & (F.col("x.component") != F.col("y.component")) & _similar("x", "y", percent))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
@@ -262,7 +267,7 @@ class _State:
 
 def _grown(pairs: DataFrame, state: _State) -> _State:
     """Links and labels after confirming candidate pairs: first one pair for every set, then
-    those whose ends are still in different components."""
+    those whose ends were not linked to the same set by that."""
     if pairs.isEmpty():
         return state
     asked = staged(state.apart(pairs), "asked")
@@ -281,14 +286,23 @@ def _grown(pairs: DataFrame, state: _State) -> _State:
     texts = state.texts.join(small(staged(ids, "ids"), ID_ROWS), "id", "left_semi")
     sets = staged(texts.mapInArrow(batches, f"id {kind}, members binary"), "members")
     one = staged(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
-    state = state.with_links(staged(_confirmed(one, sets, state.percent), "confirmed"))
-    left = state.apart(asked.join(one, ["a", "b"], "left_anti"))
-    return state.with_links(staged(_confirmed(left, sets, state.percent), "confirmed"))
+    found = staged(_confirmed(one, sets, state.percent), "confirmed")
+    # two that are linked to the same third one need no link of their own
+    ends = found.select(F.col("b").alias("id"), F.col("a").alias("near")).unionByName(
+        found.select(F.col("a").alias("id"), F.col("a").alias("near")))
+    near = staged(ends.groupBy("id").agg(F.min("near").alias("near")), "near")
+    a = near.select(F.col("id").alias("a"), F.col("near").alias("na"))
+    b = near.select(F.col("id").alias("b"), F.col("near").alias("nb"))
+    left = asked.join(one, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(
+        F.coalesce("na", "a") != F.coalesce("nb", "b")).select("a", "b")
+    more = _confirmed(left, sets, state.percent)
+    return state.with_links(staged(found.unionByName(more), "confirmed"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                 percent: int = 80) -> DataFrame:
-    """``docs`` without the near-duplicates that are not kept; all columns as they were."""
+    """``docs`` without the near-duplicates that are not kept; all columns as they were.  Rows
+    without an id always stay."""
     gone = near_duplicates(docs, doc_id, text, words, percent).where("NOT kept").select(
         F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
