@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from mediashelf.session import written
 
+BATCH_ROWS = 1_000
 BROADCAST_ROWS = 20_000  # a side is broadcast only if it was counted at no more rows than this
 
 
 def staged(frame: DataFrame, label: str) -> DataFrame:
-    """``frame`` written once to the shared folder and read back, so that lost tasks re-read it."""
-    return written(frame, label)
+    """``frame`` written once to the shared folder and read back, so that lost tasks re-read it.
+
+    Texts and sets make wide rows, so Python workers get BATCH_ROWS of them at a time.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(key)
+    conf.set(key, str(min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS))
+    try:
+        return written(frame, label)
+    finally:
+        conf.set(key, usual)
 
 
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
