@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GRID = 4_000_000  # cells of one batch of equal-length words, at most
-CACHE = 800_000  # words whose pieces a worker remembers,
-PAIRS, SLOT_BITS = 1_000_000, 19  # and pairs of pieces; slots of the table that is asked first
+CACHE = 400_000  # words whose pieces a worker remembers,
+PAIRS, SLOT_BITS = 400_000, 19  # and pairs of pieces; slots of the table that is asked first
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNIGRAM, BPE = 1, 2
 
