@@ -18,7 +18,7 @@ TREES = 12  # independent trees, each starting at a token position of its own
 NODE_LIMIT = 48  # a node of so many sets or fewer is compared exhaustively
 SPLITS = 1.25  # branches a set takes at a crowded node, on average: 1 / 0.8
 LEVELS = 14  # deeper nodes are compared block by block,
-PAIRS_PER_SET = 16  # and so are all that are left once they make so many pairs per set or fewer
+PAIRS_PER_SET = 64  # and so are all that are left once they make so many pairs per set or fewer
 ID_ROWS = 1_000_000  # ids (8 bytes each) broadcast at most
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _RANDOM = np.random.default_rng(20_240_607)
@@ -176,7 +176,6 @@ def near_duplicates(
     sketches = classes.select("id", *SKETCH)
     spark = docs.sparkSession
     state = _State(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), words, percent,
-                   spark.createDataFrame([], f"a {kind}, b {kind}"),
                    spark.createDataFrame([], f"id {kind}, component {kind}"))
     for level in range(LEVELS + 1):
         crowds = staged(nodes.groupBy("node").agg(
@@ -243,12 +242,11 @@ def _block_pairs(many: DataFrame, percent: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class _State:
-    """Texts by id, how they are compared, and the confirmed links and components so far."""
+    """Texts by id, how they are compared, and the components that confirmed links make so far."""
 
     texts: DataFrame
     words: int
     percent: int
-    links: DataFrame
     labels: DataFrame
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -259,10 +257,22 @@ class _State:
             F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     def with_links(self, links: DataFrame) -> _State:
+        """After more links: components are found among the old ones that the links join."""
         if links.isEmpty():
             return self
-        links = staged(self.links.unionByName(links), "links")
-        return replace(self, links=links, labels=staged(components(links), "labels"))
+        a = self.labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+        b = self.labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        joined = links.join(a, "a", "left").join(b, "b", "left").select(
+            "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        joined = staged(joined, "links")
+        merged = components(joined, "ca", "cb").select(
+            F.col("id").alias("component"), F.col("component").alias("merged"))
+        known = self.labels.unionByName(
+            joined.select(F.col("a").alias("id"), F.col("ca").alias("component"))).unionByName(
+            joined.select(F.col("b").alias("id"), F.col("cb").alias("component"))).distinct()
+        labels = known.join(merged, "component", "left").select(
+            "id", F.coalesce("merged", "component").alias("component"))
+        return replace(self, labels=staged(labels, "labels"))
 
 
 def _grown(pairs: DataFrame, state: _State) -> _State:
