@@ -14,6 +14,7 @@ from mediashelf.llm.common import lower_ascii, staged
 MODULI = (2147483647, 2147483629)  # primes below 2**31
 BASES = (1315423911, 1640531527)
 BLOCK = 256  # bytes hashed by one dot product: 2**8 * 2**31 * BLOCK stays exact in a double
+ROWS = 4_096  # blocks hashed at a time
 CHUNK_CHARS = 65_536  # characters compared at a time
 
 
@@ -53,12 +54,12 @@ def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     windows = np.lib.stride_tricks.sliding_window_view(
         np.concatenate([np.zeros(BLOCK, np.uint8), data]), BLOCK)
     value = np.zeros((lanes, len(owner)), dtype=np.uint64)
-    for a in range(0, len(owner), 16_384):
-        rows = windows[end[a:a + 16_384]].astype(np.float64)
-        missing = starts[owner[a:a + 16_384]] + BLOCK - end[a:a + 16_384]
+    for a in range(0, len(owner), ROWS):
+        rows = windows[end[a:a + ROWS]].astype(np.float64)
+        missing = starts[owner[a:a + ROWS]] + BLOCK - end[a:a + ROWS]
         for r in np.flatnonzero(missing > 0):
             rows[r, :missing[r]] = 0
-        value[:, a:a + 16_384] = (rows @ powers).T.astype(np.uint64) % m
+        value[:, a:a + ROWS] = (rows @ powers).T.astype(np.uint64) % m
     # every right-hand part spans a power of two of blocks, so one shift serves a round
     span = BLOCK
     while len(owner) > np.count_nonzero(blocks):

@@ -145,12 +145,19 @@ def scores_of(texts: list[bytes], model: Model) -> np.ndarray:
     return score
 
 
+def _slices(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut into few rows, so that few texts are unpacked at a time."""
+    for part in parts:
+        for a in range(0, part.num_rows, rows):
+            yield part.slice(a, rows)
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, score``: the chance of label 1 of every whole text (null counts as empty), one row
     per row of ``docs``.  Nothing but the text is looked at."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(scores_of(texts, model))], names=["id", "score"])
@@ -165,7 +172,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
     place = docs.columns.index(text)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             texts = [t or b"" for t in part.column(place).cast(pa.binary()).to_pylist()]
             yield part.filter(pa.array(scores_of(texts, model) >= least))
 
