@@ -31,6 +31,23 @@ class Model:
     prior: float
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The whole text, cut after every PIECE_CHARS characters as the learned pieces are (and
+    after as many bytes as those can have, where bytes are no UTF-8)."""
+    at, most = 0, 4 * PIECE_CHARS
+    while len(text) - at > PIECE_CHARS:
+        window = np.frombuffer(text, np.uint8, min(most + 1, len(text) - at), at)
+        firsts = np.flatnonzero((window & 0xC0) != 0x80)  # first bytes of characters
+        if len(firsts) > PIECE_CHARS:
+            end = at + int(firsts[PIECE_CHARS])
+        else:
+            end = min(at + most, len(text))
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
 def _sizes(texts: list[bytes], dictionary: bytes) -> np.ndarray:
     if dictionary:
         prepared = zstandard.ZstdCompressionDict(dictionary)
@@ -40,12 +57,15 @@ def _sizes(texts: list[bytes], dictionary: bytes) -> np.ndarray:
     else:
         press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False,
                                          write_content_size=False)
-    return np.array([len(press.compress(t)) for t in texts], dtype=np.float64)
+    return np.array([sum(len(press.compress(p)) for p in _pieces(t)) for t in texts],
+                    dtype=np.float64)
 
 
 def features(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     """Per text: the compressed-size difference normalised by the sizes' sum, the same
-    normalised by the length, and the logarithm of the better rate it stands for."""
+    normalised by the length, and the logarithm of the better rate it stands for.  Sizes are
+    sums over all pieces of a text, each compressed on its own: in one frame a long text would
+    be its own dictionary."""
     a, b = _sizes(texts, good), _sizes(texts, bad)
     n = np.array([max(1, len(t)) for t in texts], dtype=np.float64)
     return np.stack([(b - a) / (a + b), (b - a) / n, np.log(np.minimum(a, b) / n)], axis=1)

@@ -47,3 +47,24 @@ def test_without_labels_or_with_one_class(spark):
     one = spark.createDataFrame([(1, 1), (2, 1), (3, None), (None, 0)], "doc_id bigint, quality int")
     assert [r.score for r in quality.score(docs, quality.fit(docs, one)).collect()] == [1.0, 1.0]
     assert quality.score(docs.where(F.lit(False)), quality.fit(docs, none)).count() == 0
+
+
+def test_scores_mean_the_same_at_every_length(learned):
+    rng = np.random.default_rng(4)
+    good = " ".join(rng.choice(WORDS, 2_000)).encode() + b" "
+    bad = b"".join(f"{w}!! ".encode() * 80 for w in rng.choice(WORDS, 30))
+    one, *more = quality.scores_of([good * n for n in (1, 2, 5, 20)], learned)
+    assert one > 0.5 and more == pytest.approx([one] * 3, abs=0.02)
+    one, *more = quality.scores_of([bad * n for n in (1, 2, 5, 20)], learned)
+    assert one < 0.5 and more == pytest.approx([one] * 3, abs=0.02)
+    x, y = quality.features([good + bad, bad + good], learned.good, learned.bad)
+    assert x == pytest.approx(y, abs=0.01)
+
+
+@pytest.mark.parametrize("letter", ["a", "é", "日", "𠀀"])
+def test_pieces_are_the_whole_text_cut_between_characters(letter):
+    for n in (0, 1, 1_999, 2_000, 2_001, 9_000):
+        cut = list(quality._pieces((letter * n).encode()))
+        assert [len(p.decode()) for p in cut] == [2_000] * (n // 2_000) + [n % 2_000] * (n % 2_000 > 0)
+    odd = b"\x80" * 30_000 + b"\xff" * 30_000
+    assert b"".join(quality._pieces(odd)) == odd
