@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from mediashelf.llm.common import components, small, staged
 HASHES = 64  # minwise tokens of a document
 TREES = 12  # independent trees, each starting at a token position of its own
 NODE_LIMIT = 48  # a node of so many sets or fewer is compared exhaustively
-SPLITS = 1.25  # branches a set takes at a crowded node, on average: 1 / 0.8
+SPLITS, MORE_SPLITS, MOST_SPLITS = 1.4, 0.1, 1.8  # branches a set takes at a crowded node, on
+# average: at the first level, more at each further level, at most; above 1 / 0.8 at all levels
 LEVELS = 14  # deeper nodes are compared block by block,
 PAIRS_PER_SET = 64  # and so are all that are left once they make so many pairs per set or fewer
 ID_ROWS = 1_000_000  # ids (8 bytes each) broadcast at most
@@ -74,6 +76,28 @@ def tokens_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def splits(level: int) -> float:
+    """Branches that a set takes on average at a crowded node of a level."""
+    return min(MOST_SPLITS, SPLITS + MORE_SPLITS * level)
+
+
+def missed(similarity: float, levels: int) -> float:
+    """The chance that a pair meets in no node any more after so many crowded levels.
+
+    Trees start at tokens of their own and branch by the same other tokens, so it is computed
+    for every number of those that the pair may share, and weighted by how likely that is.
+    """
+    others, total = HASHES - TREES, 0.0
+    for shared in range(others + 1):
+        p, lost = shared / others, 0.0
+        for level in reversed(range(levels)):
+            again = (splits(level) - 1) * p
+            lost = (1 - p + p * lost) * (1 - again + again * lost)
+        chance = comb(others, shared) * similarity**shared * (1 - similarity) ** (others - shared)
+        total += chance * (1 - similarity * (1 - lost)) ** TREES
+    return total
+
+
 def _summaries(words: int):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -156,12 +180,13 @@ def near_duplicates(
     Equal sets are merged first and stand for all their copies.  Every tree deals the sets into
     nodes by one minwise token.  Small nodes are compared exhaustively, by sketches first; in a
     crowded node every set is compared with the node's smallest id, and then the node branches
-    by further tokens (1 / 0.8 of them on average, so that linked pairs stay together as often
-    as not while others part).  A crowded node whose sets are all connected already is done:
+    by further tokens (more than 1 / 0.8 of them on average, so that linked pairs stay together
+    in ever more nodes while others part).  A crowded node whose sets are all connected already is done:
     comparing its pairs would add nothing.  Links found by any tree are confirmed on full sets.
     What is left is compared block by block as soon as that is no more than PAIRS_PER_SET pairs
-    per set, and after LEVELS branchings in any case, so none is left out.  With 12 trees a pair
-    at 0.8 meets in a small node of at least one with a probability above 0.999.
+    per set, and after LEVELS branchings in any case.  Nodes are random, so a pair can part in
+    all of them: ``missed`` gives the chance, for a pair at 0.8 at most 0.0001 while three levels
+    are crowded and 0.0008 after LEVELS, less above 0.8.  It grows for ``percent`` below 80.
     """
     rows = staged(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(
         _summaries(words), f"id {dict(docs.dtypes)[doc_id]}, n bigint, key binary, "
@@ -207,7 +232,7 @@ def near_duplicates(
         # which tokens a node branches by is drawn from the node: one, or at times a second one
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HASHES - TREES)) + TREES
         second = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(HASHES - TREES)) + TREES
-        also = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < round(1000 * (SPLITS - 1))
+        also = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < round(1000 * (splits(level) - 1))
         choice = F.when(also & (first != second), F.array(first, second)).otherwise(F.array(first))
         nodes = staged(
             rest.select("node", "id", F.explode(choice).alias("at"))

@@ -85,3 +85,28 @@ def test_components_of_chains_stars_and_rings(spark):
     found = dict(map(tuple, components(frame).collect()))
     want = {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in (200, 201, 202)}
     assert found == want
+
+
+def test_pairs_are_met_however_many_levels_are_crowded():
+    assert near_dedup.missed(0.8, 0) == pytest.approx(0.2 ** near_dedup.TREES)
+    assert near_dedup.missed(0.8, 3) < 0.0001
+    for similarity in (0.8, 0.85, 0.9):
+        assert all(near_dedup.missed(similarity, k) < 0.0008 for k in range(near_dedup.LEVELS + 1))
+
+
+def test_planted_pairs_share_a_node_after_all_levels():
+    """Tokens of pairs at 0.80 to 0.85, dealt as crowded nodes deal them, with drawn branches."""
+    rng, sets = np.random.default_rng(8), []
+    for pair in range(4_000):
+        both, own = rng.integers(1, 1 << 62, 178, dtype=np.uint64), 22 - pair % 6 * (pair % 4 == 0)
+        sets += [np.concatenate([both, rng.integers(1, 1 << 62, own, dtype=np.uint64)]) for _ in (0, 1)]
+    tokens = near_dedup.tokens_of(sets)
+    lost = 0
+    for equal in tokens[::2] == tokens[1::2]:
+        nodes = int(equal[:near_dedup.TREES].sum())
+        for level in range(near_dedup.LEVELS):
+            at = rng.integers(near_dedup.TREES, near_dedup.HASHES, (2, nodes))
+            also = (rng.random(nodes) < near_dedup.splits(level) - 1) & (at[0] != at[1])
+            nodes = min(1_000, int(equal[at[0]].sum() + (equal[at[1]] & also).sum()))
+        lost += nodes == 0
+    assert lost <= 10  # 0.0008 of 4,000 are 3
