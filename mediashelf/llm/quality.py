@@ -16,6 +16,7 @@ DICT_BYTES = 112_640
 SAMPLE_DOCS = 1_500  # labelled documents of either class that the dictionaries are built from
 CALIBRATION_DOCS = 1_500  # further labelled documents of either class for the calibration
 PIECE_CHARS, SAMPLE_PIECES = 2_000, 3_000  # bounds the bytes of the sample, however long a text
+DOC_PIECES = 8  # pieces of one document in the sample at most, or its even share if that is more
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,10 @@ def fit(
     several labels of a document the smallest counts).  The sample is bounded: of either class
     SAMPLE_DOCS documents for the dictionaries and CALIBRATION_DOCS for the calibration, taken
     in the order of a hash of their ids, and of those at most SAMPLE_PIECES pieces of
-    PIECE_CHARS characters per class, in the order of a hash too.  With one class only, or
+    PIECE_CHARS characters per class: one piece of every document first, then a second one of
+    each, and so on.  No document gives more than DOC_PIECES pieces, or than its even share of
+    SAMPLE_PIECES where the class has few documents; which of its pieces, from the whole text, is
+    up to a hash.  So at most DOC_PIECES * SAMPLE_DOCS pieces of a half are ordered.  With one class only, or
     none, every text scores the share of label 1 (0.5 without labels).
     """
     marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(
@@ -127,14 +131,24 @@ def fit(
         Window.partitionBy("y").orderBy(order, "id"))).where(F.col("rank") <= want)
     chosen = ranked.withColumn("fit", F.col("rank") % 2 == 0)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sample = texts.join(F.broadcast(chosen), "id")  # at most 2 * want rows of ids
-    pieces = sample.select("id", "y", "fit", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.floor(F.length("t") / PIECE_CHARS).cast("int")),
-        lambda i: F.substring(F.col("t"), i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)),
-    )).alias("place", "piece"))
-    piece_order = F.xxhash64(F.col("id").cast("string"), "place", "piece")
-    kept = pieces.where("piece <> ''").withColumn("rank", F.row_number().over(
-        Window.partitionBy("y", "fit").orderBy(piece_order, "piece")))
+    # at most 2 * want rows of ids
+    sample = texts.where("t <> ''").join(F.broadcast(chosen), "id")
+    share = F.lit(DOC_PIECES)
+    for r in sample.groupBy("y", "fit").agg(F.countDistinct("id").alias("n")).collect():
+        share = F.when((F.col("y") == r["y"]) & (F.col("fit") == r["fit"]), F.lit(
+            max(DOC_PIECES, -(-SAMPLE_PIECES // r["n"])))).otherwise(share)
+    # places are chosen before any text is cut, so that a long text gives its share only
+    places = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length("t") - 1) / PIECE_CHARS).cast("int")),
+        lambda i: F.struct(F.xxhash64(F.col("id").cast("string"), i).alias("by"), i.alias("place")))
+    pieces = sample.withColumn("share", share).select("id", "y", "fit", "share", F.explode(F.transform(
+        F.slice(F.array_sort(places), F.lit(1), F.col("share")),
+        lambda p: F.struct(p["by"].alias("by"), F.substring(
+            F.col("t"), p["place"] * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece")))).alias("p"))
+    turns = pieces.select("id", "y", "fit", "share", "p.by", "p.piece").withColumn(
+        "turn", F.row_number().over(Window.partitionBy("y", "fit", "id").orderBy("by", "piece")))
+    kept = turns.where("turn <= share").withColumn("rank", F.row_number().over(
+        Window.partitionBy("y", "fit").orderBy("turn", "by", "id", "piece")))
     rows = kept.where(F.col("rank") <= SAMPLE_PIECES).select("y", "fit", "piece").collect()
     split = {(y, f): [r["piece"].encode() for r in rows if r["y"] == y and r["fit"] == f]
              for y in (0, 1) for f in (False, True)}

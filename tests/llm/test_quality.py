@@ -68,3 +68,17 @@ def test_pieces_are_the_whole_text_cut_between_characters(letter):
         assert [len(p.decode()) for p in cut] == [2_000] * (n // 2_000) + [n % 2_000] * (n % 2_000 > 0)
     odd = b"\x80" * 30_000 + b"\xff" * 30_000
     assert b"".join(quality._pieces(odd)) == odd
+
+
+def test_very_long_labelled_texts_leave_room_for_the_others(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PIECES", 120)
+    rng, learnt = np.random.default_rng(6), []
+    monkeypatch.setattr(quality, "_dictionary", lambda texts: learnt.append(texts) or b"")
+    rows = [(i, f"short{i} " * 20, i % 2) for i in range(160)]
+    rows += [(1_000 + i, " ".join(rng.choice(WORDS, 160_000)), i % 2) for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    quality.fit(frame, frame.select("doc_id", "quality"))
+    assert len(learnt) == 2
+    for texts in learnt:
+        short = {t.split()[0] for t in texts if t.startswith(b"short")}
+        assert len(texts) <= 120 and len(short) >= 36 and len(texts) - len(short) <= 4 * 8
