@@ -49,21 +49,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     neighbours is never gathered in one place.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    links = staged(links.where("u <> v"), "links")
+    links = staged(links.where("u <> v").distinct(), "links")
     before = None
     for _ in range(rounds):
         # large star: every larger neighbour of x points to the smallest of x's neighbourhood
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.where("v > u").join(small(staged(least, "least")), "u")
+            both.where("v > u").join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         large = staged(large.where("u <> v"), "links")
         # small star: the neighbours below x, and x itself, point to the smallest of them
-        below = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        below = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = (
-            large.join(small(below), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(below.select("u", F.col("m").alias("v")))
         )
         seen = Observation()

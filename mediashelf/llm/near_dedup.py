@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from mediashelf.llm.common import components, small, staged
 
-HASHES = 64  # minwise tokens of a document
-TREES = 12  # independent trees, each starting at a token position of its own
-NODE_LIMIT = 48  # a node of so many sets or fewer is compared exhaustively
-SPLITS, MORE_SPLITS, MOST_SPLITS = 1.4, 0.1, 1.8  # branches a set takes at a crowded node, on
-# average: at the first level, more at each further level, at most; above 1 / 0.8 at all levels
-LEVELS = 14  # deeper nodes are compared block by block,
-PAIRS_PER_SET = 64  # and so are all that are left once they make so many pairs per set or fewer
+HASHES = 96  # minwise tokens of a document
+TREES = 16  # independent trees, each starting at a token position of its own
+SKETCHED = 64  # tokens that the sketch holds four bits of
+NODE_LIMIT = 2_048  # a node of so many sets or fewer is compared exhaustively, in one place
+NODE_SHINGLES = 2_000_000  # shingles of sets that are compared in one place, about
+PROBES = 32  # sets of a crowded node that the others' mean similarity to it is estimated from
+DENSE = 0.9  # a set this part as similar to its node as linked ones, on average, leaves the node
 ID_ROWS = 1_000_000  # ids (8 bytes each) broadcast at most
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _RANDOM = np.random.default_rng(20_240_607)
@@ -76,23 +76,17 @@ def tokens_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def splits(level: int) -> float:
-    """Branches that a set takes on average at a crowded node of a level."""
-    return min(MOST_SPLITS, SPLITS + MORE_SPLITS * level)
-
-
-def missed(similarity: float, levels: int) -> float:
+def missed(similarity: float, levels: int, percent: int = 80) -> float:
     """The chance that a pair meets in no node any more after so many crowded levels.
 
     Trees start at tokens of their own and branch by the same other tokens, so it is computed
     for every number of those that the pair may share, and weighted by how likely that is.
     """
-    others, total = HASHES - TREES, 0.0
+    others, total, more = HASHES - TREES, 0.0, 100 / percent - 1
     for shared in range(others + 1):
         p, lost = shared / others, 0.0
-        for level in reversed(range(levels)):
-            again = (splits(level) - 1) * p
-            lost = (1 - p + p * lost) * (1 - again + again * lost)
+        for _ in range(levels):
+            lost = (1 - p + p * lost) * (1 - more * p + more * p * lost)
         chance = comb(others, shared) * similarity**shared * (1 - similarity) ** (others - shared)
         total += chance * (1 - similarity * (1 - lost)) ** TREES
     return total
@@ -108,62 +102,321 @@ def _summaries(words: int):
                 tokens = np.zeros((len(sets), HASHES), dtype=np.uint32)
                 if filled:
                     tokens[filled] = tokens_of([sets[i] for i in filled])
-                # four bits of each token, packed into four numbers
-                bits = (tokens & 15).reshape(len(sets), 4, 16).astype(np.uint64)
+                # four bits of each sketched token, packed into four numbers
+                bits = (tokens[:, :SKETCHED] & 15).reshape(len(sets), 4, 16).astype(np.uint64)
                 packed = (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(
                     axis=2, dtype=np.uint64).astype(np.int64)
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    few.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(keys, pa.binary()),
+                    few.column(0), few.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.FixedSizeListArray.from_arrays(
                         pa.array(tokens.astype(np.int32).reshape(-1)), HASHES
                     ).cast(pa.list_(pa.int32())),
                     *[pa.array(packed[:, i]) for i in range(4)],
-                ], names=["id", "n", "key", "tokens", "s0", "s1", "s2", "s3"])
+                ], names=["id", "digest", "n", "c", "tokens", *SKETCH])
 
     return batches
 
 
-SKETCH = ["n", "s0", "s1", "s2", "s3"]  # size of the set, and four bits of each token
+def set_key(members: np.ndarray) -> bytes:
+    """What a set is known by: 128 bits of a hash of all its shingles."""
+    return xxhash.xxh3_128_digest(members.tobytes())
+
+
+SKETCH = ["s0", "s1", "s2", "s3"]  # four bits of each of the first tokens
 SIGMAS = 4.5  # pairs that agree in fewer tokens than linked ones do by so many deviations are out
+_EVERY_FOURTH = np.uint64(0x1111111111111111)
 
 
-def _similar(a: str, b: str, percent: int):
-    """Whether two sketches leave it open that the sets are linked: linked sets are of like size,
-    and of their tokens' bits about as many agree as the similarity and chance make likely."""
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    like = (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
+def least_agreement(percent: int) -> int:
+    """Sketched tokens whose bits agree in linked sets, less SIGMAS deviations."""
     share = percent / 100 + (1 - percent / 100) / 16
-    least = int(HASHES * share - SIGMAS * (HASHES * share * (1 - share)) ** 0.5)
-    total = F.lit(HASHES)
-    for s in SKETCH[1:]:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return like & (total >= least)
+    return int(SKETCHED * share - SIGMAS * (SKETCHED * share * (1 - share)) ** 0.5)
+
+
+def _agreement(x: list, y: list):
+    """Tokens whose four bits agree, by columns of two sketches."""
+    total = F.lit(SKETCHED)
+    for a, b in zip(x, y, strict=True):
+        v = a.bitwiseXOR(b)
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        total = total - F.bit_count(v.bitwiseAND(F.lit(int(_EVERY_FOURTH))))
+    return total
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have ``100 * intersection >= percent * union``."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+def whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by ``group``, cut between groups only."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        if not part.num_rows:
+            continue
+        group = part.column("group").to_numpy()
+        first = int(np.searchsorted(group, group[-1]))  # where the last group starts
+        if first or held and held[-1].column("group")[-1].as_py() != group[0]:
+            yield pa.Table.from_batches([*held, part.slice(0, first)])
+            held = []
+        held.append(part.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_group(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over the rows of every group, several groups at a time; all groups are bounded."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(parts):
+            yield from run(table).to_batches()
+
+    return frame.repartition("group").sortWithinPartitions("group").mapInArrow(batches, schema)
+
+
+def _met(percent: int) -> Callable:
+    """Rows of sets that may be linked to another set of their group, by size and sketch.  Pairs
+    of one component are left out, and pairs that met in a small root of an earlier tree."""
+    least = least_agreement(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        column = {k: table.column(k).to_numpy() for k in ("group", "n", "tree", "few", "open", *SKETCH)}
+        group, n, tree, few = (column[k] for k in ("group", "n", "tree", "few"))
+        sketch = [column[k].view(np.uint64) for k in SKETCH]
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        roots = table.column("roots").combine_chunks().flatten().to_numpy().reshape(len(n), TREES)
+        hit, step, many = np.zeros(len(n), dtype=bool), 1, len(n)
+        i = np.arange(many - 1)
+        i = i[group[i + 1] == group[i]]
+        while len(i):
+            j = i + step
+            like = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            like &= (label[i] != label[j]) & (column["open"][i] | column["open"][j])
+            x, y = i[like], j[like]
+            apart = np.zeros(len(x), dtype=np.uint8)
+            for s in sketch:
+                v = s[x] ^ s[y]
+                v |= v >> np.uint64(1)
+                v |= v >> np.uint64(2)
+                apart += np.bitwise_count(v & _EVERY_FOURTH)
+            near = SKETCHED - apart.astype(np.int64) >= least
+            x, y = x[near], y[near]
+            if len(x):
+                before = np.arange(TREES) < tree[x][:, None]
+                before &= (few[x][:, None] >> np.arange(TREES)) & 1 == 1
+                new = ~((roots[x] == roots[y]) & before).any(axis=1)
+                hit[x[new]] = hit[y[new]] = True
+            step += 1
+            i = i[i + step < many]
+            i = i[group[i + step] == group[i]]
+        return table.select(["group", "c", "n"]).filter(pa.array(hit))
+
+    return run
+
+
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the sets just as all links between them do, confirmed on all members:
+    pairs with ``100 * intersection >= percent * union``, none between sets joined already."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, root, found = np.zeros(len(values), dtype=np.int32), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        other = np.arange(i + 1, len(sets))
+        other = other[(root[other] != root[i]) & (
+            100 * np.minimum(sizes[i], sizes[other]) >= percent * np.maximum(sizes[i], sizes[other]))]
+        if not len(other):
+            continue
+        own = codes[starts[i]:starts[i] + sizes[i]]
+        mark[own] = 1
+        if 2 * len(other) > len(sets) - i:
+            shared = np.add.reduceat(mark[codes[starts[i + 1]:]], starts[i + 1:] - starts[i + 1])[other - i - 1]
+        else:
+            shared = np.array([mark[codes[starts[j]:starts[j] + sizes[j]]].sum() for j in other])
+        mark[own] = 0
+        for j in other[100 * shared >= percent * (sizes[i] + sizes[other] - shared)]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                found.append((i, int(j)))
+    return found
+
+
+def _links(percent: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        group, names = table.column("group").to_numpy(), table.column("c").to_pylist()
+        members = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        a, b = [], []
+        for start, end in zip(starts, [*starts[1:], len(group)], strict=True):
+            for i, j in linked(members[start:end], percent) if end - start > 1 else ():
+                a.append(names[start + i])
+                b.append(names[start + j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _confirmed(work: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that join what all links within the groups of ``work`` join.
+
+    Sketches name the sets that may be linked at all; only those sets are made again from their
+    texts, once, and travel to their groups.  A group of very many shingles is cut into parts
+    that meet pairwise.
+    """
+    met = staged(_by_group(work, _met(percent), "group bigint, c binary, n bigint"), "met")
+    ids = met.select("c").distinct().join(classes.select("c", "id"), "c")
+    ids = staged(ids.select("id").distinct(), "ids")
+
+    def made(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keep = []
-            for x, y in zip(part.column(2), part.column(3), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                spot = np.searchsorted(x, y)
-                spot[spot == len(x)] = 0
-                shared = int(np.count_nonzero(x[spot] == y)) if len(x) else 0
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
-            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingle_set(t, words) for t in part.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["c", "members"])
+
+    texts = docs.join(small(ids, ID_ROWS), "id", "left_semi").select("t")
+    sets = texts.mapInArrow(made, "c binary, members binary").dropDuplicates(["c"])
+    loads = met.groupBy("group").agg(F.sum("n").alias("load")).where(F.col("load") > NODE_SHINGLES)
+    dealt = met.join(loads, "group", "left").withColumn(
+        "parts", F.coalesce(F.ceil(F.col("load") / NODE_SHINGLES), F.lit(1)))
+    part = F.pmod(F.xxhash64("c", F.lit(5)), F.col("parts"))
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda other: F.when(
+        F.col("parts") == 1, F.col("group")).otherwise(
+        F.xxhash64("group", F.least(part, other), F.greatest(part, other))))
+    meeting = dealt.select("c", F.explode(meets).alias("group")).distinct()
+    together = meeting.join(sets, "c").select("group", "c", "members")
+    return staged(_by_group(together, _links(percent), "a binary, b binary"), "links")
+
+
+CARRIED = ["c", "label", "n", *SKETCH, "roots", "few"]
+
+
+def _blocks(size):
+    return F.ceil(size / NODE_LIMIT)
+
+
+def _block(c):
+    return F.pmod(F.xxhash64(c, F.lit(7)), _blocks(F.col("size")))
+
+
+def _sized(nodes: DataFrame) -> DataFrame:
+    """Rows of the nodes that hold sets of more than one component, with the node's size and the
+    hash of a member of its own."""
+    sizes = nodes.groupBy("node").agg(
+        F.count("*").alias("size"), F.min(F.xxhash64("c")).alias("first"),
+        F.min(F.xxhash64("label")).alias("lo"), F.max(F.xxhash64("label")).alias("hi"))
+    return nodes.join(staged(sizes.where("lo <> hi").drop("lo", "hi"), "sizes"), "node")
+
+
+def _roots(classes: DataFrame) -> DataFrame:
+    """Level 0: every set in the root that its first token of each tree names.  Sets that share
+    no root are left out; the others carry their roots, and which of those are small."""
+    first = F.slice("tokens", 1, TREES)
+    nodes = classes.select("c", F.posexplode(first).alias("tree", "token")).select(
+        F.xxhash64("tree", "token").alias("node"), "c", "tree")
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min(F.xxhash64("c")).alias("first"))
+    at = nodes.join(staged(sizes.where("size > 1"), "sizes"), "node").groupBy("c").agg(
+        F.collect_list(F.struct("node", "tree", "size", "first")).alias("at"))
+    few = F.aggregate(F.filter("at", lambda a: a["size"] <= NODE_LIMIT), F.lit(0), lambda bits, a: (
+        bits.bitwiseOR(F.call_function("shiftleft", F.lit(1), a["tree"]))))
+    known = at.join(classes.select("c", "n", *SKETCH, first.alias("roots")), "c").withColumn("few", few)
+    return known.withColumn("label", F.col("c")).select(*CARRIED, F.inline("at"))
+
+
+def _small_and_diagonal(level: DataFrame) -> DataFrame:
+    """What a level compares: small nodes whole, crowded ones in blocks that each hold the
+    node's first member too, so that copies of one text are joined across blocks."""
+    carried = [*CARRIED, "tree", F.lit(True).alias("open")]
+    few = level.where(F.col("size") <= NODE_LIMIT).select(F.col("node").alias("group"), *carried)
+    many = level.where(F.col("size") > NODE_LIMIT)
+    block = F.xxhash64("node", _block("c"))
+    every = F.transform(F.sequence(F.lit(0).cast("bigint"), _blocks(F.col("size")) - 1),
+                        lambda b: F.xxhash64("node", b))
+    first = F.xxhash64("c") == F.col("first")
+    groups = F.when(first, every).otherwise(F.array(block))
+    return few.unionByName(many.select(F.explode(groups).alias("group"), *carried))
+
+
+def _crowded(level: DataFrame, links: DataFrame) -> DataFrame:
+    """Crowded nodes that still hold several components, with labels by the links so far, and
+    whether a set is ``dense``: its mean similarity to the node is near that of linked sets."""
+    names = components(links).select(F.col("id").alias("c"), F.col("component").alias("found"))
+    many = level.where(F.col("size") > NODE_LIMIT).drop("label").join(names, "c", "left")
+    many = staged(many.withColumn("label", F.coalesce("found", "c")).drop("found"), "crowded")
+    return many
+
+
+def _with_density(many: DataFrame, percent: int) -> DataFrame:
+    probe = F.struct(*SKETCH)
+    probes = many.where(F.pmod(F.xxhash64("c", F.lit(11)), F.col("size")) < PROBES).groupBy("node").agg(
+        F.collect_list(probe).alias("probes"))
+    mixed = many.groupBy("node").agg(
+        F.min(F.xxhash64("label")).alias("lo"), F.max(F.xxhash64("label")).alias("hi")).where("lo <> hi")
+    seen = F.aggregate("probes", F.lit(0), lambda total, p: total + _agreement(
+        [F.col(s) for s in SKETCH], [p[s] for s in SKETCH])) / F.size("probes") / SKETCHED
+    alike = F.coalesce((seen - 1 / 16) / (15 / 16), F.lit(0.0))
+    return many.join(mixed.select("node").join(probes, "node", "left"), "node").withColumn(
+        "dense", alike >= DENSE * percent / 100).drop("probes")
+
+
+def _across(crowded: DataFrame) -> DataFrame:
+    """Blocks of crowded nodes against each other, as far as dense sets are in them."""
+    kept = crowded.join(crowded.where("dense").select("node").distinct(), "node", "left_semi")
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), _blocks(F.col("size")) - 1),
+                      lambda b: b != _block("c"))
+    groups = F.transform(others, lambda b: F.xxhash64(
+        "node", F.least(_block("c"), b), F.greatest(_block("c"), b), F.lit(13)))
+    return kept.select(F.explode(groups).alias("group"), *CARRIED, "tree", F.col("dense").alias("open"))
+
+
+def _branches(crowded: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The sets that stay, in the nodes of the next level: which tokens a node branches by is
+    drawn from the node, 100 / percent of them on average."""
+    most, share = 100 / percent, 1 << 20
+    drawn = [F.when(F.pmod(F.xxhash64("node", F.lit(k + 100)), F.lit(share)) < int((most - k) * share),
+                    (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(HASHES - TREES)) + TREES).cast("int"))
+             for k in range(int(np.ceil(most)))]
+    at = F.array_distinct(F.array_compact(F.array(*drawn)))
+    rest = crowded.where("NOT dense").withColumn("at", F.explode(at)).withColumn("tree", F.lit(TREES))
+    token = F.element_at("tokens", F.col("at") + 1)
+    return rest.join(classes.select("c", "tokens"), "c").select(
+        F.xxhash64("node", "at", token).alias("node"), *CARRIED, "tree")
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """``id, digest, n, component, component_id`` of every row: the digest of its text, what its
+    component is known by, and the smallest id in it."""
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    kind = dict(docs.dtypes)["id"]
+    numbers = ", ".join(f"{s} bigint" for s in SKETCH)
+    digest = F.unhex(F.md5(F.col("t").cast("binary"))).alias("digest")
+    rows = staged(docs.select("id", "t", digest).mapInArrow(
+        _summaries(words),
+        f"id {kind}, digest binary, n bigint, c binary, tokens array<int>, {numbers}"), "sets")
+    usable = "n > 0 AND id IS NOT NULL"
+    classes = staged(rows.where(usable).groupBy("c").agg(
+        F.min(F.struct("id", "n", "tokens", *SKETCH)).alias("one")).select("c", "one.*"), "classes")
+    links: list[DataFrame] = []
+    level = staged(_roots(classes), "nodes")
+    work = _small_and_diagonal(level)
+    while True:
+        links.append(_confirmed(work, docs, classes, words, percent))
+        if level.where(F.col("size") > NODE_LIMIT).isEmpty():
+            break
+        crowded = staged(_with_density(_crowded(level, _all(links)), percent), "dense")
+        if crowded.isEmpty():
+            break
+        level = staged(_sized(staged(_branches(crowded, classes, percent), "branches")), "nodes")
+        work = _small_and_diagonal(level).unionByName(_across(crowded))
+    names = components(_all(links)).select(F.col("id").alias("c"), "component")
+    named = staged(classes.select("c", "id").join(names, "c", "left").withColumn(
+        "component", F.coalesce("component", "c")), "named")
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = named.join(least, "component").select("c", "component", "component_id")
+    out = rows.select("id", "digest", "n", "c").join(known, "c", "left")
+    smallest = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", "digest", "n", "component", F.when(F.col("id").isNotNull(), smallest).alias("component_id"))
+
 
-    kind = dict(pairs.dtypes)["a"]
-    return both.mapInArrow(batches, f"a {kind}, b {kind}")
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def near_duplicates(
@@ -174,170 +427,56 @@ def near_duplicates(
 
     Documents are linked if the sets of their distinct ``words``-word shingles have
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest id that links
-    reach, and that document is kept.  Empty and null texts link with nothing.  Rows that share
-    an id are one document; a null id links with nothing.  Empty tables give empty results.
+    reach, and rows with that id are kept.  Empty and null texts link with nothing, and a null
+    id links with nothing.  Rows that share an id are judged each by its own text.  Empty
+    tables give empty results.
 
     Equal sets are merged first and stand for all their copies.  Every tree deals the sets into
-    nodes by one minwise token.  Small nodes are compared exhaustively, by sketches first; in a
-    crowded node every set is compared with the node's smallest id, and then the node branches
-    by further tokens (more than 1 / 0.8 of them on average, so that linked pairs stay together
-    in ever more nodes while others part).  A crowded node whose sets are all connected already is done:
-    comparing its pairs would add nothing.  Links found by any tree are confirmed on full sets.
-    What is left is compared block by block as soon as that is no more than PAIRS_PER_SET pairs
-    per set, and after LEVELS branchings in any case.  Nodes are random, so a pair can part in
-    all of them: ``missed`` gives the chance, for a pair at 0.8 at most 0.0001 while three levels
-    are crowded and 0.0008 after LEVELS, less above 0.8.  It grows for ``percent`` below 80.
+    nodes by one minwise token.  A node of NODE_LIMIT sets or fewer is compared exhaustively, by
+    sketches first; the sets that may be linked are confirmed on all their shingles.  In a
+    crowded node blocks are compared, each with one set that all blocks share; a node whose sets
+    are all in one component then is done.  Otherwise sets that are about as similar to the node
+    as linked sets are compared with all of it, block by block, and leave it, and the others
+    branch by further tokens, 100 / percent of them on average, so that linked pairs stay
+    together in about one node of every tree while others part.  It goes on until no crowded
+    node is left.  Nodes are random, so a pair can part in all of them: ``missed`` gives the
+    chance by the number of crowded levels.
     """
-    rows = staged(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(
-        _summaries(words), f"id {dict(docs.dtypes)[doc_id]}, n bigint, key binary, "
-        "tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "sets")
-    kind = dict(rows.dtypes)["id"]
-    classes = staged(rows.where("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(
-        F.min(F.struct("id", "tokens", *SKETCH[1:])).alias("c")
-    ).select("key", "n", F.col("c.id").alias("id"), "c.tokens", *[f"c.{s}" for s in SKETCH[1:]]), "classes")
-    n_classes = classes.count()
-    trees = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
-    nodes = classes.select("id", trees).select(F.xxhash64("tree", "token").alias("node"), "id")
-    sketches = classes.select("id", *SKETCH)
-    spark = docs.sparkSession
-    state = _State(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), words, percent,
-                   spark.createDataFrame([], f"id {kind}, component {kind}"))
-    for level in range(LEVELS + 1):
-        crowds = staged(nodes.groupBy("node").agg(
-            F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1"), "crowds")
-        alive = staged(nodes.join(crowds, "node").join(sketches, "id"), "nodes")
-        few, many = alive.where(F.col("size") <= NODE_LIMIT), alive.where(F.col("size") > NODE_LIMIT)
-        x, y = few.alias("x"), few.select("node", "id", *SKETCH).alias("y")
-        pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
-                       & _similar("x", "y", percent)).select(
-            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        firsts = staged(crowds.where(F.col("size") > NODE_LIMIT).select(
-            F.col("node"), F.col("first").alias("id")).join(sketches, "id"), "firsts")
-        stars = many.alias("x").join(firsts.alias("y"), "node").where(
-            (F.col("x.id") != F.col("y.id")) & _similar("x", "y", percent)).select(
-            F.col("y.id").alias("a"), F.col("x.id").alias("b"))
-        state = _grown(staged(pairs.unionByName(stars).distinct(), "pairs"), state)
-        named = many.join(state.labels, "id", "left").withColumn(
-            "component", F.coalesce("component", "id"))
-        mixed = staged(named.groupBy("node").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")
-        ).where("lo <> hi").select("node", "n"), "mixed")
-        work = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
-        if not work:
-            break
-        rest = named.join(mixed.select("node"), "node", "left_semi")
-        if level == LEVELS or work <= PAIRS_PER_SET * n_classes:
-            state = _grown(staged(_block_pairs(staged(rest, "rest"), percent).distinct(), "pairs"), state)
-            break
-        # which tokens a node branches by is drawn from the node: one, or at times a second one
-        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HASHES - TREES)) + TREES
-        second = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(HASHES - TREES)) + TREES
-        also = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < round(1000 * (splits(level) - 1))
-        choice = F.when(also & (first != second), F.array(first, second)).otherwise(F.array(first))
-        nodes = staged(
-            rest.select("node", "id", F.explode(choice).alias("at"))
-            .join(classes.select("id", "tokens"), "id")
-            .select(F.xxhash64("node", "at", F.expr("tokens[cast(at AS int)]")).alias("node"), "id"),
-            "branches")
-    labels = state.labels
-    member = rows.select("id", "n", "key").join(
-        classes.select("key", "n", F.col("id").alias("rep")), ["key", "n"], "left")
-    out = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn(
+    found = judged(docs, doc_id, text, words, percent)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _block_pairs(many: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of nodes that are not branched further: every block of a node meets every
-    block of the same node.  Pairs that are in one component already are left out."""
-    blocks = F.ceil(F.col("size") / NODE_LIMIT)
-    rows = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("blocks", blocks)
-    columns = ["node", "id", "component", *SKETCH, "block"]
-    x = rows.withColumn("other", F.explode(F.expr("sequence(block, cast(blocks - 1 AS bigint))")))
-    x = x.select(*columns, "other").alias("x")
-    y = rows.select(*columns, F.col("block").alias("other")).alias("y")
-    met = x.join(y, ["node", "other"]).where(
-        ((F.col("x.block") < F.col("other")) | (F.col("x.id") < F.col("y.id")))
-        & (F.col("x.component") != F.col("y.component")) & _similar("x", "y", percent))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-
-@dataclass(frozen=True)
-class _State:
-    """Texts by id, how they are compared, and the components that confirmed links make so far."""
-
-    texts: DataFrame
-    words: int
-    percent: int
-    labels: DataFrame
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        a = self.labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        b = self.labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").where(
-            F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    def with_links(self, links: DataFrame) -> _State:
-        """After more links: components are found among the old ones that the links join."""
-        if links.isEmpty():
-            return self
-        a = self.labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        b = self.labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        joined = links.join(a, "a", "left").join(b, "b", "left").select(
-            "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        joined = staged(joined, "links")
-        merged = components(joined, "ca", "cb").select(
-            F.col("id").alias("component"), F.col("component").alias("merged"))
-        known = self.labels.unionByName(
-            joined.select(F.col("a").alias("id"), F.col("ca").alias("component"))).unionByName(
-            joined.select(F.col("b").alias("id"), F.col("cb").alias("component"))).distinct()
-        labels = known.join(merged, "component", "left").select(
-            "id", F.coalesce("merged", "component").alias("component"))
-        return replace(self, labels=staged(labels, "labels"))
-
-
-def _grown(pairs: DataFrame, state: _State) -> _State:
-    """Links and labels after confirming candidate pairs: first one pair for every set, then
-    those whose ends were not linked to the same set by that."""
-    if pairs.isEmpty():
-        return state
-    asked = staged(state.apart(pairs), "asked")
-    ids = asked.select(F.col("a").alias("id")).unionByName(
-        asked.select(F.col("b").alias("id"))).distinct()
-    words = state.words
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            sets = [shingle_set(t, words).tobytes()
-                    for t in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sets, pa.binary())], names=["id", "members"])
-
-    kind = dict(pairs.dtypes)["a"]
-    texts = state.texts.join(small(staged(ids, "ids"), ID_ROWS), "id", "left_semi")
-    sets = staged(texts.mapInArrow(batches, f"id {kind}, members binary"), "members")
-    one = staged(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
-    found = staged(_confirmed(one, sets, state.percent), "confirmed")
-    # two that are linked to the same third one need no link of their own
-    ends = found.select(F.col("b").alias("id"), F.col("a").alias("near")).unionByName(
-        found.select(F.col("a").alias("id"), F.col("a").alias("near")))
-    near = staged(ends.groupBy("id").agg(F.min("near").alias("near")), "near")
-    a = near.select(F.col("id").alias("a"), F.col("near").alias("na"))
-    b = near.select(F.col("id").alias("b"), F.col("near").alias("nb"))
-    left = asked.join(one, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(
-        F.coalesce("na", "a") != F.coalesce("nb", "b")).select("a", "b")
-    more = _confirmed(left, sets, state.percent)
-    return state.with_links(staged(found.unionByName(more), "confirmed"))
-
-
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                 percent: int = 80) -> DataFrame:
-    """``docs`` without the near-duplicates that are not kept; all columns as they were.  Rows
-    without an id always stay."""
-    gone = near_duplicates(docs, doc_id, text, words, percent).where("NOT kept").select(
-        F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates; all columns as they were.
+
+    The smallest id of a group stays.  If rows of different texts share that id, the one with
+    the smallest digest of its text stays; of rows equal in id and text any one.  Rows without
+    an id or without words always stay.
+    """
+    found = staged(judged(docs, doc_id, text, words, percent), "judged").where("n > 0 AND id IS NOT NULL")
+    keepers = found.where("id = component_id").groupBy("component").agg(
+        F.min("digest").alias("first"), F.count("*").alias("rows"))
+    keepers = staged(keepers, "keepers")
+    gone = found.join(keepers, "component").where("id <> component_id OR digest <> first")
+    again = found.join(keepers.where("rows > 1"), "component").where(
+        "id = component_id AND digest = first").groupBy("id", "digest").count().where("count > 1")
+    return without_rows(docs, doc_id, text, gone.select("id", "digest").distinct(), again.select("id", "digest"))
+
+
+def without_rows(docs: DataFrame, doc_id: str, text: str, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` without the rows named by ``id, digest`` in ``gone``, and with one only of the
+    rows named in ``again``."""
+    digest = F.unhex(F.md5(F.col(text).cast("binary")))
+    same = lambda names: (docs[doc_id] == names["id"]) & digest.eqNullSafe(names["digest"])
+    gone, again = staged(gone, "gone"), staged(again, "again")
+    left = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    left = staged(left, "left")
+    digest = F.unhex(F.md5(F.col(text).cast("binary")))
+    same = (left[doc_id] == again["id"]) & digest.eqNullSafe(again["digest"])
+    single = left.join(again, same, "left_semi").dropDuplicates([doc_id, text])
+    return left.join(again, same, "left_anti").unionByName(single)
