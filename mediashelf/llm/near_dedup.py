@@ -17,10 +17,11 @@ from mediashelf.llm.common import components, small, staged
 HASHES = 96  # minwise tokens of a document
 TREES = 16  # independent trees, each starting at a token position of its own
 SKETCHED = 64  # tokens that the sketch holds four bits of
-NODE_LIMIT = 2_048  # a node of so many sets or fewer is compared exhaustively, in one place
+NODE_LIMIT = 4_096  # a node of so many sets or fewer is compared exhaustively, in one place
 NODE_SHINGLES = 2_000_000  # shingles of sets that are compared in one place, about
 PROBES = 32  # sets of a crowded node that the others' mean similarity to it is estimated from
 DENSE = 0.9  # a set this part as similar to its node as linked ones, on average, leaves the node
+RENEWED = 0.1  # labels are renewed once new links could join this part of the crowded sets
 ID_ROWS = 1_000_000  # ids (8 bytes each) broadcast at most
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _RANDOM = np.random.default_rng(20_240_607)
@@ -334,16 +335,16 @@ def _small_and_diagonal(level: DataFrame) -> DataFrame:
     return few.unionByName(many.select(F.explode(groups).alias("group"), *carried))
 
 
-def _crowded(level: DataFrame, links: DataFrame) -> DataFrame:
-    """Crowded nodes that still hold several components, with labels by the links so far, and
-    whether a set is ``dense``: its mean similarity to the node is near that of linked sets."""
+def _labelled(many: DataFrame, links: DataFrame) -> DataFrame:
+    """Crowded nodes with labels by the links so far."""
     names = components(links).select(F.col("id").alias("c"), F.col("component").alias("found"))
-    many = level.where(F.col("size") > NODE_LIMIT).drop("label").join(names, "c", "left")
-    many = staged(many.withColumn("label", F.coalesce("found", "c")).drop("found"), "crowded")
-    return many
+    named = many.drop("label").join(names, "c", "left")
+    return staged(named.withColumn("label", F.coalesce("found", "c")).drop("found"), "crowded")
 
 
 def _with_density(many: DataFrame, percent: int) -> DataFrame:
+    """Crowded nodes that hold several components, and whether a set is ``dense``: its mean
+    similarity to the node is near that of linked sets."""
     probe = F.struct(*SKETCH)
     probes = many.where(F.pmod(F.xxhash64("c", F.lit(11)), F.col("size")) < PROBES).groupBy("node").agg(
         F.collect_list(probe).alias("probes"))
@@ -395,16 +396,19 @@ def judged(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) ->
         F.min(F.struct("id", "n", "tokens", *SKETCH)).alias("one")).select("c", "one.*"), "classes")
     links: list[DataFrame] = []
     level = staged(_roots(classes), "nodes")
-    work = _small_and_diagonal(level)
+    work, new = _small_and_diagonal(level), 0
     while True:
         links.append(_confirmed(work, docs, classes, words, percent))
-        if level.where(F.col("size") > NODE_LIMIT).isEmpty():
+        many = level.where(F.col("size") > NODE_LIMIT)
+        crowded = many.count()
+        if not crowded:
             break
-        crowded = staged(_with_density(_crowded(level, _all(links)), percent), "dense")
-        if crowded.isEmpty():
-            break
-        level = staged(_sized(staged(_branches(crowded, classes, percent), "branches")), "nodes")
-        work = _small_and_diagonal(level).unionByName(_across(crowded))
+        new += links[-1].count()
+        if new >= RENEWED * crowded:
+            many, new = _labelled(many, _all(links)), 0
+        many = staged(_with_density(many, percent), "dense")
+        level = staged(_sized(staged(_branches(many, classes, percent), "branches")), "nodes")
+        work = _small_and_diagonal(level).unionByName(_across(many))
     names = components(_all(links)).select(F.col("id").alias("c"), "component")
     named = staged(classes.select("c", "id").join(names, "c", "left").withColumn(
         "component", F.coalesce("component", "c")), "named")
