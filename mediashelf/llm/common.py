@@ -11,14 +11,14 @@ BATCH_ROWS = 1_000
 BROADCAST_ROWS = 20_000  # a side is broadcast only if it was counted at no more rows than this
 
 
-def staged(frame: DataFrame, label: str) -> DataFrame:
+def staged(frame: DataFrame, label: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``frame`` written once to the shared folder and read back, so that lost tasks re-read it.
 
-    Texts and sets make wide rows, so Python workers get BATCH_ROWS of them at a time.
+    Texts and sets make wide rows, so Python workers get BATCH_ROWS of them at a time, or ``rows``.
     """
     conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = conf.get(key)
-    conf.set(key, str(min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS))
+    conf.set(key, str(min(int(usual), rows) if int(usual) > 0 else rows))
     try:
         return written(frame, label)
     finally:

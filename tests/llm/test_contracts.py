@@ -16,6 +16,7 @@ COLUMNS = {
     "op3_quality": ["doc_id", "held_out", "score", "predicted"],
     "op5_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op7_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op12_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
 }
 
 
@@ -29,6 +30,6 @@ def test_query_columns(spark, sf, name):
     assert QUERIES[name](spark, sf).columns == COLUMNS[name]
 
 
-def test_all_ten_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+def test_all_are_registered():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) | set(COLUMNS) == set(QUERIES)
