@@ -40,6 +40,28 @@ def fold(column, parts: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def text_digest(column):
+    """What a text is known by, as it is; null stays null."""
+    return F.unhex(F.md5(column.cast("binary")))
+
+
+def without_rows(docs: DataFrame, doc_id: str, text: str, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by id and digest of the text, and with one only
+    of the rows that ``again`` names; null ids and digests are names like others."""
+    gone, again = staged(gone, "gone"), staged(again, "again")
+
+    def same(rows: DataFrame, names: DataFrame):
+        return rows[doc_id].eqNullSafe(names["id"]) & text_digest(rows[text]).eqNullSafe(names["digest"])
+
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    if again.isEmpty():
+        return left
+    left = staged(left, "left")
+    named = left.join(again, same(left, again), "left_semi")
+    one = named.withColumn("_digest_of_text", text_digest(F.col(text))).dropDuplicates([doc_id, "_digest_of_text"])
+    return left.join(again, same(left, again), "left_anti").unionByName(one.drop("_digest_of_text"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every id on an edge: the smallest id reachable from it.
 

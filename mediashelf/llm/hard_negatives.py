@@ -305,8 +305,7 @@ def hard_negatives(
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & inside & (length < LONGEST), F.lit(False))
     rows = vectors.select(F.col(vec_id).alias("id"), name.alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor"),
                           values.alias("values")).where(usable)
-    whole = F.transform("values", lambda x: F.when(usable, F.floor(x)))
-    rows = rows.select("id", "label", "anchor", whole.alias("v"), F.size("values").alias("size"))
+    rows = rows.select("id", "label", "anchor", F.transform("values", lambda x: F.floor(x)).alias("v"), F.size("values").alias("size"))
     shape = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     rows = staged(rows.mapInArrow(_keys, f"{shape}, key binary"), "vectors")
     search = _Search(rows, most)

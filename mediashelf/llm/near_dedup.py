@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashelf.llm.common import components, small, staged
+from mediashelf.llm.common import components, small, staged, text_digest, without_rows
 
 HASHES = 96  # minwise tokens of a document
 TREES = 16  # independent trees, each starting at a token position of its own
@@ -387,8 +387,7 @@ def judged(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) ->
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     kind = dict(docs.dtypes)["id"]
     numbers = ", ".join(f"{s} bigint" for s in SKETCH)
-    digest = F.unhex(F.md5(F.col("t").cast("binary"))).alias("digest")
-    rows = staged(docs.select("id", "t", digest).mapInArrow(
+    rows = staged(docs.select("id", "t", text_digest(F.col("t")).alias("digest")).mapInArrow(
         _summaries(words),
         f"id {kind}, digest binary, n bigint, c binary, tokens array<int>, {numbers}"), "sets")
     usable = "n > 0 AND id IS NOT NULL"
@@ -468,19 +467,3 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     again = found.join(keepers.where("rows > 1"), "component").where(
         "id = component_id AND digest = first").groupBy("id", "digest").count().where("count > 1")
     return without_rows(docs, doc_id, text, gone.select("id", "digest").distinct(), again.select("id", "digest"))
-
-
-def without_rows(docs: DataFrame, doc_id: str, text: str, gone: DataFrame, again: DataFrame) -> DataFrame:
-    """``docs`` without the rows named by ``id, digest`` in ``gone``, and with one only of the
-    rows named in ``again``."""
-    digest = F.unhex(F.md5(F.col(text).cast("binary")))
-    same = lambda names: (docs[doc_id] == names["id"]) & digest.eqNullSafe(names["digest"])
-    gone, again = staged(gone, "gone"), staged(again, "again")
-    left = docs.join(gone, same(gone), "left_anti")
-    if again.isEmpty():
-        return left
-    left = staged(left, "left")
-    digest = F.unhex(F.md5(F.col(text).cast("binary")))
-    same = (left[doc_id] == again["id"]) & digest.eqNullSafe(again["digest"])
-    single = left.join(again, same, "left_semi").dropDuplicates([doc_id, text])
-    return left.join(again, same, "left_anti").unionByName(single)

@@ -47,7 +47,25 @@ def test_groups_with_nulls_ties_long_texts_and_other_columns(spark):
     assert sorted(map(tuple, exact_dedup.duplicate_groups(docs).collect()), key=repr) == brute(ROWS)
     left = exact_dedup.without_copies(docs)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect() if r.doc_id) == [2, 4, 5, 6, 8, 9, 10, 10]
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id) == [2, 4, 5, 6, 8, 9, 10]
+
+
+def test_one_row_of_each_text_with_repeated_and_missing_ids(spark):
+    rows = [(5, "a"), (5, "b"), (9, "a"), (9, "a"), (9, "A"), (None, "a"), (None, "c"), (None, "C"), (None, "c"), (7, None), (7, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, id string, digest string")
+    left = [(r.doc_id, r.text) for r in exact_dedup.without_copies(docs).collect()]
+    assert sorted((i or 0, lowered(t)) for i, t in left) == [(0, "c"), (5, "b"), (7, ""), (9, "a")]
+
+
+def test_many_missing_ids_and_very_long_texts(spark):
+    """What is compared is found by its text, and chunks are cut in one pass."""
+    many = spark.range(40_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('t', id % 9) AS text")
+    long = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id bigint, n int").selectExpr(
+        "doc_id", "concat(repeat('lorem ipsum ', 1500000), n) AS text")
+    found = exact_dedup.duplicate_groups(many.unionByName(long)).groupBy("keep_id", "group_size").count().collect()
+    sizes = [40_000 // 9 + (i < 40_000 % 9) for i in range(9)]
+    want = {(None, n): n * sizes.count(n) for n in sizes} | {(2, 2): 2, (3, 1): 1}
+    assert {(r.keep_id, r.group_size): r["count"] for r in found} == want
 
 
 def test_colliding_fingerprints_are_told_apart(spark):
