@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediashelf.llm.common import small
+
 PIECES, PIECE_CHARS = 100, 300  # learned from each language: so many pieces of so many characters
 SEGMENT = 256  # texts are parsed in segments of so many symbols, all segments side by side
 SYMBOLS = 96  # the most frequent letters have symbols of their own
@@ -20,7 +22,7 @@ UNDETERMINED = "und"
 def _fold_table() -> np.ndarray:
     """For every code point the lower-case code point if it is a letter, else 0."""
     table = np.zeros(0x110000, dtype=np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         letter = chr(c)
         if letter.isalpha():
             table[c] = ord(letter.lower()[0])
@@ -129,12 +131,12 @@ def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
     flat, width = model.table.reshape(-1), model.table.shape[1]
     out = np.zeros((len(texts), len(model.languages)), dtype=np.int64)
     for i, root in enumerate(model.roots):
-        state = np.full(len(owner), root, dtype=np.int32)
+        state = np.full(len(owner), root, dtype=np.int32 if len(flat) < 1 << 31 else np.int64)
         ended = np.ones(len(owner), dtype=np.int32)
         for column in columns:
-            state = flat[state * np.int32(width) + column]
-            over = state >> 31  # -1 where a phrase ends
-            ended -= over
+            state = flat[state * state.dtype.type(width) + column].astype(state.dtype, copy=False)
+            over = state >> (8 * state.itemsize - 1)  # -1 where a phrase ends
+            ended -= over.astype(np.int32, copy=False)
             state ^= over
         out[:, i] = np.bincount(owner, weights=ended, minlength=len(texts))
     return out, n, lettered
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     hashed = F.xxhash64(F.coalesce("id", F.lit("")), F.lit(41))
     # thinned by hash first, so that the ordering works on a bounded number of rows a language
-    thinned = rows.join(F.broadcast(counts.limit(100_000)), "lang").where(
+    thinned = rows.join(small(counts), "lang").where(
         F.pmod(hashed, F.lit(1 << 30)) / (1 << 30) < 4.0 * PIECES / F.col("n"))
     start = F.pmod(F.xxhash64("id", F.lit(43)), F.greatest(F.length("t") - PIECE_CHARS, F.lit(0)) + 1)
     pieces = thinned.select("lang", "id", F.substring(

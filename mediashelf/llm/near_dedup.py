@@ -33,7 +33,7 @@ class _Words(dict):
     """64-bit hashes of words, computed once for each word a worker meets."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

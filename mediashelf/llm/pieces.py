@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GRID = 4_000_000  # cells of one batch of equal-length words, at most
-CACHE = 400_000  # words whose pieces a worker remembers,
-PAIRS, SLOT_BITS = 400_000, 19  # and pairs of pieces; slots of the table that is asked first
+CACHE = 200_000  # words whose pieces a worker remembers,
+PAIRS, SLOT_BITS = 200_000, 19  # and pairs of pieces; slots of the table that is asked first
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNIGRAM, BPE = 1, 2
 
@@ -344,8 +344,8 @@ def with_ids(docs: DataFrame, model_file: str = DEFAULT_MODEL, text: str = "text
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(key, shared.value)
         for part in parts:
-            for a in range(0, part.num_rows, 1024):
-                few = part.slice(a, 1024)
+            for a in range(0, part.num_rows, 512):
+                few = part.slice(a, 512)
                 texts = few.column(place).to_pylist()
                 found = pieces.encode([t or "" for t in texts])
                 null = np.array([t is None for t in texts], dtype=bool)

@@ -36,9 +36,9 @@ def judge_urls(
     path; of equal rules with different verdicts, ``block`` wins.  Where none fits, ``rule`` is
     null and ``verdict`` is ``default``.  Rules with a null host or path never fit.
 
-    Each distinct ``(host, path)`` is expanded into its host suffixes and into its path prefixes
-    of the lengths that occur among the rules (at most as many as the longest rule path has
-    characters).  Expressions meet rules on a short hash prefix; the full digest confirms them.
+    Each distinct ``(host, path)`` is expanded into its host suffixes of as many labels, and into
+    its path prefixes of as many characters, as occur among the rules, so that a very long host
+    costs no more than the longest rule.  Expressions meet rules on a short hash prefix; the full digest confirms them.
     Columns of ``pages`` named like the new ones are replaced.  An empty table gives an empty
     result; without rules every URL gets the default.
     """
@@ -53,11 +53,13 @@ def judge_urls(
         .withColumn("key", F.substring("r_digest", 1, PREFIX_HEX))
     )
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
-    urls = pages.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    urls = pages.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
+    counts = sorted(r[0] for r in rules.select(F.size(F.split("r_host", r"\.")).alias("n")).distinct().collect())
+    suffixes = F.filter(
+        F.transform(F.array(*[F.lit(n) for n in counts or [1]]),
+                    lambda n: F.when(F.size("labels") >= n, F.array_join(F.slice(
+                        F.col("labels"), F.size("labels") - n + 1, n), "."))),
+        lambda s: s.isNotNull(),
     )
     prefixes = F.filter(
         F.transform(F.array(*[F.lit(n) for n in lengths or [0]]),

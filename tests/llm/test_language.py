@@ -55,3 +55,23 @@ def test_nulls_letterless_long_and_unlearned(spark):
     assert all(0 <= s <= 1 for *_, s in found)
     nothing = language.fit(learn.where("lang IS NULL"))
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_letters_of_every_plane_and_wide_tables():
+    far = chr(0x30010)
+    model = language.build({"x": [far * 10 + " abc"], "y": ["abc def"]})
+    names, score = language.predictions([far * 10, "def", "\U0010FFFF"], model)
+    assert names == ["x", "y", "und"] and score[0] > 0.5
+    assert language._letters(far).tolist() == [0x30010]
+
+
+def test_many_languages(spark):
+    """As many languages as there are, each with words of its own; the same with 64-bit places."""
+    rng = random.Random(2)
+    names = [f"l{i:04d}" for i in range(300)]
+    texts = {n: " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(6)) for n in names}
+    learn = spark.createDataFrame([(i, texts[n], n) for i, n in enumerate(names)], "doc_id bigint, text string, lang string")
+    model = language.fit(learn)
+    assert model.languages == tuple(names)
+    found = language.identify(learn, model).join(learn.withColumnRenamed("doc_id", "id"), "id").collect()
+    assert all(r.lang == r.lang_pred for r in found)

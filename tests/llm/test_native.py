@@ -150,3 +150,13 @@ def test_urls(spark, monkeypatch, prefix):
     none = url_filter.judge_urls(pages, frame.where("host = '-'"), default="block")
     assert {r.verdict for r in none.collect()} == {"block"} and none.count() == len(urls)
     assert url_filter.judge_urls(pages.where("page_id < 0"), frame).count() == 0
+
+
+def test_urls_with_very_long_hosts(spark):
+    """Suffixes are made only for the label counts that rules have."""
+    rules = spark.createDataFrame([("com", "/", "block"), ("b.example.org", "/x", "block")], "host string, path string, verdict string")
+    long = "a." * 400_000
+    rows = [(1, f"http://{long}com/"), (2, f"http://{long}b.example.org/xy"), (3, f"http://{long}net/"), (4, "http://org/x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert found == {1: ("com/", "block"), 2: ("b.example.org/x", "block"), 3: (None, "allow"), 4: (None, "allow")}
