@@ -7,11 +7,15 @@ every other column null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediashelf.functions import text as X
-from mediashelf.schemas import LIST_BRANCHES, LIST_DOCUMENT, MEDIA_DOCUMENT, PARSE_OPTIONS
+from mediashelf.schemas import (
+    COUNTS, LIST_BRANCHES, LIST_DOCUMENT, MEDIA_DOCUMENT, OFTEN_NULL, PARSE_OPTIONS, exact, usual,
+)
 
 
 def _first_reason(*checks: tuple[str, Column]) -> Column:
@@ -35,22 +39,14 @@ def _conflicting(array: Column, id_of, whole, identity=None) -> Column:
     return F.when(repeated, F.size(members) != F.size(identities)).otherwise(F.lit(False))
 
 
-def _text(value: Column) -> Column:
-    """Text of a variant, whatever its type; JSON null as the word ``null``."""
-    return X.text_or_null(F.try_variant_get(value, "$", "string"))
-
-
-def _role(value: Column) -> Column:
-    return F.upper(_text(value))
+def _leaf(value: Column) -> Column:
+    """Text of a variant, whatever its type; JSON null as the word ``null``, a missing one null."""
+    return F.when(value.isNotNull(), X.text_or_null(F.try_variant_get(value, "$", "string")))
 
 
-def _whole(value: Column) -> Column:
-    """A JSON number that is an integer, else null; a text holding digits is no number."""
-    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "int"))
-
-
-def _count(value: Column) -> Column:
-    return F.coalesce(_whole(value), F.lit(0))
+def _number(value: Column) -> Column:
+    """The digits of a variant that is an integer, else null; a text holding digits is no number."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "string"))
 
 
 def _lacking(holder: Column, *fields: str) -> Column:
@@ -64,15 +60,15 @@ def _lacking(holder: Column, *fields: str) -> Column:
 def _tag(t: Column) -> Column:
     return F.struct(
         t["id"].alias("ext_tag_id"),
-        _text(t["name"]).alias("name"),
-        _text(t["category"]).alias("category"),
+        t["name"].alias("name"),
+        t["category"].alias("category"),
     )
 
 
 def _studio(e: Column) -> Column:
     return F.struct(
         e["node"]["id"].alias("ext_studio_id"),
-        _text(e["node"]["name"]).alias("name"),
+        e["node"]["name"].alias("name"),
         e["isMain"].alias("is_main"),
     )
 
@@ -81,11 +77,11 @@ def _staff(e: Column) -> Column:
     name = e["node"]["name"]
     return F.struct(
         e["node"]["id"].alias("ext_staff_id"),
-        _text(name["first"]).alias("first_name"),
-        _text(name["last"]).alias("last_name"),
-        _text(name["full"]).alias("full_name"),
-        _text(name["native"]).alias("native_name"),
-        _role(e["role"]).alias("role"),
+        name["first"].alias("first_name"),
+        name["last"].alias("last_name"),
+        name["full"].alias("full_name"),
+        name["native"].alias("native_name"),
+        F.upper(e["role"]).alias("role"),
     )
 
 
@@ -98,9 +94,78 @@ def _once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
-def _parsed(docs: DataFrame, schema: str) -> DataFrame:
-    return docs.select(
-        "seq", "value", _once(F.from_json("value", schema, PARSE_OPTIONS)).alias("doc"))
+def _parsed(docs: DataFrame, schema: str, plain: Callable[[Column], Column]) -> DataFrame:
+    """``seq, value, doc``, where ``doc`` has the usual types, a missing leaf is null and a text
+    that is null in the document is the word ``null``.
+
+    Null texts are made words before parsing.  Inside a JSON string every quote has a backslash
+    before it, so a quoted name with a colon behind it can only be a member.  Documents that do
+    not fit the usual types then, or give a number as a text, are parsed again, exactly, and made
+    ``plain``.
+    """
+    typed = "|".join(f'"{name}"' for name in OFTEN_NULL)
+    texts = rf'"(\w+)"(?=\s*:\s*null[\s,}}])(?<!{typed})(\s*:\s*)null'
+    worded = F.regexp_replace("value", texts, '"$1"$2"null"')
+    usually = docs.select("seq", "value", _once(F.from_json(worded, usual(schema), PARSE_OPTIONS)).alias("doc"))
+    quoted = F.col("value").rlike(rf'"(?:{"|".join(COUNTS)})"\s*:\s*"')
+    fits = F.col("doc").isNotNull() & F.col("doc._corrupt").isNull() & ~quoted
+    exactly = F.when(~fits, F.from_json("value", exact(schema), PARSE_OPTIONS))
+    both = usually.select("seq", "value", F.when(fits, F.col("doc")).alias("doc"), _once(exactly).alias("exact"))
+    again = F.when(F.col("exact").isNotNull(), plain(F.col("exact")))
+    return both.select("seq", "value", _once(F.coalesce("doc", again)).alias("doc"))
+
+
+def _known(value: Column, made: Column) -> Column:
+    return F.when(value.isNotNull(), made)
+
+
+def _texts(holder: Column, *fields: str) -> list[Column]:
+    return [_leaf(holder[f]).alias(f) for f in fields]
+
+
+def _plain_media(doc: Column) -> Column:
+    m = doc["data"]["Media"]
+
+    def tag(t: Column) -> Column:
+        return _known(t, F.struct(t["id"].alias("id"), *_texts(t, "name", "category")))
+
+    def studio(e: Column) -> Column:
+        node = F.struct(e["node"]["id"].alias("id"), *_texts(e["node"], "name"))
+        return _known(e, F.struct(e["isMain"].alias("isMain"), _known(e["node"], node).alias("node")))
+
+    def staff(e: Column) -> Column:
+        name = e["node"]["name"]
+        names = _known(name, F.struct(*_texts(name, "first", "last", "full", "native")))
+        node = F.struct(e["node"]["id"].alias("id"), names.alias("name"))
+        return _known(e, F.struct(*_texts(e, "role"), _known(e["node"], node).alias("node")))
+
+    def edges(section: Column, edge) -> Column:
+        return _known(section, F.struct(F.transform(section["edges"], edge).alias("edges")))
+
+    media = F.struct(
+        m["id"].alias("id"), *_texts(m, "type"),
+        _known(m["title"], F.struct(*_texts(m["title"], "romaji", "english", "native"))).alias("title"),
+        *[m[f].alias(f) for f in ("synonyms", "startDate", "endDate")],
+        *[_number(m[f]).alias(f) for f in ("episodes", "duration", "chapters", "volumes")],
+        *_texts(m, "format", "source", "status"),
+        F.transform(m["tags"], tag).alias("tags"), m["genres"].alias("genres"),
+        edges(m["studios"], studio).alias("studios"), edges(m["staff"], staff).alias("staff"))
+    return F.struct(F.struct(_known(m, media).alias("Media")).alias("data"), doc["_corrupt"].alias("_corrupt"))
+
+
+def _plain_lists(doc: Column) -> Column:
+    def entry(e: Column) -> Column:
+        kept = [e[f].alias(f) for f in ("mediaId", "startedAt", "completedAt", "score", "progress", "repeat")]
+        return _known(e, F.struct(_number(e["userId"]).alias("userId"), *kept, *_texts(e, "status")))
+
+    def lists(one: Column) -> Column:
+        return _known(one, F.struct(F.transform(one["entries"], entry).alias("entries")))
+
+    def branch(name: str) -> Column:
+        held = F.transform(doc[name]["data"]["MediaListCollection"]["lists"], lists)
+        return F.struct(F.struct(F.struct(held.alias("lists")).alias("MediaListCollection")).alias("data")).alias(name)
+
+    return F.struct(*[branch(b) for b in LIST_BRANCHES], doc["_corrupt"].alias("_corrupt"))
 
 
 def _malformed() -> Column:
@@ -139,30 +204,30 @@ def parse_media(docs: DataFrame) -> DataFrame:
         ("studio conflict", _conflicting(studios, lambda e: e["node"]["id"], _studio)),
         ("staff conflict", _conflicting(
             staff, lambda e: e["node"]["id"], _staff,
-            identity=lambda e: [e["node"]["id"], _role(e["role"])])),
+            identity=lambda e: [e["node"]["id"], F.upper(e["role"])])),
     )
     title = m["title"]
     columns = {
         "ext_media_id": m["id"],
-        "media_type": _text(m["type"]),
-        "title": _text(title["romaji"]),
+        "media_type": m["type"],
+        "title": title["romaji"],
         "names": X.title_rows(
-            synonyms, _text(title["romaji"]), _text(title["english"]), _text(title["native"])),
+            synonyms, title["romaji"], title["english"], title["native"]),
         "date_start": X.date_of(m["startDate"]),
         "date_end": X.date_of(m["endDate"]),
-        "episodes": _count(m["episodes"]),
-        "duration": _count(m["duration"]),
-        "chapters": _count(m["chapters"]),
-        "volumes": _count(m["volumes"]),
-        "format": _text(m["format"]),
-        "source": _text(m["source"]),
-        "status": _text(m["status"]),
+        "episodes": X.lenient_int(m["episodes"]),
+        "duration": X.lenient_int(m["duration"]),
+        "chapters": X.lenient_int(m["chapters"]),
+        "volumes": X.lenient_int(m["volumes"]),
+        "format": m["format"],
+        "source": m["source"],
+        "status": m["status"],
         "tags": F.array_distinct(F.transform(tags, _tag)),
         "genres": F.array_distinct(F.transform(genres, X.text_or_null)),
         "studios": F.array_distinct(F.transform(studios, _studio)),
         "staff": F.array_distinct(F.transform(staff, _staff)),
     }
-    return _keep_valid(_parsed(docs, MEDIA_DOCUMENT), reason, columns)
+    return _keep_valid(_parsed(docs, MEDIA_DOCUMENT, _plain_media), reason, columns)
 
 
 def _entry(e: Column) -> Column:
@@ -173,7 +238,7 @@ def _entry(e: Column) -> Column:
         X.score_points(e["score"]).alias("score"),
         e["progress"].alias("progress"),
         e["repeat"].alias("repeat"),
-        _text(e["status"]).alias("status"),
+        e["status"].alias("status"),
     )
 
 
@@ -198,14 +263,14 @@ def parse_lists(docs: DataFrame) -> DataFrame:
         no_branch = no_branch | branch.isNull()
         bad_list = bad_list | _any(branch, lambda x: x["entries"].isNull())
     raw = F.concat(*[F.flatten(F.transform(b, lambda x: x["entries"])) for b in lists])
-    checked = _parsed(docs, LIST_DOCUMENT).select(
+    checked = _parsed(docs, LIST_DOCUMENT, _plain_lists).select(
         "seq", "value",
         _first_reason(
             ("malformed", _malformed()), ("missing branch", no_branch), ("missing entries", bad_list),
         ).alias("shape"),
         raw.alias("raw"),
     )
-    user = _whole(F.get(F.col("raw"), F.lit(0))["userId"])
+    user = X.strict_int(F.get(F.col("raw"), F.lit(0))["userId"])
     reason = F.coalesce(F.col("shape"), _first_reason(
         ("no viewer", user.isNull()),
         ("bad entry", _any(F.col("raw"), _bad_entry)),

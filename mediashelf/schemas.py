@@ -2,12 +2,14 @@
 
 Document field names are the input format and therefore fixed.  Leaves that must
 be valid for a document to count carry their real type, so ``from_json`` itself
-flags a mistyped one as corrupt; leaves that may be anything are variants, which tell a
-missing field, null, a number and a text apart.
+flags a mistyped one as corrupt.  Leaves that may be anything have two types: text
+where documents are as usual, and variants, which tell a missing field, null, a number and a
+text apart, where they are not.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 CORRUPT = "_corrupt"
@@ -15,25 +17,26 @@ PARSE_OPTIONS = {"columnNameOfCorruptRecord": CORRUPT}
 
 _DATE_PARTS = "STRUCT<year: INT, month: INT, day: INT>"
 
-# The shape of an incoming media document.
+# The shape of an incoming media document; ANY is a text, COUNT a number, usually,
+# and UNREAD is asked for only.
 MEDIA_FIELDS = f"""
-  id: INT, type: VARIANT,
-  title: STRUCT<romaji: VARIANT, english: VARIANT, native: VARIANT>,
+  id: INT, type: ANY,
+  title: STRUCT<romaji: ANY, english: ANY, native: ANY>,
   synonyms: ARRAY<STRING>,
   startDate: {_DATE_PARTS}, endDate: {_DATE_PARTS},
-  episodes: VARIANT, duration: VARIANT, chapters: VARIANT, volumes: VARIANT,
-  format: VARIANT, source: VARIANT, status: VARIANT,
-  tags: ARRAY<STRUCT<id: INT, name: VARIANT, category: VARIANT>>,
+  episodes: COUNT, duration: COUNT, chapters: COUNT, volumes: COUNT,
+  format: ANY, source: ANY, status: ANY,
+  tags: ARRAY<STRUCT<id: INT, name: ANY, category: ANY>>,
   genres: ARRAY<STRING>,
-  studios: STRUCT<edges: ARRAY<STRUCT<id: VARIANT, isMain: BOOLEAN, node: STRUCT<id: INT, name: VARIANT>>>>,
-  staff: STRUCT<edges: ARRAY<STRUCT<id: VARIANT, role: VARIANT,
-    node: STRUCT<id: INT, name: STRUCT<first: VARIANT, last: VARIANT, full: VARIANT, native: VARIANT>>>>>
+  studios: STRUCT<edges: ARRAY<STRUCT<id: UNREAD, isMain: BOOLEAN, node: STRUCT<id: INT, name: ANY>>>>,
+  staff: STRUCT<edges: ARRAY<STRUCT<id: UNREAD, role: ANY,
+    node: STRUCT<id: INT, name: STRUCT<first: ANY, last: ANY, full: ANY, native: ANY>>>>>
 """
 
 # The shape of one entry of a viewer's list document.
 ENTRY_FIELDS = f"""
-  userId: VARIANT, id: VARIANT, mediaId: INT, startedAt: {_DATE_PARTS}, completedAt: {_DATE_PARTS},
-  score: DOUBLE, progress: INT, repeat: INT, media: VARIANT, status: VARIANT
+  userId: COUNT, id: UNREAD, mediaId: INT, startedAt: {_DATE_PARTS}, completedAt: {_DATE_PARTS},
+  score: DOUBLE, progress: INT, repeat: INT, media: UNREAD, status: ANY
 """
 
 # The two branches of a list document, in reading order.
@@ -45,6 +48,30 @@ _BRANCH = f"""STRUCT<data: STRUCT<MediaListCollection: STRUCT<lists:
 MEDIA_DOCUMENT = f"data STRUCT<Media: STRUCT<{MEDIA_FIELDS}>>, {CORRUPT} STRING"
 LIST_DOCUMENT = ", ".join(f"{b} {_BRANCH}" for b in LIST_BRANCHES) + f", {CORRUPT} STRING"
 
+# Members that are no texts and often null, and the leaves that are COUNT.
+OFTEN_NULL = ("year", "month", "day", "startDate", "endDate", "startedAt", "completedAt", "tags", "genres",
+              "synonyms", "data")
+COUNTS = ("episodes", "duration", "chapters", "volumes", "userId")
+
+
+def usual(document: str) -> str:
+    """The schema of documents whose leaves are as usual."""
+    return _read(document).replace("ANY", "STRING").replace("COUNT", "STRING")
+
+
+def exact(document: str) -> str:
+    """The schema that takes any leaf as it is."""
+    return _read(document).replace("ANY", "VARIANT").replace("COUNT", "VARIANT")
+
+
+def requested(fields: str) -> str:
+    """The schema of all fields that are asked for."""
+    return fields.replace("ANY", "VARIANT").replace("COUNT", "VARIANT").replace("UNREAD", "VARIANT")
+
+
+def _read(document: str) -> str:
+    return re.sub(r"\w+: UNREAD, ", "", document)
+
 # Seed rows of the name-type dimension, ids 1 to 4.
 NAME_TYPES = ("romaji", "english", "native", "synonyms")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediashelf.functions.messages import any_good, due_or_error, is_error, list_envelope, tick_id
-from mediashelf.schemas import ENTRY_FIELDS, MEDIA_FIELDS
+from mediashelf.schemas import ENTRY_FIELDS, MEDIA_FIELDS, requested
 
 # The two list types a viewer has.
 LIST_TYPES = ("ANIME", "MANGA")
@@ -39,14 +39,14 @@ def _selection(fields: T.StructType) -> str:
 
 
 def media_query() -> str:
-    fields = _selection(T.StructType.fromDDL(MEDIA_FIELDS))
+    fields = _selection(T.StructType.fromDDL(requested(MEDIA_FIELDS)))
     return f"query ($id: Int) {{ Media(id: $id, id_not: 0) {fields} }}"
 
 
 def list_query(list_type: str) -> str:
     if list_type not in LIST_TYPES:
         raise ValueError(f"unknown list type {list_type}")
-    entries = _selection(T.StructType.fromDDL(ENTRY_FIELDS))
+    entries = _selection(T.StructType.fromDDL(requested(ENTRY_FIELDS)))
     return (
         "query ($userId: Int) { MediaListCollection(userId: $userId, type: "
         f"{list_type}) {{ lists {{ entries {entries} }} }} }}"
