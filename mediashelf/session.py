@@ -41,9 +41,15 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(frame, label: str):
-    """Writes ``frame`` once to the shared folder and reads it back, cutting its lineage."""
-    spark = frame.sparkSession
-    path = new_scratch(spark, label)
-    frame.write.parquet(path)
+def written(frame, label: str, batch_rows: int | None = None):
+    """Writes ``frame`` once to the shared folder and reads it back, cutting its lineage; Python
+    workers get ``batch_rows`` rows at a time, if given, instead of the session's number."""
+    spark, key = frame.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, usual = new_scratch(spark, label), spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(batch_rows))
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     return spark.read.schema(frame.schema).parquet(path)
