@@ -554,3 +554,80 @@ FROM part"""
 ORACLES["media_stream"] = ORACLES["media_reconcile"]
 ORACLES["list_stream"] = ORACLES["list_reconcile"]
 ORACLES["list_replay"] = ORACLES["list_reconcile"]
+
+_SCORES = """e AS (
+  SELECT o_custkey AS u, l_partkey AS i, max(CAST(l_quantity AS INTEGER)) AS s
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+
+
+def _half(of: str, by: str, known: str) -> str:
+    return (f"(SELECT {of} AS id, sum(f * r) / (sum(f * f) + 2.0 * count(*)) AS f "
+            f"FROM r JOIN {known} ON {by} = id GROUP BY 1)")
+
+
+ORACLES["rank_one_factors"] = f"""
+WITH {_SCORES}, r AS (SELECT u, i, s - (SELECT avg(s) FROM e) AS r FROM e),
+v0 AS (SELECT DISTINCT i AS id, (i % 7 + 1) / 10.0::DOUBLE AS f FROM e),
+u1 AS {_half("u", "i", "v0")}, v1 AS {_half("i", "u", "u1")},
+u2 AS {_half("u", "i", "v1")}, v2 AS {_half("i", "u", "u2")}
+SELECT 'user' AS side, id, round(f, 6) AS factor FROM u2
+UNION ALL SELECT 'media', id, round(f, 6) FROM v2"""
+
+ORACLES["best_unseen_media"] = f"""
+WITH {_SCORES}
+SELECT c_custkey AS user, p_partkey AS item,
+       CAST((c_nationkey % 5 - 2) * (p_size % 7 - 3) + floor(c_acctbal / 1000) * (p_partkey % 11 - 5) AS DOUBLE) AS score,
+       CAST(row_number() OVER w AS INTEGER) AS rank
+FROM customer CROSS JOIN part
+WHERE (c_custkey, p_partkey) NOT IN (SELECT (u, i) FROM e)
+WINDOW w AS (PARTITION BY c_custkey ORDER BY
+  (c_nationkey % 5 - 2) * (p_size % 7 - 3) + floor(c_acctbal / 1000) * (p_partkey % 11 - 5) DESC, p_partkey)
+QUALIFY row_number() OVER w <= 5"""
+
+ORACLES["recommendations_replaced"] = f"""
+WITH {_SCORES}
+SELECT u + 1 AS viewer_id, i + 5 AS media_id, CASE WHEN u % 3 = 0 THEN s + 100 ELSE s END AS score
+FROM e WHERE u % 3 <> 0 OR u NOT IN (SELECT c_custkey FROM customer) OR (i + 5) % 2 = 0"""
+
+_FILTERS = """given(m, r, key, name, day, reason) AS (VALUES
+  (8, 0, 'genres', 'red', NULL, NULL), (8, 0, 'genres', 'widget', NULL, NULL), (8, 1, 'genres', 'small', NULL, NULL),
+  (8, 2, 'genres', NULL, NULL, 'empty'), (8, 3, 'genres', NULL, NULL, 'null'), (8, 4, 'genres', NULL, NULL, 'no names'),
+  (8, 5, 'genres', 'blue', NULL, NULL), (8, 6, 'genres', 'blue', NULL, NULL), (8, 7, 'genres', 'blue', NULL, NULL),
+  (5, 0, 'format', 'SMALL', NULL, NULL), (5, 0, 'format', 'LARGE', NULL, NULL), (5, 1, 'format', 'ECONOMY', NULL, NULL),
+  (5, 2, 'color', NULL, NULL, 'unknown'), (7, 0, 'startedAfter', NULL, DATE '2000-06-15', NULL),
+  (7, 1, 'startedBefore', NULL, NULL, 'no date'), (7, 2, 'endedBefore', NULL, DATE '2002-01-01', NULL),
+  (7, 2, 'startedAfter', NULL, DATE '2000-02-01', NULL), (7, 3, 'endedAfter', NULL, NULL, 'no date')
+), typed AS (
+  SELECT event_id AS request, key, name, day, reason FROM events JOIN given ON event_id % m = r
+  WHERE event_id % 31 <> 0 AND event_id % 37 <> 0
+  UNION ALL
+  SELECT event_id, NULL, NULL, NULL, 'malformed' FROM events WHERE event_id % 31 = 0 OR event_id % 37 = 0
+)"""
+
+ORACLES["typed_parameters"] = f"WITH {_FILTERS} SELECT request, key, name, day, reason FROM typed"
+
+ORACLES["filtered_recommendations"] = f"""
+WITH {_FILTERS}, {_SCORES}, candidates AS (
+  SELECT event_id AS request, i AS media_id, p_type, string_split(p_name, ' ') AS words,
+         DATE '2000-01-01' + CAST(i % 600 AS INTEGER) AS date_start,
+         DATE '2000-01-01' + CAST(i % 600 + p_size AS INTEGER) AS date_end
+  FROM events JOIN e ON u = user_id JOIN part ON p_partkey = i
+), wanted AS (
+  SELECT request, bool_or(reason IS NOT NULL) AS bad,
+         list(name) FILTER (WHERE key = 'genres' AND name IS NOT NULL) AS genres,
+         list(name) FILTER (WHERE key = 'format' AND name IS NOT NULL) AS formats,
+         max(day) FILTER (WHERE key = 'startedAfter') AS started_after,
+         min(day) FILTER (WHERE key = 'endedBefore') AS ended_before
+  FROM typed GROUP BY 1
+)
+SELECT request, media_id FROM candidates JOIN wanted USING (request)
+WHERE NOT bad AND (genres IS NULL OR list_has_all(words, genres)) AND (formats IS NULL OR list_contains(formats, p_type))
+  AND (started_after IS NULL OR date_start > started_after) AND (ended_before IS NULL OR date_end < ended_before)"""
+
+ORACLES["orders_in_windows"] = """
+WITH spans AS (
+  SELECT event_id, DATE '1995-01-01' + CAST(event_id * 37 % 2400 AS INTEGER) AS low,
+         CAST(CASE WHEN event_id % 11 = 0 THEN -1 WHEN event_id % 97 = 0 THEN 3650 ELSE event_id % 5 END AS INTEGER) AS days
+  FROM events WHERE event_id % 101 <> 0)
+SELECT event_id, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS keys
+FROM spans JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN low AND low + days GROUP BY 1"""

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from mediashelf.functions import messages
 from mediashelf.functions import text as X
-from mediashelf.operators import audit, dimensions, documents, flatten, lookups
+from mediashelf.operators import audit, dimensions, documents, flatten, lookups, ranges
 from mediashelf.operators.diff import after_diff, changes, two_way_diff
 from mediashelf.operators.keys import assign_keys
-from mediashelf.plans import serving, views
+from mediashelf.plans import filters, recommend, serving, views
 from mediashelf.plans.reconcile import media_requests, reconcile_lists, reconcile_media
 from mediashelf.session import new_scratch, written
 from mediashelf.sources import options, requests, topics
@@ -810,6 +810,115 @@ def users_by_name(spark, sf):
     return serving.resolve_users(asked, directory)
 
 
+# -- computing and filtering recommendations -----------------------------------------------
+
+
+def _scores(spark, sf) -> DataFrame:
+    """The greatest quantity of a part in a customer's orders."""
+    return inputs.line_entries(spark, sf).groupBy(
+        F.col("ext_user_id").alias("user"), F.col("ext_media_id").alias("item")
+    ).agg(F.max("repeat").alias("score"))
+
+
+@query
+def rank_one_factors(spark, sf):
+    """Two rounds of alternating least squares with one factor over all customers and parts."""
+    users, media, _ = recommend.factors(
+        _scores(spark, sf), rank=1, shrink=2.0, rounds=2,
+        start=lambda item, rank: F.array(((item % 7 + 1) / 10).cast("double")))
+    sides = {"user": users, "media": media}
+    return audit.union_all([
+        side.select(F.lit(name).alias("side"), "id", F.round(F.col("factor")[0], 6).alias("factor"))
+        for name, side in sides.items()])
+
+
+@query
+def best_unseen_media(spark, sf):
+    """The five best parts of every customer that no order of theirs holds, by whole numbers."""
+    users = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array(
+        (F.col("c_nationkey") % 5 - 2).cast("double"), F.floor(F.col("c_acctbal") / 1000).cast("double")).alias("factor"))
+    media = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(
+        (F.col("p_size") % 7 - 3).cast("double"), (F.col("p_partkey") % 11 - 5).cast("double")).alias("factor"))
+    seen = inputs.line_entries(spark, sf).select(
+        F.col("ext_user_id").alias("user"), F.col("ext_media_id").alias("item"))
+    return recommend.best_unseen(users, media, seen, 5)
+
+
+@query
+def computed_recommendations(spark, sf):
+    """Factors of all customers and parts, and the ten best unseen parts of every customer."""
+    scores = _scores(spark, sf)
+    users, media, mean = recommend.factors(scores)
+    best = recommend.best_unseen(users, media, scores, 10)
+    return best.select("user", "item", (F.col("score") + F.lit(mean)).alias("score"), "rank")
+
+
+@query
+def recommendations_replaced(spark, sf):
+    """Stored recommendations after those of every third customer were replaced, twice the same."""
+    path, stored = new_scratch(spark, "stored"), _recommendations(spark, sf)
+    recommend.store_recommendations(stored, path, 16)
+    viewers = load(spark, sf, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1).alias("viewer_id"))
+    made = stored.where("media_id % 2 = 0").select("viewer_id", "media_id", (F.col("score") + 100).alias("score"))
+    for _ in range(2):
+        recommend.replace_recommendations(path, viewers, made, 16)
+    return recommend.read_recommendations(spark, path).select("viewer_id", "media_id", "score")
+
+
+def _asked_filters(spark, sf) -> DataFrame:
+    """Requests with parameters of all kinds, by the event's number."""
+    n = F.col("event_id")
+
+    def one_of(by: int, *texts: str) -> F.Column:
+        return F.element_at(F.array(*map(F.lit, texts)), (n % by + 1).cast("int"))
+
+    body = F.concat(
+        F.lit("{"),
+        one_of(8, '"genres":["red","widget"]', '"genres":"small"', '"genres":[]', '"genres":null', '"genres":[1]',
+               '"genres":["blue"]', '"genres":["blue"]', '"genres":["blue"]'),
+        one_of(5, ',"format":["SMALL","LARGE","SMALL"]', ',"format":"ECONOMY"', ',"color":"red"', "", ""),
+        one_of(7, ',"startedAfter":"2000-06-15"', ',"startedBefore":"2001-02-30"',
+               ',"endedBefore":"2002-01-01","startedAfter":"2000-02-01"', ',"endedAfter":20010101', "", "", ""),
+        one_of(3, ',"refresh":"true"', "", ""), F.lit("}"))
+    params = F.when(n % 31 == 0, "[1]").when(n % 37 == 0, '{"genres":"a","genres":"b"}').otherwise(body)
+    return load(spark, sf, "events").select(n.alias("request_id"), F.col("user_id"), params.alias("params"))
+
+
+@query
+def typed_parameters(spark, sf):
+    """Every parameter of every request by its type, or why it is turned down."""
+    return filters.typed_parameters(_asked_filters(spark, sf))
+
+
+@query
+def filtered_recommendations(spark, sf):
+    """The parts of every request's customer that pass all of its filters."""
+    asked = _asked_filters(spark, sf)
+    parts = load(spark, sf, "part")
+    begin = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("p_partkey") % 600).cast("int"))
+    media = parts.select(F.col("p_partkey").alias("media_id"), begin.alias("date_start"),
+                         F.date_add(begin, F.col("p_size").cast("int")).alias("date_end"))
+    genres = parts.select(F.col("p_partkey").alias("media_id"), F.lit("genres").alias("key"),
+                          F.explode(F.split("p_name", " ")).alias("name"))
+    formats = parts.select(F.col("p_partkey").alias("media_id"), F.lit("format").alias("key"), F.col("p_type").alias("name"))
+    stored = inputs.line_entries(spark, sf).select(
+        F.col("ext_user_id").alias("user_id"), F.col("ext_media_id").alias("media_id")).distinct()
+    candidates = asked.select(F.col("request_id").alias("request"), "user_id").join(stored, "user_id")
+    return filters.filtered(candidates, filters.typed_parameters(asked), genres.unionByName(formats), media)
+
+
+@query
+def orders_in_windows(spark, sf):
+    """How many orders fall in each event's span of days; some spans are empty, some very long."""
+    n = F.col("event_id")
+    low = F.when(n % 101 != 0, F.date_add(F.lit("1995-01-01").cast("date"), (n * 37 % 2400).cast("int")))
+    days = F.when(n % 11 == 0, -1).when(n % 97 == 0, 3650).otherwise(n % 5).cast("int")
+    spans = load(spark, sf, "events").select("event_id", low.alias("low"), F.date_add(low, days).alias("high"))
+    orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"))
+    return ranges.in_interval(orders, "ordered", spans, "low", "high").groupBy("event_id").agg(
+        F.count("*").alias("n_orders"), F.sum("o_orderkey").alias("keys"))
+
+
 # -- audits -------------------------------------------------------------------------------
 
 
