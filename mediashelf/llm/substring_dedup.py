@@ -14,7 +14,7 @@ from mediashelf.llm import anchors, induced
 from mediashelf.llm.common import small, staged
 
 SHARD_BYTES = 4 << 20  # text of one suffix array, about; larger ones work on disk
-CROWD_BYTES = 16 << 20  # an anchor whose different contexts are longer in sum is settled window by window
+CROWD_BYTES = 256 << 20  # an anchor whose different contexts are longer in sum is settled window by window
 ID_ROWS = 1_000_000  # keys (16 bytes each) broadcast at most
 SPANS = "array<struct<begin:int,end:int>>"
 
@@ -190,16 +190,23 @@ def repeated_spans(
             "id", "d", (F.col("start") + F.col("s.begin")).alias("a"),
             (F.col("start") + F.col("s.end") - 1 + length).alias("b")))
     # runs of one document, merged where they touch; their number is bounded by its length
-    runs = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("a", "b"))),
-        F.array().cast(SPANS),
-        lambda acc, r: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= r["a"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["begin"].alias("begin"),
-                F.greatest(F.element_at(acc, -1)["end"], r["b"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(r["a"].alias("begin"), r["b"].alias("end"))))))
-    return staged(places.groupBy("id", "d").agg(runs.alias("spans")), "spans")
+    runs = places.groupBy("id", "d").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return staged(runs.mapInArrow(_merged, f"id {kind}, d bigint, spans {SPANS}"), "spans")
+
+
+def _merged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every document's spans in order, those that touch or overlap as one."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    for part in parts:
+        out = []
+        for spans in part.column(2):
+            a, b = (spans.values.field(k).to_numpy() for k in ("a", "b"))
+            order = np.argsort(a, kind="stable")
+            a, reach = a[order], np.maximum.accumulate(b[order])
+            first = np.concatenate([[True], a[1:] > reach[:-1]])
+            last = np.concatenate([first[1:], [True]])
+            out.append([{"begin": int(x), "end": int(y)} for x, y in zip(a[first], reach[last], strict=True)])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, kind)], names=["id", "d", "spans"])
 
 
 def _having(keyed: DataFrame, other: DataFrame) -> DataFrame:

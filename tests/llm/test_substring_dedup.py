@@ -88,3 +88,20 @@ def test_summary(spark, limits):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert substring_dedup.summary(docs).count() == 0
+
+
+def test_spans_are_merged_where_they_touch():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 200, 20), rng.integers(1, 20, 20))]
+        batch = pa.RecordBatch.from_pylist([{"id": 1, "d": 2, "spans": [{"a": a, "b": b} for a, b in spans]}])
+        (found,) = substring_dedup._merged(iter([batch]))
+        held, ends = set(), set()
+        for s in found.column(2)[0].as_py():
+            held |= set(range(s["begin"], s["end"]))
+            assert s["begin"] not in ends
+            ends.add(s["end"])
+        assert held == {i for a, b in spans for i in range(a, b)}
