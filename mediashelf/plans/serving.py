@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediashelf.functions import messages
 from mediashelf.operators.lookups import lookup_join
 from mediashelf.plans.reconcile import reconcile_lists
+from mediashelf.session import written
 from mediashelf.sources.requests import list_messages
 from mediashelf.sources.store import Commit, Store
 
@@ -75,6 +76,39 @@ def resolve_users(requests: DataFrame, directory: DataFrame) -> DataFrame:
     return known.withColumn("known", F.col("ext_user_id").isNotNull())
 
 
+def routed(requests: DataFrame, directory: DataFrame, viewers: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """``request, ext_user_id, route, reason`` of ``request, name, ext_user_id, params`` requests.
+
+    A request names its user by id, or by a name that ``directory`` (``name, ext_user_id``) knows.
+    The route is ``rejected`` (with a reason), ``stored`` or ``recompute``; it is worked out once,
+    and written, for everything that follows.
+    """
+    named = directory.select("name", F.col("ext_user_id").alias("_known"))
+    asked = lookup_join(requests, named, ["name"], "left").withColumn(
+        "ext_user_id", F.coalesce("ext_user_id", "_known")).drop("_known")
+    decided = refresh_decisions(asked, viewers, recommendations)
+    reason = F.when(F.col("decision") == REJECTED, "bad parameters").when(
+        F.col("ext_user_id").isNull(), F.when(F.col("name").isNull(), "no user").otherwise("unknown name"))
+    return written(decided.select(
+        "request", "ext_user_id", F.when(reason.isNotNull(), REJECTED).otherwise(F.col("decision")).alias("route"),
+        reason.alias("reason")), "routes")
+
+
+def answered(routes: DataFrame, stored: DataFrame, computed: DataFrame) -> DataFrame:
+    """``request, ext_user_id, route, reason, media_id, score``: routed requests with their rows.
+
+    ``stored`` and ``computed`` hold ``ext_user_id, media_id, score``.  Both come under the route
+    they answer, so one join serves all requests; one that is turned down, or has no rows, comes
+    back once without media.  Only users that are asked for are looked at.
+    """
+    users = routes.select("ext_user_id", "route").distinct()
+    tagged = [frame.select("ext_user_id", "media_id", "score").withColumn("route", F.lit(route))
+              for route, frame in ((STORED, stored), (RECOMPUTE, computed))]
+    rows = tagged[0].unionByName(tagged[1]).join(users, ["ext_user_id", "route"], "left_semi")
+    return routes.join(rows, ["ext_user_id", "route"], "left").select(
+        "request", "ext_user_id", "route", "reason", "media_id", "score")
+
+
 def refresh_lists(
     store: Store,
     users: DataFrame,

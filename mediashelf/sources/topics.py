@@ -58,6 +58,16 @@ def tick_stream(spark: SparkSession, rows_per_second: int = 1, ramp_up_seconds:
     )
 
 
+def tick_batches(spark: SparkSession, rows_per_batch: int, partitions: int = 1) -> DataFrame:
+    """Ticks numbered from 0, so many in every micro-batch however long it takes."""
+    return (
+        spark.readStream.format("rate-micro-batch")
+        .option("rowsPerBatch", rows_per_batch)
+        .option("numPartitions", partitions)
+        .load()
+    )
+
+
 def id_range(spark: SparkSession, boundary: int) -> DataFrame:
     """Every id of a bounded walk, the boundary included."""
     return spark.range(0, boundary + 1).select(F.col("id").cast("int").alias("id"))

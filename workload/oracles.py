@@ -631,3 +631,58 @@ WITH spans AS (
   FROM events WHERE event_id % 101 <> 0)
 SELECT event_id, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS keys
 FROM spans JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN low AND low + days GROUP BY 1"""
+
+ORACLES["walked_ticks"] = """
+SELECT c_custkey AS seq, c_name AS value FROM customer WHERE c_acctbal >= 0"""
+
+ORACLES["requests_answered"] = f"""
+WITH {_PARAMS}, {_SCORES}, asked AS (
+  SELECT event_id AS request, NULL AS name, CASE WHEN event_id % 50 <> 0 THEN user_id END AS ext_user_id,
+         is_object, refresh, n_other FROM flags
+  UNION ALL
+  SELECT -1 - c_custkey, c_name, c_custkey, true, false, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END FROM customer
+  UNION ALL
+  SELECT -1000000 - s_suppkey, s_name, NULL, true, false, 0 FROM supplier
+), routes AS (
+  SELECT request, ext_user_id,
+    CASE WHEN NOT is_object THEN 'bad parameters' WHEN ext_user_id IS NOT NULL THEN NULL
+         WHEN name IS NULL THEN 'no user' ELSE 'unknown name' END AS reason,
+    refresh OR n_other = 0 OR ext_user_id NOT IN (SELECT u FROM e JOIN customer ON u = c_custkey WHERE s >= 45) AS anew
+  FROM asked
+), tagged AS (
+  SELECT request, ext_user_id, reason,
+    CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN anew THEN 'recompute' ELSE 'stored' END AS route FROM routes
+)
+SELECT request, ext_user_id, route, reason, i AS media_id, s AS score
+FROM tagged LEFT JOIN e ON u = ext_user_id AND (route = 'stored' AND s >= 45 OR route = 'recompute' AND s = 1)"""
+
+
+def _unique(name: str, table: str, key: str) -> str:
+    return (f"SELECT '{name}' AS constraint, true AS is_unique, count(*) AS n_keys, count(*) FILTER (WHERE n > 1) AS n_values, "
+            f"CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS n_rows "
+            f"FROM (SELECT {key}, count(*) AS n FROM {table} GROUP BY ALL)")
+
+
+def _reference(name: str, child: str, parent: str) -> str:
+    return (f"SELECT '{name}', false, count(*), count(*) FILTER (WHERE k NOT IN ({parent})), "
+            f"CAST(coalesce(sum(n) FILTER (WHERE k NOT IN ({parent})), 0) AS BIGINT) "
+            f"FROM (SELECT k, count(*) AS n FROM ({child}) WHERE k IS NOT NULL GROUP BY 1)")
+
+
+ORACLES["declared_keys"] = "\nUNION ALL\n".join([
+    _unique("region", "region", "r_regionkey"), _unique("nation", "nation", "n_nationkey"),
+    _unique("customer", "customer", "c_custkey"), _unique("supplier", "supplier", "s_suppkey"),
+    _unique("part", "part", "p_partkey"), _unique("orders", "orders", "o_orderkey"),
+    _unique("events", "events", "event_id"), _unique("documents", "documents", "doc_id"),
+    _unique("labels", "labels", "doc_id"), _unique("pages", "pages", "page_id"),
+    _unique("embeddings", "embeddings", "vec_id"), _unique("lines", "lineitem", "l_orderkey, l_linenumber"),
+    _unique("users of events", "events", "user_id"),
+    _reference("nation.region", "SELECT n_regionkey AS k FROM nation", "SELECT r_regionkey FROM region"),
+    _reference("customer.nation", "SELECT c_nationkey AS k FROM customer", "SELECT n_nationkey FROM nation"),
+    _reference("order.customer", "SELECT o_custkey AS k FROM orders", "SELECT c_custkey FROM customer"),
+    _reference("line.order", "SELECT l_orderkey AS k FROM lineitem", "SELECT o_orderkey FROM orders"),
+    _reference("line.part", "SELECT l_partkey AS k FROM lineitem", "SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0"),
+    _reference("line.supplier and flag", "SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag <> 'N'",
+               "SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0"),
+    _reference("label.document", "SELECT doc_id AS k FROM labels", "SELECT doc_id FROM documents"),
+])

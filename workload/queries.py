@@ -18,8 +18,8 @@ from mediashelf.session import new_scratch, written
 from mediashelf.sources import options, requests, topics
 from mediashelf.sources.store import Store
 from mediashelf.streaming.consume import consume_lists, consume_media
-from mediashelf.streaming.publish import publish_lists, publish_media
-from mediashelf.streaming.sinks import batch_sink
+from mediashelf.streaming.publish import publish_lists, publish_media, walk_ticks
+from mediashelf.streaming.sinks import batch_sink, partition_per_batch
 from workload import inputs
 from workload.inputs import load
 
@@ -169,6 +169,20 @@ def published_media(spark, sf):
     return topics.read_topic(spark, "parquet", {"path": sink})
 
 
+@query
+def walked_ticks(spark, sf):
+    """Ids of an endless tick source up to the last customer's, each batch a partition of its own."""
+    customer = load(spark, sf, "customer")
+    document = F.when(F.col("c_acctbal") < 0, messages.ERROR_PREFIX).otherwise(F.col("c_name"))
+    table = customer.select(F.col("c_custkey").cast("int").alias("id"), document.alias("data"))
+    boundary, path = customer.agg(X.max_or_zero(F.col("c_custkey"))).first()[0], new_scratch(spark, "walked")
+    walk_ticks(
+        topics.tick_batches(spark, 4 * boundary + 1), requests.from_table(table, "data"), partition_per_batch(path),
+        boundary, new_scratch(spark, "checkpoint"), every="0 seconds",
+    ).run(poll_seconds=0.2)
+    return spark.read.parquet(path).select("seq", "value")
+
+
 @query
 def published_lists(spark, sf):
     """The same for lists: published while either branch is good, in one envelope."""
@@ -810,6 +824,27 @@ def users_by_name(spark, sf):
     return serving.resolve_users(asked, directory)
 
 
+@query
+def requests_answered(spark, sf):
+    """Every event as a request by id, every customer and supplier as one by name, in one plan."""
+    events, customer = load(spark, sf, "events"), load(spark, sf, "customer")
+    no_id, no_name = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    by_id = events.select(F.col("event_id").alias("request"), no_name.alias("name"), F.when(
+        F.col("event_id") % 50 != 0, F.col("user_id")).alias("ext_user_id"), _parameters().alias("params"))
+    by_name = customer.select(
+        (-1 - F.col("c_custkey")).alias("request"), F.col("c_name").alias("name"), no_id.alias("ext_user_id"),
+        F.when(F.col("c_custkey") % 2 == 0, '{"k": 1}').otherwise("{}").alias("params")).unionByName(
+        load(spark, sf, "supplier").select(
+            (-1_000_000 - F.col("s_suppkey")).alias("request"), F.col("s_name").alias("name"),
+            no_id.alias("ext_user_id"), F.lit("{}").alias("params")))
+    directory = customer.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("ext_user_id"))
+    rows = _scores(spark, sf).select(F.col("user").alias("ext_user_id"), F.col("item").alias("media_id"), "score")
+    stored = rows.where("score >= 45")
+    held = stored.select((F.col("ext_user_id") + 1).alias("viewer_id"))
+    routes = serving.routed(by_id.unionByName(by_name), directory, _viewers(spark, sf), held)
+    return serving.answered(routes, stored, rows.where("score = 1"))
+
+
 # -- computing and filtering recommendations -----------------------------------------------
 
 
@@ -957,3 +992,31 @@ def missing_values(spark, sf):
 def overlong_values(spark, sf):
     """Values longer than their bound."""
     return audit.too_long(load(spark, sf, "documents"), {"text": 500, "source": 10, "lang": 50})
+
+
+@query
+def declared_keys(spark, sf):
+    """Unique keys and references over all given tables in one pass, some of them broken."""
+    t = {n: load(spark, sf, n) for n in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels",
+        "pages", "embeddings")}
+    keys = {
+        "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+        "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id",
+        "pages": "page_id", "embeddings": "vec_id"}
+    unique = {name: (t[name], [key]) for name, key in keys.items()}
+    unique["lines"] = (t["lineitem"], ["l_orderkey", "l_linenumber"])
+    unique["users of events"] = (t["events"], ["user_id"])
+    kept = t["part"].where("p_partkey % 10 <> 0")
+    references = {
+        "nation.region": (t["nation"], ["n_regionkey"], t["region"], ["r_regionkey"]),
+        "customer.nation": (t["customer"], ["c_nationkey"], t["nation"], ["n_nationkey"]),
+        "order.customer": (t["orders"], ["o_custkey"], t["customer"], ["c_custkey"]),
+        "line.order": (t["lineitem"], ["l_orderkey"], t["orders"], ["o_orderkey"]),
+        "line.part": (t["lineitem"], ["l_partkey"], kept, ["p_partkey"]),
+        "line.supplier and flag": (
+            t["lineitem"].withColumn("flag", F.when(F.col("l_returnflag") != "N", F.lit("R"))), ["l_suppkey", "flag"],
+            t["supplier"].where("s_suppkey % 3 = 0").withColumn("flag", F.lit("R")), ["s_suppkey", "flag"]),
+        "label.document": (t["labels"], ["doc_id"], t["documents"], ["doc_id"]),
+    }
+    return audit.key_checks(unique, references)
