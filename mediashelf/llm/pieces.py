@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GRID = 4_000_000  # cells of one batch of equal-length words, at most
-CACHE = 200_000  # words whose pieces a worker remembers,
-PAIRS, SLOT_BITS = 200_000, 19  # and pairs of pieces; slots of the table that is asked first
+CACHE = 400_000  # words whose pieces a worker remembers,
+SLOT_BITS = 19  # and as many pairs of pieces; slots of the table that is asked first
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNIGRAM, BPE = 1, 2
 
@@ -64,7 +64,7 @@ class _Pairs(dict):
         self.pieces = pieces
 
     def __missing__(self, pair: int) -> bool:
-        if len(self) > PAIRS:
+        if len(self) > self.pieces.remembered:
             self.clear()
         text, n = self.pieces.text, len(self.pieces.scores)
         a, b = text[pair // n], text[pair % n]
@@ -120,6 +120,7 @@ class Pieces:
         self.allowed = np.zeros(1 << SLOT_BITS, dtype=bool)
         self.pairs = _Pairs(self)
         self.cache: dict[str, bytes] = {}
+        self.remembered = CACHE
         self.spelling = [self._bytes_of(i) for i in range(top)]
 
     @staticmethod
@@ -286,7 +287,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the model's own library gives them."""
         cut = [self.words(t) for t in texts]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.remembered:
             self.cache.clear()
         self.segment([w for w in {w for ws in cut for w in ws} if w not in self.cache])
         ids = [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), np.int32) for ws in cut]
@@ -321,12 +322,14 @@ def _loaded(key: str, data: bytes) -> Pieces:
 
 
 def with_ids(docs: DataFrame, model_file: str = DEFAULT_MODEL, text: str = "text",
-             ids: str = "ids", back: str | None = "decoded") -> DataFrame:
+             ids: str = "ids", back: str | None = "decoded", remembered: int = CACHE,
+             rows: int = 1_024) -> DataFrame:
     """``docs`` with the ids of every whole text and, if ``back`` names it, the text decoded
     from them again.  Columns named like the new ones are replaced.
 
     Null texts have null ids; empty ones none.  The model file is read once on the driver (its
-    size does not grow with the data) and sent to the executors.  Round trips are exact for
+    size does not grow with the data) and sent to the executors.  A worker remembers the pieces of
+    ``remembered`` words, and as many pairs, and works on ``rows`` texts at a time.  Round trips are exact for
     models that normalise nothing, but for texts that begin with a space mark themselves.
     """
     with open(model_file, "rb") as file:
@@ -343,9 +346,10 @@ def with_ids(docs: DataFrame, model_file: str = DEFAULT_MODEL, text: str = "text
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(key, shared.value)
+        pieces.remembered = remembered
         for part in parts:
-            for a in range(0, part.num_rows, 512):
-                few = part.slice(a, 512)
+            for a in range(0, part.num_rows, rows):
+                few = part.slice(a, rows)
                 texts = few.column(place).to_pylist()
                 found = pieces.encode([t or "" for t in texts])
                 null = np.array([t is None for t in texts], dtype=bool)
