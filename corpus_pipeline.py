@@ -32,7 +32,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids and the text that they decode to."""
-    return pieces.with_ids(docs)
+    return pieces.with_ids(docs, remembered=200_000, rows=512)
 
 
 STAGES = [
