@@ -60,6 +60,49 @@ def bounds(factors: np.ndarray, size: int, least: float) -> np.ndarray:
     return SIGMAS * spread * math.sqrt(1 - least ** 2) if size >= 16 else np.full(len(factors), 9.0)
 
 
+def coarse(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotated vectors in one byte a component, and each vector's width of a step; a component
+    is the middle of its step, which lies on its own side of zero."""
+    steps = np.abs(turned).max(axis=1) / 127.5
+    return np.clip(np.floor(turned / steps[:, None]), -128, 127).astype(np.int8), steps
+
+
+def restored(coarse_bytes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Rotated vectors from their bytes, off by half a step in a component at most."""
+    return (coarse_bytes + 0.5) * steps[:, None]
+
+
+def may_reach(signs: np.ndarray, factors: np.ndarray, slack: np.ndarray, turned: np.ndarray,
+              steps: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of ``i`` and ``j`` have estimates whose bounds reach ``least`` from both ends.
+
+    ``turned`` may be off by half a step of ``steps`` in each component, all of one sign at worst;
+    the bounds are wider by what that can change an estimate.
+    """
+    off = steps * (math.sqrt(signs.shape[1]) / 2 * (1 + 1e-9))
+    near = estimates(signs[i], factors[i], turned[j]) + slack[i, None] + (
+        off[None, j] / factors[i, None]) >= least
+    near &= (estimates(signs[j], factors[j], turned[i]) + slack[j, None] + (
+        off[None, i] / factors[j, None]) >= least).T
+    return near
+
+
+def met_before(keys: np.ndarray, table: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Pairs that an earlier table has brought together."""
+    return (keys[u, :table] == keys[v, :table]).any(axis=1)
+
+
+def packed_keys(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A row's keys of ``bits`` bits each, in whole bytes."""
+    wide = (keys[:, :, None] >> np.arange(bits)) & 1
+    return np.packbits(wide.reshape(len(keys), keys.shape[1] * bits).astype(np.uint8), axis=1)
+
+
+def unpacked_keys(packed: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    wide = np.unpackbits(packed, axis=1)[:, :bits * tables].reshape(len(packed), tables, bits)
+    return wide.astype(np.int64) @ (1 << np.arange(bits))
+
+
 def plan(most: int, least: float) -> tuple[int, int]:
     """Bits of a bucket and number of tables for labels of at most ``most`` vectors."""
     bits = max(0, math.ceil(math.log2(max(1, most) / BUCKET)))
@@ -70,42 +113,87 @@ def plan(most: int, least: float) -> tuple[int, int]:
 def _coded(bits: int, tables: int):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lists = part.column(3).to_pylist()
+            lists = part.column("vector").to_pylist()
             sizes = np.array([len(v) for v in lists], dtype=np.int64)
             keys = np.zeros((len(lists), tables), dtype=np.int64)
-            codes: list[bytes] = [b""] * len(lists)
-            factors = np.zeros(len(lists))
+            codes, middles = [b""] * len(lists), [b""] * len(lists)
+            factors, steps = np.zeros(len(lists)), np.zeros(len(lists))
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 x = unit(np.array([lists[i] for i in rows]))
                 signs, factors[rows] = encode(x)
-                for i, packed in zip(rows, np.packbits(signs, axis=1), strict=True):
-                    codes[i] = packed.tobytes()
+                middle, steps[rows] = coarse(x @ rotation(int(size), 0).T)
+                for i, packed, byte in zip(rows, np.packbits(signs, axis=1), middle, strict=True):
+                    codes[i], middles[i] = packed.tobytes(), byte.tobytes()
                 # every table reads the next bits; further rotations supply more of them
                 for t in range(tables):
                     for bit in range(t * bits, (t + 1) * bits):
                         normal = rotation(int(size), 1 + bit // int(size))[bit % int(size)]
                         keys[rows, t] = keys[rows, t] * 2 + (x @ normal >= 0)
+            known = [row.tobytes() for row in packed_keys(keys, bits)]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(sizes), pa.array(codes, pa.binary()), pa.array(factors),
+                 pa.array(middles, pa.binary()), pa.array(steps), pa.array(known, pa.binary()),
                  pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), tables).cast(
                      pa.list_(pa.int64()))],
-                names=["label", "id", "copies", "vector", "size", "code", "factor", "keys"])
+                names=[*part.schema.names, "size", "code", "factor", "middles", "step", "known", "keys"])
 
     return batches
 
 
-def _compared(least: float):
+def _bytes(column: pd.Series, kind: type) -> np.ndarray:
+    """A column of equally long byte strings as rows of an array."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), len(column.iloc[0]))
+
+
+def _chosen(near: np.ndarray, i: np.ndarray, j: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs marked, each once where a block meets itself."""
+    if same:
+        near &= j[None, :] > i[:, None]
+    p, q = np.nonzero(near)
+    return i[p], j[q]
+
+
+def _screened(least: float, bits: int, tables: int):
+    """Vectors of a bucket that have a pair to recompute, from codes, factors and coarse bytes."""
+
+    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        size, table, low, high = int(key[1]), int(key[3]), int(key[4]), int(key[5])
+        block = rows["block"].to_numpy()
+        signs = np.unpackbits(_bytes(rows["code"], np.uint8), axis=1)[:, :size].astype(bool)
+        factors, steps = rows["factor"].to_numpy(), rows["step"].to_numpy()
+        turned = restored(_bytes(rows["middles"], np.int8), steps)
+        keys = unpacked_keys(_bytes(rows["known"], np.uint8), bits, tables) if bits else np.zeros((len(rows), 1))
+        slack = bounds(factors, size, least)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        wanted = np.zeros(len(rows), dtype=bool)
+        for a in range(0, len(left), 512):
+            i = left[a:a + 512]
+            u, v = _chosen(may_reach(signs, factors, slack, turned, steps, i, right, least), i, right, low == high)
+            for b in range(0, len(u), 65_536):
+                x, y = u[b:b + 65_536], v[b:b + 65_536]
+                new = ~met_before(keys, table, x, y)
+                wanted[x[new]] = wanted[y[new]] = True
+        kept = rows[wanted]
+        return pd.DataFrame({
+            **dict(zip(["label", "size", "bucket", "table", "low", "high"], key, strict=True)),
+            "place": kept["place"], "block": kept["block"]})
+
+    return group
+
+
+def _compared(least: float, bits: int, tables: int):
+    """Links among the vectors of a bucket that were screened, from the vectors themselves."""
+
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         table, low, high = int(key[3]), int(key[4]), int(key[5])
         rows = rows.sort_values(["block", "id"], ignore_index=True)
         block = rows["block"].to_numpy()
         x = unit(np.stack(rows["vector"].to_numpy()))
         size = x.shape[1]
-        signs = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1),
-                              axis=1)[:, :size].astype(bool)
-        factors, copies = rows["factor"].to_numpy(), rows["copies"].to_numpy()
-        keys = np.stack(rows["keys"].to_numpy())
+        signs, factors = encode(x)
+        copies, exact = rows["copies"].to_numpy(), np.zeros(len(rows))
+        keys = unpacked_keys(_bytes(rows["known"], np.uint8), bits, tables) if bits else np.zeros((len(rows), 1))
         slack, turned = bounds(factors, size, least), x @ rotation(size, 0).T
         parent = np.arange(len(rows))
         count = np.zeros(len(rows), dtype=np.int64)
@@ -113,17 +201,12 @@ def _compared(least: float):
         right = np.flatnonzero(block == high)
         for a in range(0, len(left), 512):
             i = left[a:a + 512]
-            near = estimates(signs[i], factors[i], turned[right]) + slack[i, None] >= least
-            near &= (estimates(signs[right], factors[right], turned[i]) + slack[right, None]
-                     ).T >= least
-            if low == high:
-                near &= right[None, :] > i[:, None]
-            p, q = np.nonzero(near)
+            p, q = _chosen(may_reach(signs, factors, slack, turned, exact, i, right, least), i, right, low == high)
             for b in range(0, len(p), 65_536):
-                u, v = i[p[b:b + 65_536]], right[q[b:b + 65_536]]
+                u, v = p[b:b + 65_536], q[b:b + 65_536]
                 linked = np.einsum("ij,ij->i", x[u], x[v]) >= least
                 # a pair counts in the first table that brings it together
-                linked &= ~(keys[u, :table] == keys[v, :table]).any(axis=1)
+                linked &= ~met_before(keys, table, u, v)
                 u, v = u[linked], v[linked]
                 np.add.at(count, u, copies[v])
                 np.add.at(count, v, copies[u])
@@ -161,8 +244,11 @@ def near_vectors(
     probability of 1 - MISS (closer pairs more surely).  In a bucket, one-bit codes of rotated
     vectors with their correction factors estimate all inner products without bias, and only
     pairs whose confidence bounds, from both ends, reach ``least`` are recomputed from the
-    vectors.  Large buckets are split into blocks that meet pairwise in tasks of their own.
-    Tasks return numbers of links and one local root per vector, never pairs.
+    vectors.  What is dealt once per table is a vector's code, factor, keys and its rotated
+    components in a byte each, whose rounding widens the bounds; full vectors follow only to the
+    buckets where they have a pair to recompute.  Large buckets are split into blocks that meet
+    pairwise in tasks of their own.  Tasks return numbers of links and one local root per vector,
+    never pairs.
     """
     finite = F.forall(F.col(embedding), lambda v: v.isNotNull() & ~F.isnan(v) & (
         F.abs(v) < float("inf")))
@@ -174,28 +260,34 @@ def near_vectors(
                           F.col(embedding).alias("vector"), usable.alias("usable"))
     classes = staged(rows.where("usable").groupBy("label", "vector").agg(
         F.min("id").alias("id"), F.count("*").alias("copies")
-    ).select("label", "id", "copies", "vector"), "vectors")
+    ).select("label", "id", "copies", "vector", F.monotonically_increasing_id().alias("place")), "vectors")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(most, least)
     kinds = dict(classes.dtypes)
-    shape = f"label {kinds['label']}, id {kinds['id']}, copies bigint, vector {kinds['vector']}"
+    shape = ", ".join(f"{name} {kind}" for name, kind in classes.dtypes)
     coded = staged(classes.mapInArrow(
-        _coded(bits, tables), f"{shape}, size bigint, code binary, factor double, keys array<bigint>"),
-        "codes")
-    dealt = coded.select("*", F.posexplode("keys").alias("table", "bucket"))
-    sizes = coded.select("label", "size", F.posexplode("keys").alias("table", "bucket")).groupBy(
-        "label", "size", "table", "bucket").count().where("count > 1").withColumn(
+        _coded(bits, tables), f"{shape}, size bigint, code binary, factor double, middles binary, "
+        "step double, known binary, keys array<bigint>"), "codes")
+    met = ["label", "size", "bucket", "table", "low", "high"]
+    dealt = coded.select("label", "size", "place", "code", "factor", "middles", "step", "known",
+                         F.posexplode("keys").alias("table", "bucket"))
+    sizes = dealt.groupBy("label", "size", "table", "bucket").count().where("count > 1").withColumn(
         "blocks", F.ceil(F.col("count") / BLOCK)).drop("count")
-    blocks = dealt.join(sizes, ["label", "size", "table", "bucket"]).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = dealt.join(sizes, ["label", "size", "table", "bucket"])
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")))
     meets = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
         lambda other: F.struct(F.least("block", other).alias("low"),
                                F.greatest("block", other).alias("high")))
-    blocks = blocks.withColumn("meet", F.explode(meets)).withColumn(
-        "low", F.col("meet.low")).withColumn("high", F.col("meet.high"))
-    found = staged(blocks.groupBy("label", "size", "bucket", "table", "low", "high").applyInPandas(
-        _compared(least), f"id {kinds['id']}, root {kinds['id']}, links bigint"), "links")
+    blocks = blocks.withColumn("meet", F.explode(meets)).select(
+        "*", F.col("meet.low").alias("low"), F.col("meet.high").alias("high")).drop("meet", "blocks")
+    # dealt by all six columns, or a crowded bucket's blocks would stay in one task
+    screened = staged(blocks.repartition(*met).groupBy(*met).applyInPandas(
+        _screened(least, bits, tables), f"label {kinds['label']}, size bigint, bucket bigint, table int, "
+        "low bigint, high bigint, place bigint, block bigint"), "screened")
+    full = coded.select("place", "id", "copies", "vector", "known")
+    found = staged(screened.join(full, "place").repartition(*met).groupBy(*met).applyInPandas(
+        _compared(least, bits, tables), f"id {kinds['id']}, root {kinds['id']}, links bigint"), "links")
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.join(links, "id", "left").join(parts, "id", "left").select(

@@ -65,6 +65,41 @@ def test_estimates_are_unbiased_and_bounded():
     assert (found + vector_dedup.bounds(factors, 64, 0.93) >= 0.93)[true >= 0.93].all()
 
 
+def test_coarse_vectors_lose_no_pair_that_whole_ones_bring():
+    rng = np.random.default_rng(2)
+    x = vector_dedup.unit(rng.standard_normal((300, 64)))
+    x = np.concatenate([x, vector_dedup.unit(x + 0.35 * vector_dedup.unit(rng.standard_normal((300, 64))))])
+    signs, factors = vector_dedup.encode(x)
+    turned = x @ vector_dedup.rotation(64, 0).T
+    middles, steps = vector_dedup.coarse(turned)
+    rough = vector_dedup.restored(middles, steps)
+    assert (np.abs(rough - turned) <= steps[:, None] / 2 * (1 + 1e-9)).all()
+    assert ((rough >= 0) == signs).all()
+    every, slack = np.arange(len(x)), vector_dedup.bounds(factors, 64, 0.93)
+    whole = vector_dedup.may_reach(signs, factors, slack, turned, steps * 0, every, every, 0.93)
+    found = vector_dedup.may_reach(signs, factors, slack, rough, steps, every, every, 0.93)
+    assert (found | ~whole).all()
+    assert found[np.arange(300), np.arange(300, 600)][(x[:300] * x[300:]).sum(axis=1) >= 0.93].all()
+
+
+@pytest.mark.parametrize("bits,tables", [(0, 1), (3, 13), (9, 41)])
+def test_keys_are_packed(bits, tables):
+    keys = np.random.default_rng(3).integers(0, 1 << bits, (50, tables))
+    packed = vector_dedup.packed_keys(keys, bits)
+    assert packed.shape[1] == -(-bits * tables // 8)
+    if bits:
+        assert (vector_dedup.unpacked_keys(packed, bits, tables) == keys).all()
+    assert len(vector_dedup.packed_keys(keys[:0], bits)) == 0
+
+
+def test_rows_that_repeat(spark):
+    """Rows equal in id, label and vector are copies of each other; an id may have two vectors."""
+    rows = [(1, [1.0, 0.0], 1)] * 2 + [(2, [0.0, 1.0], 1), (1, [0.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = sorted(map(tuple, vector_dedup.near_vectors(frame).collect()))
+    assert found == [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_more_tables_for_larger_labels():
     assert vector_dedup.plan(500, 0.93) == (0, 1)
     bits, tables = vector_dedup.plan(10**6, 0.93)
