@@ -22,8 +22,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for row-wise work that costs far more than its bytes suggest, dealt out evenly."""
-    return load(spark, sf_dir, name).hint("rebalance")
+    """A table for row-wise work that costs far more than its bytes suggest.
+
+    A scan of fewer tasks than there are cores is dealt out to all of them; their number is given,
+    as adaptive execution would join such small parts again.  Larger tables are not shuffled.
+    """
+    table, cores = load(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
 # -- media documents: one per order, for the order's customer ------------------------
