@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashelf.llm.common import components, staged
+from mediashelf.llm.common import components, small, staged
 
 BUCKET = 1_024  # vectors of one label that share a bucket, about
 BLOCK = 2_048  # a bucket of more vectors is compared block by block
@@ -103,40 +103,47 @@ def unpacked_keys(packed: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return wide.astype(np.int64) @ (1 << np.arange(bits))
 
 
+def tables_of(bits: int, least: float) -> int:
+    """Tables of ``bits`` bits in which a pair at ``least`` meets with a probability of 1 - MISS."""
+    same = (1 - math.acos(least) / math.pi) ** bits
+    return 1 if bits == 0 else math.ceil(math.log(MISS) / math.log(1 - same))
+
+
 def plan(most: int, least: float) -> tuple[int, int]:
-    """Bits of a bucket and number of tables for labels of at most ``most`` vectors."""
+    """Bits of a bucket and number of tables for a label of ``most`` vectors."""
     bits = max(0, math.ceil(math.log2(max(1, most) / BUCKET)))
-    same = (1 - math.acos(least) / math.pi) ** bits
-    return bits, 1 if bits == 0 else math.ceil(math.log(MISS) / math.log(1 - same))
+    return bits, tables_of(bits, least)
 
 
-def _coded(bits: int, tables: int):
+def _coded(least: float):
+    """Adds what is dealt of a vector; ``n`` counts its label's vectors."""
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             lists = part.column("vector").to_pylist()
-            sizes = np.array([len(v) for v in lists], dtype=np.int64)
-            keys = np.zeros((len(lists), tables), dtype=np.int64)
-            codes, middles = [b""] * len(lists), [b""] * len(lists)
+            plans = np.array([(len(v), *plan(n, least)) for v, n in zip(
+                lists, part.column("n").to_pylist(), strict=True)], dtype=np.int64).reshape(len(lists), 3)
             factors, steps = np.zeros(len(lists)), np.zeros(len(lists))
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
+            middles, known, keys = ([None] * len(lists) for _ in range(3))
+            for size, bits, tables in np.unique(plans, axis=0).tolist():
+                rows = np.flatnonzero((plans == [size, bits, tables]).all(axis=1))
                 x = unit(np.array([lists[i] for i in rows]))
-                signs, factors[rows] = encode(x)
-                middle, steps[rows] = coarse(x @ rotation(int(size), 0).T)
-                for i, packed, byte in zip(rows, np.packbits(signs, axis=1), middle, strict=True):
-                    codes[i], middles[i] = packed.tobytes(), byte.tobytes()
+                _, factors[rows] = encode(x)
+                middle, steps[rows] = coarse(x @ rotation(size, 0).T)
+                key = np.zeros((len(rows), tables), dtype=np.int64)
                 # every table reads the next bits; further rotations supply more of them
                 for t in range(tables):
                     for bit in range(t * bits, (t + 1) * bits):
-                        normal = rotation(int(size), 1 + bit // int(size))[bit % int(size)]
-                        keys[rows, t] = keys[rows, t] * 2 + (x @ normal >= 0)
-            known = [row.tobytes() for row in packed_keys(keys, bits)]
+                        normal = rotation(size, 1 + bit // size)[bit % size]
+                        key[:, t] = key[:, t] * 2 + (x @ normal >= 0)
+                packed = packed_keys(key, bits)
+                for at, i in enumerate(rows):
+                    middles[i], known[i], keys[i] = middle[at].tobytes(), packed[at].tobytes(), key[at]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(sizes), pa.array(codes, pa.binary()), pa.array(factors),
-                 pa.array(middles, pa.binary()), pa.array(steps), pa.array(known, pa.binary()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), tables).cast(
-                     pa.list_(pa.int64()))],
-                names=[*part.schema.names, "size", "code", "factor", "middles", "step", "known", "keys"])
+                [*part.columns, pa.array(plans[:, 0]), pa.array(plans[:, 1].astype(np.int32)),
+                 pa.array(factors), pa.array(steps), pa.array(middles, pa.binary()),
+                 pa.array(known, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=[*part.schema.names, "size", "bits", "factor", "step", "middles", "known", "keys"])
 
     return batches
 
@@ -154,16 +161,23 @@ def _chosen(near: np.ndarray, i: np.ndarray, j: np.ndarray, same: bool) -> tuple
     return i[p], j[q]
 
 
-def _screened(least: float, bits: int, tables: int):
-    """Vectors of a bucket that have a pair to recompute, from codes, factors and coarse bytes."""
+def _keys(rows: pd.DataFrame, least: float) -> np.ndarray:
+    """The keys of a bucket's vectors, whose label has one plan."""
+    bits = int(rows["bits"].iloc[0])
+    if not bits:
+        return np.zeros((len(rows), 1), dtype=np.int64)
+    return unpacked_keys(_bytes(rows["known"], np.uint8), bits, tables_of(bits, least))
+
+
+def _screened(least: float):
+    """Vectors of a bucket that have a pair to recompute, from their coarse bytes, whose sign bits
+    are the codes, and factors."""
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         size, table, low, high = int(key[1]), int(key[3]), int(key[4]), int(key[5])
-        block = rows["block"].to_numpy()
-        signs = np.unpackbits(_bytes(rows["code"], np.uint8), axis=1)[:, :size].astype(bool)
-        factors, steps = rows["factor"].to_numpy(), rows["step"].to_numpy()
-        turned = restored(_bytes(rows["middles"], np.int8), steps)
-        keys = unpacked_keys(_bytes(rows["known"], np.uint8), bits, tables) if bits else np.zeros((len(rows), 1))
+        block, factors, steps = (rows[c].to_numpy() for c in ("block", "factor", "step"))
+        middles, keys = _bytes(rows["middles"], np.int8), _keys(rows, least)
+        signs, turned = middles >= 0, restored(middles, steps)
         slack = bounds(factors, size, least)
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         wanted = np.zeros(len(rows), dtype=bool)
@@ -182,7 +196,7 @@ def _screened(least: float, bits: int, tables: int):
     return group
 
 
-def _compared(least: float, bits: int, tables: int):
+def _compared(least: float):
     """Links among the vectors of a bucket that were screened, from the vectors themselves."""
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +207,7 @@ def _compared(least: float, bits: int, tables: int):
         size = x.shape[1]
         signs, factors = encode(x)
         copies, exact = rows["copies"].to_numpy(), np.zeros(len(rows))
-        keys = unpacked_keys(_bytes(rows["known"], np.uint8), bits, tables) if bits else np.zeros((len(rows), 1))
+        keys = _keys(rows, least)
         slack, turned = bounds(factors, size, least), x @ rotation(size, 0).T
         parent = np.arange(len(rows))
         count = np.zeros(len(rows), dtype=np.int64)
@@ -240,15 +254,15 @@ def near_vectors(
 
     Equal vectors are merged first and count with their number of copies.  A vector is dealt
     into one bucket per table by the signs of a few random projections; the number of bits
-    follows the largest label, the number of tables makes a pair at ``least`` meet with a
+    follows the size of its label, the number of tables makes a pair at ``least`` meet with a
     probability of 1 - MISS (closer pairs more surely).  In a bucket, one-bit codes of rotated
     vectors with their correction factors estimate all inner products without bias, and only
     pairs whose confidence bounds, from both ends, reach ``least`` are recomputed from the
-    vectors.  What is dealt once per table is a vector's code, factor, keys and its rotated
-    components in a byte each, whose rounding widens the bounds; full vectors follow only to the
-    buckets where they have a pair to recompute.  Large buckets are split into blocks that meet
-    pairwise in tasks of their own.  Tasks return numbers of links and one local root per vector,
-    never pairs.
+    vectors.  What is dealt once per table is a vector's factor, keys and its rotated components
+    in a byte each, whose sign bits are the code and whose rounding widens the bounds; full vectors
+    follow only to the buckets where they have a pair to recompute.  Large buckets are split into
+    blocks that meet pairwise in tasks of their own.  Tasks return numbers of links and one local
+    root per vector, never pairs.
     """
     finite = F.forall(F.col(embedding), lambda v: v.isNotNull() & ~F.isnan(v) & (
         F.abs(v) < float("inf")))
@@ -261,19 +275,21 @@ def near_vectors(
     classes = staged(rows.where("usable").groupBy("label", "vector").agg(
         F.min("id").alias("id"), F.count("*").alias("copies")
     ).select("label", "id", "copies", "vector", F.monotonically_increasing_id().alias("place")), "vectors")
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = plan(most, least)
     kinds = dict(classes.dtypes)
-    shape = ", ".join(f"{name} {kind}" for name, kind in classes.dtypes)
-    coded = staged(classes.mapInArrow(
-        _coded(bits, tables), f"{shape}, size bigint, code binary, factor double, middles binary, "
-        "step double, known binary, keys array<bigint>"), "codes")
+    # a label of few vectors has few tables; one that stands alone meets nothing
+    labels = staged(classes.groupBy("label").agg(F.count("*").alias("n")).where("n > 1"), "labels")
+    counted = classes.join(small(labels), "label").select(*classes.columns, "n")
+    shape = ", ".join(f"{name} {kind}" for name, kind in counted.dtypes)
+    coded = staged(counted.mapInArrow(
+        _coded(least), f"{shape}, size bigint, bits int, factor double, step double, middles binary, "
+        "known binary, keys array<bigint>"), "codes")
     met = ["label", "size", "bucket", "table", "low", "high"]
-    dealt = coded.select("label", "size", "place", "code", "factor", "middles", "step", "known",
+    dealt = coded.select("label", "size", "place", "bits", "factor", "step", "middles", "known",
                          F.posexplode("keys").alias("table", "bucket"))
-    sizes = dealt.groupBy("label", "size", "table", "bucket").count().where("count > 1").withColumn(
-        "blocks", F.ceil(F.col("count") / BLOCK)).drop("count")
-    blocks = dealt.join(sizes, ["label", "size", "table", "bucket"])
+    crowded = staged(dealt.groupBy("label", "size", "table", "bucket").count().where(
+        F.col("count") > BLOCK).select(
+        "label", "size", "table", "bucket", F.ceil(F.col("count") / BLOCK).alias("blocks")), "crowded")
+    blocks = dealt.join(small(crowded), ["label", "size", "table", "bucket"], "left").fillna(1, "blocks")
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")))
     meets = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
@@ -283,11 +299,11 @@ def near_vectors(
         "*", F.col("meet.low").alias("low"), F.col("meet.high").alias("high")).drop("meet", "blocks")
     # dealt by all six columns, or a crowded bucket's blocks would stay in one task
     screened = staged(blocks.repartition(*met).groupBy(*met).applyInPandas(
-        _screened(least, bits, tables), f"label {kinds['label']}, size bigint, bucket bigint, table int, "
+        _screened(least), f"label {kinds['label']}, size bigint, bucket bigint, table int, "
         "low bigint, high bigint, place bigint, block bigint"), "screened")
-    full = coded.select("place", "id", "copies", "vector", "known")
+    full = coded.select("place", "id", "copies", "vector", "bits", "known")
     found = staged(screened.join(full, "place").repartition(*met).groupBy(*met).applyInPandas(
-        _compared(least, bits, tables), f"id {kinds['id']}, root {kinds['id']}, links bigint"), "links")
+        _compared(least), f"id {kinds['id']}, root {kinds['id']}, links bigint"), "links")
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.join(links, "id", "left").join(parts, "id", "left").select(
