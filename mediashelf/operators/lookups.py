@@ -1,4 +1,4 @@
-"""Joins from wide facts to unique keys, safe when one key holds much of the fact."""
+"""Joins from wide facts to unique keys."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql.types import StringType
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 COLUMN_BYTES = 16
-HOT_KEYS_PER_PARTITION = 4
 
 
 def plain_bytes(rows: int, columns: int) -> int:
@@ -24,40 +23,17 @@ def size_of(frame: DataFrame) -> int:
     return plain_bytes(row["_rows"], len(frame.columns)) + sum(row[c] for c in texts)
 
 
-def hot_keys(fact: DataFrame, on: list[str]) -> DataFrame:
-    """Keys that hold more than their fair part of the fact, as a small local table.
-
-    At most ``HOT_KEYS_PER_PARTITION * shuffle partitions`` keys can exceed the bound, so
-    what reaches the driver is bounded whatever the size of the fact.
-    """
-    spark = fact.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * HOT_KEYS_PER_PARTITION
-    counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = fact.count()
-    rows = counts.filter(F.col("n") > total / parts).select(*on).collect()
-    return spark.createDataFrame(rows, fact.select(*on).schema)
-
-
 def lookup_join(
     fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", dim_bytes: int | None = None,
 ) -> DataFrame:
     """Joins ``fact`` to ``dim``, whose ``on`` columns are unique and never null in the fact.
 
     A dimension measured at no more than ``BROADCAST_BYTES`` is broadcast.  A larger one is
-    joined by shuffle, except for the hot keys: their few dimension rows are broadcast and
-    their fact rows stay where they are.
+    joined by shuffle, where adaptive execution splits the partitions of hot keys: the unique
+    side of such a key is one row, which every split reads.
     """
     size = size_of(dim) if dim_bytes is None else dim_bytes
-    if size <= BROADCAST_BYTES:
-        return fact.join(F.broadcast(dim), on, how)
-    hot = hot_keys(fact, on)
-    if hot.isEmpty():
-        return fact.join(dim, on, how)
-    hot = F.broadcast(hot)
-    hot_part = fact.join(hot, on, "left_semi").join(
-        F.broadcast(dim.join(hot, on, "left_semi")), on, how)
-    cold_part = fact.join(hot, on, "left_anti").join(dim.join(hot, on, "left_anti"), on, how)
-    return hot_part.unionByName(cold_part)
+    return fact.join(F.broadcast(dim) if size <= BROADCAST_BYTES else dim, on, how)
 
 
 def missing_keys(fact: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:

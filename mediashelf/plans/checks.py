@@ -9,7 +9,7 @@ from mediashelf.operators import audit
 from mediashelf.schemas import (
     FOREIGN_KEYS, LENGTH_BOUNDS, NAME_LENGTH_BOUNDS, REQUIRED_COLUMNS, UNIQUE_KEYS,
 )
-from mediashelf.sources.store import Store
+from mediashelf.sources.tables import Store
 
 
 def _report(frame: DataFrame, check: str, table: str, column, violations) -> DataFrame:
@@ -20,10 +20,10 @@ def _report(frame: DataFrame, check: str, table: str, column, violations) -> Dat
 
 def uniqueness(store: Store) -> DataFrame:
     """Key values held by more than one row."""
-    manifest, parts = store.manifest(), []
+    parts = []
     for table, keys in UNIQUE_KEYS.items():
         for key in keys:
-            repeated = audit.duplicate_keys(store.read(table, manifest=manifest), key)
+            repeated = audit.duplicate_keys(store.read(table), key)
             total = repeated.agg(F.count(F.lit(1)).alias("n"))
             parts.append(_report(total, "unique", table, F.lit(", ".join(key)), F.col("n")))
     return audit.union_all(parts)
@@ -31,10 +31,10 @@ def uniqueness(store: Store) -> DataFrame:
 
 def references(store: Store) -> DataFrame:
     """Rows that refer to nothing."""
-    manifest, parts = store.manifest(), []
+    parts = []
     for table, column, parent, key in FOREIGN_KEYS:
         lost = audit.orphans(
-            store.read(table, manifest=manifest), column, store.read(parent, manifest=manifest), key)
+            store.read(table), column, store.read(parent), key)
         total = lost.agg(F.sum("n_rows").alias("n"))
         parts.append(_report(total, "reference", table, F.lit(column), F.col("n")))
     return audit.union_all(parts)
@@ -42,21 +42,19 @@ def references(store: Store) -> DataFrame:
 
 def required(store: Store) -> DataFrame:
     """Nulls in columns that may not be null."""
-    manifest = store.manifest()
     return audit.union_all([
-        _report(audit.null_counts(store.read(table, manifest=manifest), columns),
+        _report(audit.null_counts(store.read(table), columns),
                 "required", table, F.col("column_name"), F.col("n_nulls"))
         for table, columns in REQUIRED_COLUMNS.items()])
 
 
 def lengths(store: Store) -> DataFrame:
     """Texts longer than their bound; they are reported, not rejected."""
-    manifest = store.manifest()
     parts = [
-        _report(audit.too_long(store.read(table, manifest=manifest), bounds),
+        _report(audit.too_long(store.read(table), bounds),
                 "length", table, F.col("column_name"), F.col("n_too_long"))
         for table, bounds in LENGTH_BOUNDS.items()]
-    names = store.read("name", manifest=manifest)
+    names = store.read("name")
     kinds = [
         F.when(F.col("kind") == kind, F.col("name")).alias(kind) for kind in NAME_LENGTH_BOUNDS]
     by_kind = audit.too_long(names.select(*kinds), NAME_LENGTH_BOUNDS)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
@@ -22,85 +24,70 @@ from mediashelf.operators.keys import assign_keys
 from mediashelf.operators.lookups import lookup_join, missing_keys, names_of, plain_bytes
 from mediashelf.schemas import TABLES
 from mediashelf.sources.requests import media_messages
-from mediashelf.sources.store import Commit, Store, VersionConflict
+from mediashelf.sources.tables import Batch, Store
 
 MEDIA_STREAM, LIST_STREAM = "media", "lists"
-ATTEMPTS = 5
 ENTRY_ATTRIBUTES = ["date_start", "date_end", "score", "status_id"]
 STAFF_NAMES = ["first_name", "last_name", "full_name", "native_name"]
 
 
-def _together(commit: Commit, *steps: Callable[[], None]) -> None:
+def _together(batch: Batch, *steps: Callable[[], None]) -> None:
     """Runs independent steps at the same time; the first failure is raised."""
-    target = inheritable_thread_target(commit.spark)
+    target = inheritable_thread_target(batch.spark)
     with ThreadPoolExecutor(len(steps)) as pool:
         for done in [pool.submit(target(step)) for step in steps]:
             done.result()
 
 
-def _retrying(store: Store, stream: str, batch_id: int | None, work, attempts: int) -> bool:
-    """Publishes one batch; false if it was published before.
+def _applied(store: Store, stream: str, batch_id: int | None, work: Callable[[Batch], None]) -> bool:
+    """Applies one batch; false if it was applied before.
 
-    When another application publishes in between, the batch is computed again on top of
-    that version.
+    A batch that fails is done again from the start: every step leaves what it finds done.
     """
     with store.turn():
-        return _attempts(store, stream, batch_id, work, attempts)
-
-
-def _attempts(store: Store, stream: str, batch_id: int | None, work, attempts: int) -> bool:
-    for attempt in range(attempts):
-        base = store.manifest()
-        if batch_id is not None and base.batches.get(stream, -1) >= batch_id:
+        if batch_id is not None and store.last_batch(stream) >= batch_id:
             return False
-        commit = Commit(store, base)
+        batch = Batch(store)
         try:
-            work(commit)
-            commit.publish(stream if batch_id is not None else None, batch_id)
-        except VersionConflict:
-            commit.abandon()
-            if attempt == attempts - 1:
-                raise
-        except Exception:
-            commit.abandon()
-            raise
-        else:
-            commit.drop_stage()
-            return True
-    return False
-
-
-def _against(commit: Commit, name: str, incoming: DataFrame) -> tuple[DataFrame, list[int]]:
+            work(batch)
+        finally:
+            batch.drop_stage()
+        if batch_id is not None:
+            store.batch_applied(stream, batch_id)
+        return True
+
+
+def _against(batch: Batch, name: str, incoming: DataFrame) -> tuple[DataFrame, list[int]]:
     """Incoming rows, written once, and the buckets of a table that they fall in."""
-    incoming = commit.stage(incoming, f"incoming-{name}")
-    return incoming, commit.touched(name, incoming)
+    incoming = batch.stage(incoming, f"incoming-{name}")
+    return incoming, batch.touched(name, incoming)
 
 
-def _absent(commit: Commit, name: str, incoming: DataFrame, key: list[str]) -> DataFrame:
-    incoming, buckets = _against(commit, name, incoming)
-    return commit.stage(absent(incoming, commit.read(name, buckets), key), f"new-{name}")
+def _absent(batch: Batch, name: str, incoming: DataFrame, key: list[str]) -> DataFrame:
+    incoming, buckets = _against(batch, name, incoming)
+    return batch.stage(absent(incoming, batch.read(name, buckets), key), f"new-{name}")
 
 
-def _insert_absent(commit: Commit, name: str, incoming: DataFrame, key: list[str]) -> None:
+def _insert_absent(batch: Batch, name: str, incoming: DataFrame, key: list[str]) -> None:
     """Appends rows whose key is not stored, with new surrogate keys."""
     table = TABLES[name]
-    new = _absent(commit, name, incoming, key)
+    new = _absent(batch, name, incoming, key)
     if not new.isEmpty():
-        commit.append(name, assign_keys(new, key, table.surrogate, commit.state(name).max_id))
+        batch.append(name, assign_keys(new, key, table.surrogate, batch.max_id(name)))
 
 
-def _overwrite(commit: Commit, name: str, incoming: DataFrame, key: str) -> None:
+def _overwrite(batch: Batch, name: str, incoming: DataFrame, key: str) -> None:
     """Overwrites rows whose attributes differ and adds new ones; surrogates stay."""
     table = TABLES[name]
-    incoming, buckets = _against(commit, name, incoming)
-    merged = overwrite(commit.read(name, buckets), incoming, key, table.surrogate)
-    merged = commit.stage(merged, f"merged-{name}")
+    incoming, buckets = _against(batch, name, incoming)
+    merged = overwrite(batch.read(name, buckets), incoming, key, table.surrogate)
+    merged = batch.stage(merged, f"merged-{name}")
     if merged.filter("changed").isEmpty():
         return
     kept = merged.filter(F.col(table.surrogate).isNotNull())
     new = merged.filter(F.col(table.surrogate).isNull()).drop(table.surrogate)
-    numbered = assign_keys(new, [key], table.surrogate, commit.state(name).max_id)
-    commit.replace(name, kept.unionByName(numbered).drop("changed"), buckets)
+    numbered = assign_keys(new, [key], table.surrogate, batch.max_id(name))
+    batch.replace(name, kept.unionByName(numbered).drop("changed"), buckets)
 
 
 @dataclass
@@ -112,67 +99,67 @@ class Scope:
     buckets: list[int]
 
 
-def _scope(commit: Commit, keys: DataFrame, key: str, label: str) -> Scope:
-    keys = commit.stage(keys, label)
-    return Scope(keys, keys.count(), commit.buckets_with(keys, key))
+def _scope(batch: Batch, keys: DataFrame, key: str, label: str) -> Scope:
+    keys = batch.stage(keys, label)
+    return Scope(keys, keys.count(), batch.buckets_with(keys, key))
 
 
-def _relink(commit: Commit, name: str, incoming: DataFrame, scope: Scope, keys: list[str],
+def _relink(batch: Batch, name: str, incoming: DataFrame, scope: Scope, keys: list[str],
             payload: list[str] = ()) -> None:
     """Makes the stored rows of the scope equal to the incoming ones."""
     table = TABLES[name]
     scope_key = table.bucket_by
-    if commit.state(name).rows == 0:
+    if batch.read(name).isEmpty():
         first_load = incoming.select(scope_key, *keys, *payload).distinct()
-        _write_links(commit, name, first_load, keys, [])
+        _write_links(batch, name, first_load, keys, [])
         return
     retained = [table.surrogate] if table.surrogate else []
     diff = two_way_diff(
-        commit.read(name, scope.buckets), incoming, scope.keys, scope_key, keys, payload,
+        batch.read(name, scope.buckets), incoming, scope.keys, scope_key, keys, payload,
         retained, scope.rows)
-    diff = commit.stage(diff, f"diff-{name}")
+    diff = batch.stage(diff, f"diff-{name}")
     # equal sets need no write: only buckets with a row to insert, update or delete are replaced
-    changed = commit.touched_any(name, changes(diff))
+    changed = batch.touched(name, changes(diff))
     if changed:
-        inside = diff.filter(commit.row_bucket(name).isin(changed))
-        _write_links(commit, name, after_diff(inside), keys, changed)
+        inside = diff.filter(batch.row_bucket(name).isin(changed))
+        _write_links(batch, name, after_diff(inside), keys, changed)
 
 
-def _write_links(commit: Commit, name: str, rows: DataFrame, keys: list[str],
+def _write_links(batch: Batch, name: str, rows: DataFrame, keys: list[str],
                  buckets: list[int]) -> None:
     table = TABLES[name]
     if table.surrogate:
-        rows = commit.stage(rows, f"links-{name}")
+        rows = batch.stage(rows, f"links-{name}")
         fresh = rows
         if buckets:
             kept = rows.filter(F.col(table.surrogate).isNotNull())
             fresh = rows.filter(F.col(table.surrogate).isNull()).drop(table.surrogate)
         numbered = assign_keys(
-            fresh, [table.bucket_by, *keys], table.surrogate, commit.state(name).max_id)
+            fresh, [table.bucket_by, *keys], table.surrogate, batch.max_id(name))
         rows = kept.unionByName(numbered) if buckets else numbered
-    commit.replace(name, rows, buckets)
+    batch.replace(name, rows, buckets)
 
 
-def _insert_names(commit: Commit, pairs: DataFrame) -> None:
-    _insert_absent(commit, "name", pairs.distinct(), ["kind", "name"])
+def _insert_names(batch: Batch, pairs: DataFrame) -> None:
+    _insert_absent(batch, "name", pairs.distinct(), ["kind", "name"])
 
 
-def _resolve_name(commit: Commit, frame: DataFrame, kind: str, column: str,
+def _resolve_name(batch: Batch, frame: DataFrame, kind: str, column: str,
                   id_column: str) -> DataFrame:
     """Replaces a name column by the id of that name."""
-    names = names_of(commit.read("name"), kind, id_column, column)
-    return lookup_join(frame, names, [column], dim_bytes=commit.size("name")).drop(column)
+    names = names_of(batch.read("name"), kind, id_column, column)
+    return lookup_join(frame, names, [column], dim_bytes=batch.size("name")).drop(column)
 
 
-def _resolve_id(commit: Commit, frame: DataFrame, name: str, key: str, how: str = "inner",
+def _resolve_id(batch: Batch, frame: DataFrame, name: str, key: str, how: str = "inner",
                 keep: bool = False) -> DataFrame:
     """Replaces an external id column by the surrogate key of a dimension.
 
     ``frame`` is written; only the buckets its keys fall in are read.
     """
-    buckets = commit.touched(name, frame)
-    ids = commit.read(name, buckets).select(key, TABLES[name].surrogate)
-    size = plain_bytes(commit.state(name).rows_in(buckets), 2)
+    buckets = batch.touched(name, frame)
+    ids = batch.read(name, buckets).select(key, TABLES[name].surrogate)
+    size = plain_bytes(batch.rows(name, buckets), 2)
     joined = lookup_join(frame, ids, [key], how, size)
     return joined if keep else joined.drop(key)
 
@@ -191,76 +178,80 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def reconcile_media(store: Store, docs: DataFrame, batch_id: int | None = None,
-                    stream: str = MEDIA_STREAM, attempts: int = ATTEMPTS) -> bool:
-    """Applies ``(seq, value)`` media documents in order, as one version.
+                    stream: str = MEDIA_STREAM) -> bool:
+    """Applies ``(seq, value)`` media documents in order; false if the batch was applied before.
 
     ``arrived``, if there is such a column, comes before ``seq``; documents equal in both are
     taken in the order they stand in the batch.
     """
-    return _retrying(store, stream, batch_id, lambda commit: _apply_media(commit, docs), attempts)
+    return _applied(store, stream, batch_id, lambda batch: _apply_media(batch, docs))
 
 
-def _apply_media(commit: Commit, docs: DataFrame) -> None:
-    parsed = commit.stage(docs_op.parse_media(in_order(docs)), "media")
+def _apply_media(batch: Batch, docs: DataFrame) -> None:
+    parsed = batch.stage(docs_op.parse_media(in_order(docs)), "media")
     valid = docs_op.valid_documents(parsed)
     scopes = []
     _together(
-        commit,
-        lambda: _quarantine(commit, parsed, MEDIA_STREAM),
-        lambda: _studios(commit, valid),
-        lambda: _staff(commit, valid),
-        lambda: scopes.append(_named_media(commit, valid)),
+        batch,
+        lambda: _quarantine(batch, parsed, MEDIA_STREAM),
+        lambda: _studios(batch, valid),
+        lambda: _staff(batch, valid),
+        lambda: scopes.append(_named_media(batch, valid)),
     )
     scope = scopes[0]
-    _media_links(commit, valid, scope)
-    _link_pending(commit, scope)
+    _media_links(batch, valid, scope)
+    _link_pending(batch, scope)
 
 
-def _quarantine(commit: Commit, parsed: DataFrame, stream: str) -> None:
+def _quarantine(batch: Batch, parsed: DataFrame, stream: str) -> None:
     bad = docs_op.quarantined(parsed, stream)
     if not bad.isEmpty():
-        commit.append("quarantine", bad.withColumn("seq", F.col("seq.number")))
+        bad = batch.stage(bad.withColumn("seq", F.col("seq.number")), "quarantine")
+        stored = batch.read("quarantine", batch.touched("quarantine", bad)).alias("s")
+        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in bad.columns]
+        new = bad.alias("b").join(stored, reduce(and_, same), "left_anti")
+        batch.append("quarantine", new)
 
 
-def _studios(commit: Commit, valid: DataFrame) -> None:
+def _studios(batch: Batch, valid: DataFrame) -> None:
     rows = flatten.studio_rows(valid, ["seq"])
-    _insert_absent(commit, "studio", first_seen(rows, "ext_studio_id", ["name"]), ["ext_studio_id"])
+    _insert_absent(batch, "studio", first_seen(rows, "ext_studio_id", ["name"]), ["ext_studio_id"])
 
 
-def _staff(commit: Commit, valid: DataFrame) -> None:
+def _staff(batch: Batch, valid: DataFrame) -> None:
     rows = flatten.staff_rows(valid, ["seq"])
-    _overwrite(commit, "staff", last_seen(rows, "ext_staff_id", STAFF_NAMES), "ext_staff_id")
+    _overwrite(batch, "staff", last_seen(rows, "ext_staff_id", STAFF_NAMES), "ext_staff_id")
 
 
-def _named_media(commit: Commit, valid: DataFrame) -> Scope:
+def _named_media(batch: Batch, valid: DataFrame) -> Scope:
     """Names, then the tags and media that refer to them; returns the media of the batch."""
-    new_tags = _new_tags(commit, valid)
-    _media_names(commit, valid, new_tags)
+    new_tags = _new_tags(batch, valid)
+    _media_names(batch, valid, new_tags)
     scopes = []
 
     def tags() -> None:
         if not new_tags.isEmpty():
-            numbered = assign_keys(new_tags, ["ext_tag_id"], "tag_id", commit.state("tag").max_id)
-            commit.append(
-                "tag", _resolve_name(commit, numbered, "tagcategory", "category", "category_id"))
+            numbered = assign_keys(new_tags, ["ext_tag_id"], "tag_id", batch.max_id("tag"))
+            batch.append(
+                "tag", _resolve_name(batch, numbered, "tagcategory", "category", "category_id"))
 
     def media() -> None:
-        marks = commit.stage(docs_op.latest_marks(valid, "ext_media_id"), "media-marks")
-        _media_rows(commit, docs_op.latest_documents(valid, "ext_media_id", marks))
-        keys = _resolve_id(commit, marks, "media", "ext_media_id", keep=True)
-        scopes.append(_scope(commit, keys, "media_id", "media-scope"))
+        marks = batch.stage(docs_op.latest_marks(valid, "ext_media_id"), "media-marks")
+        _media_rows(batch, docs_op.latest_documents(valid, "ext_media_id", marks))
+        keys = _resolve_id(batch, marks, "media", "ext_media_id", keep=True)
+        scopes.append(_scope(batch, keys, "media_id", "media-scope"))
 
-    _together(commit, tags, media)
+    _together(batch, tags, media)
     return scopes[0]
 
 
-def _new_tags(commit: Commit, valid: DataFrame) -> DataFrame:
+def _new_tags(batch: Batch, valid: DataFrame) -> DataFrame:
     rows = flatten.tag_rows(valid, ["seq"])
     tags = first_seen(rows, "ext_tag_id", ["name", "category"])
-    return _absent(commit, "tag", tags, ["ext_tag_id"])
+    return _absent(batch, "tag", tags, ["ext_tag_id"])
 
 
-def _media_names(commit: Commit, valid: DataFrame, new_tags: DataFrame) -> None:
+def _media_names(batch: Batch, valid: DataFrame, new_tags: DataFrame) -> None:
     """Names of every valid document, and categories of tags not known before."""
     own = [("mediatype", "media_type"), ("format", "format"), ("source", "source"),
            ("status", "status")]
@@ -271,10 +262,10 @@ def _media_names(commit: Commit, valid: DataFrame, new_tags: DataFrame) -> None:
     names = valid.select(F.explode(pairs).alias("pair")).select("pair.*")
     categories = new_tags.select(
         F.lit("tagcategory").alias("kind"), F.col("category").alias("name"))
-    _insert_names(commit, names.unionByName(categories))
+    _insert_names(batch, names.unionByName(categories))
 
 
-def _media_rows(commit: Commit, latest: DataFrame) -> None:
+def _media_rows(batch: Batch, latest: DataFrame) -> None:
     rows = latest.select(
         "ext_media_id", "title", "date_start", "date_end", "episodes", "duration", "chapters",
         "volumes", "format", "source", "status", "media_type")
@@ -282,15 +273,15 @@ def _media_rows(commit: Commit, latest: DataFrame) -> None:
         ("format", "format", "format_id"), ("source", "source", "source_id"),
         ("status", "status", "status_id"), ("mediatype", "media_type", "media_type_id"),
     ]:
-        rows = _resolve_name(commit, rows, kind, column, id_column)
-    _overwrite(commit, "media", rows, "ext_media_id")
+        rows = _resolve_name(batch, rows, kind, column, id_column)
+    _overwrite(batch, "media", rows, "ext_media_id")
 
 
-def _media_links(commit: Commit, valid: DataFrame, scope: Scope) -> None:
+def _media_links(batch: Batch, valid: DataFrame, scope: Scope) -> None:
     """The five relations of the last documents; the scope is documents, not their links."""
 
     columns = ["genres", "tags", "studios", "staff", "names"]
-    last = commit.stage(
+    last = batch.stage(
         valid.select("ext_media_id", "seq", *columns).join(scope.keys, ["ext_media_id", "seq"])
         .select("media_id", *columns), "last-documents")
 
@@ -299,48 +290,50 @@ def _media_links(commit: Commit, valid: DataFrame, scope: Scope) -> None:
 
     def genres() -> None:
         rows = flatten.genre_rows(linked("genres"), ["media_id"])
-        rows = _resolve_name(commit, rows, "genre", "genre", "genre_id")
-        _relink(commit, "genre_link", rows, scope, ["genre_id"])
+        rows = _resolve_name(batch, rows, "genre", "genre", "genre_id")
+        _relink(batch, "genre_link", rows, scope, ["genre_id"])
 
     def tags() -> None:
         rows = flatten.tag_rows(linked("tags"), ["media_id"]).select("media_id", "ext_tag_id")
-        _relink(commit, "tag_link", _resolve_id(commit, rows, "tag", "ext_tag_id"), scope, ["tag_id"])
+        _relink(batch, "tag_link", _resolve_id(batch, rows, "tag", "ext_tag_id"), scope, ["tag_id"])
 
     def studios() -> None:
         rows = flatten.studio_rows(linked("studios"), ["media_id"]).drop("name")
-        _relink(commit, "studio_link", _resolve_id(commit, rows, "studio", "ext_studio_id"),
+        _relink(batch, "studio_link", _resolve_id(batch, rows, "studio", "ext_studio_id"),
                 scope, ["studio_id"], ["is_main"])
 
     def staff() -> None:
         rows = flatten.staff_rows(linked("staff"), ["media_id"])
         rows = rows.select("media_id", "ext_staff_id", "role")
-        _relink(commit, "staff_link", _resolve_id(commit, rows, "staff", "ext_staff_id"),
+        _relink(batch, "staff_link", _resolve_id(batch, rows, "staff", "ext_staff_id"),
                 scope, ["staff_id", "role"])
 
     def names() -> None:
         rows = flatten.title_name_rows(linked("names"), ["media_id"])
-        rows = _resolve_name(commit, rows, "nametype", "kind", "name_type_id")
-        _relink(commit, "media_name", rows, scope, ["name_type_id", "name"])
+        rows = _resolve_name(batch, rows, "nametype", "kind", "name_type_id")
+        _relink(batch, "media_name", rows, scope, ["name_type_id", "name"])
 
-    _together(commit, genres, tags, studios, staff, names)
+    _together(batch, genres, tags, studios, staff, names)
 
 
-def _link_pending(commit: Commit, scope: Scope) -> None:
+def _link_pending(batch: Batch, scope: Scope) -> None:
     """Moves list entries that waited for a media which has now arrived."""
-    if commit.state("pending_entry").rows == 0:
+    if batch.read("pending_entry").isEmpty():
         return
     arrived = scope.keys.select("ext_media_id", "media_id")
     found = lookup_join(
-        commit.read("pending_entry"), arrived, ["ext_media_id"],
+        batch.read("pending_entry"), arrived, ["ext_media_id"],
         dim_bytes=plain_bytes(scope.rows, 2))
-    found = commit.stage(found, "found-pending")
+    found = batch.stage(found, "found-pending")
     if found.isEmpty():
         return
-    commit.append("list_entry", found.drop("ext_media_id"))
-    buckets = commit.touched("pending_entry", found)
-    left = commit.read("pending_entry", buckets).join(
+    # a batch done again finds entries that it linked before it could take them off the waiting ones
+    linked = batch.read("list_entry", batch.touched("list_entry", found))
+    batch.append("list_entry", absent(found, linked, ["viewer_id", "media_id"]))
+    buckets = batch.touched("pending_entry", found)
+    left = batch.read("pending_entry", buckets).join(
         found.select("viewer_id", "ext_media_id"), ["viewer_id", "ext_media_id"], "left_anti")
-    commit.replace("pending_entry", left, buckets)
+    batch.replace("pending_entry", batch.stage(left, "left-pending"), buckets)
 
 
 # -- lists -------------------------------------------------------------------------
@@ -348,74 +341,68 @@ def _link_pending(commit: Commit, scope: Scope) -> None:
 
 def reconcile_lists(store: Store, docs: DataFrame, batch_id: int | None = None,
                     stream: str = LIST_STREAM,
-                    fetch_media: Callable[[DataFrame], DataFrame] | None = None,
-                    attempts: int = ATTEMPTS) -> bool:
-    """Applies ``(seq, value)`` list documents in order, as one version.
+                    fetch_media: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+    """Applies ``(seq, value)`` list documents in order; false if the batch was applied before.
 
     Entries of unknown media wait in ``pending_entry`` until a media batch brings them.
     With ``fetch_media`` (ids in, ``id, data`` out) they are fetched and reconciled first; a
-    batch that was published before is neither parsed nor fetched again, and what was fetched
+    batch that was applied before is neither parsed nor fetched again, and what was fetched
     is written before it is used.
     """
-    with store.turn():
-        base = store.manifest()
-        if batch_id is not None and base.batches.get(stream, -1) >= batch_id:
-            return False
-        reading = Commit(store, base)
-        try:
-            parsed = reading.stage(docs_op.parse_lists(in_order(docs)), "lists")
-            if fetch_media is not None:
-                _fetch_unknown(store, reading, parsed, fetch_media, attempts)
-            return _retrying(
-                store, stream, batch_id, lambda commit: _apply_lists(commit, parsed), attempts)
-        finally:
-            reading.drop_stage()
+
+    def work(batch: Batch) -> None:
+        parsed = batch.stage(docs_op.parse_lists(in_order(docs)), "lists")
+        if fetch_media is not None:
+            _fetch_unknown(store, batch, parsed, fetch_media)
+        _apply_lists(batch, parsed)
+
+    return _applied(store, stream, batch_id, work)
 
 
-def _fetch_unknown(store: Store, reading: Commit, parsed: DataFrame,
-                   fetch_media: Callable[[DataFrame], DataFrame], attempts: int) -> None:
+def _fetch_unknown(store: Store, batch: Batch, parsed: DataFrame,
+                   fetch_media: Callable[[DataFrame], DataFrame]) -> None:
     entries = flatten.entry_rows(docs_op.valid_documents(parsed), [])
-    wanted = reading.stage(entries.select("ext_media_id").distinct(), "wanted")
-    known = reading.read("media", reading.touched("media", wanted))
+    wanted = batch.stage(entries.select("ext_media_id").distinct(), "wanted")
+    known = batch.read("media", batch.touched("media", wanted))
     unknown = missing_keys(wanted, known, ["ext_media_id"])
     fetched = fetch_media(unknown.select(F.col("ext_media_id").alias("id")))
-    fetched = reading.stage(media_messages(fetched), "fetched")
+    fetched = batch.stage(media_messages(fetched), "fetched")
     if not fetched.isEmpty():
-        reconcile_media(store, fetched, attempts=attempts)
+        reconcile_media(store, fetched)
 
 
-def _apply_lists(commit: Commit, parsed: DataFrame) -> None:
+def _apply_lists(batch: Batch, parsed: DataFrame) -> None:
     valid = docs_op.valid_documents(parsed)
     scopes = []
 
     def viewers() -> None:
         _insert_absent(
-            commit, "viewer", valid.select("ext_user_id").distinct(), ["ext_user_id"])
-        marks = commit.stage(docs_op.latest_marks(valid, "ext_user_id"), "viewer-marks")
-        keys = _resolve_id(commit, marks, "viewer", "ext_user_id", keep=True)
-        scopes.append(_scope(commit, keys, "viewer_id", "list-scope"))
+            batch, "viewer", valid.select("ext_user_id").distinct(), ["ext_user_id"])
+        marks = batch.stage(docs_op.latest_marks(valid, "ext_user_id"), "viewer-marks")
+        keys = _resolve_id(batch, marks, "viewer", "ext_user_id", keep=True)
+        scopes.append(_scope(batch, keys, "viewer_id", "list-scope"))
 
     def statuses() -> None:
         status = F.explode(F.array_distinct(F.transform("entries", lambda e: e["status"])))
-        _insert_names(commit, valid.select(F.lit("watchstatus").alias("kind"), status.alias("name")))
+        _insert_names(batch, valid.select(F.lit("watchstatus").alias("kind"), status.alias("name")))
 
-    _together(commit, lambda: _quarantine(commit, parsed, LIST_STREAM), viewers, statuses)
+    _together(batch, lambda: _quarantine(batch, parsed, LIST_STREAM), viewers, statuses)
     scope = scopes[0]
     latest = valid.join(scope.keys, ["ext_user_id", "seq"]).select("viewer_id", "entries")
     rows = _resolve_name(
-        commit, flatten.entry_rows(latest, ["viewer_id"]), "watchstatus", "status", "status_id")
+        batch, flatten.entry_rows(latest, ["viewer_id"]), "watchstatus", "status", "status_id")
     entries = flatten.collapse_entries(
         rows, ["viewer_id", "ext_media_id"], ["pos"], ENTRY_ATTRIBUTES)
-    entries = commit.stage(entries, "entries")
-    entries = commit.stage(
-        _resolve_id(commit, entries, "media", "ext_media_id", "left", keep=True), "entries-media")
+    entries = batch.stage(entries, "entries")
+    entries = batch.stage(
+        _resolve_id(batch, entries, "media", "ext_media_id", "left", keep=True), "entries-media")
     known = F.col("media_id").isNotNull()
     payload = [*ENTRY_ATTRIBUTES, "progress", "rewatched"]
     _together(
-        commit,
-        lambda: _relink(commit, "list_entry", entries.filter(known).drop("ext_media_id"),
+        batch,
+        lambda: _relink(batch, "list_entry", entries.filter(known).drop("ext_media_id"),
                         scope, ["media_id"], payload),
-        lambda: _relink(commit, "pending_entry", entries.filter(~known).drop("media_id"),
+        lambda: _relink(batch, "pending_entry", entries.filter(~known).drop("media_id"),
                         scope, ["ext_media_id"], payload),
     )
 

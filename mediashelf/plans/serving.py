@@ -12,7 +12,7 @@ from mediashelf.operators.lookups import lookup_join
 from mediashelf.plans.reconcile import reconcile_lists
 from mediashelf.session import written
 from mediashelf.sources.requests import list_messages
-from mediashelf.sources.store import Commit, Store
+from mediashelf.sources.tables import Store
 
 REJECTED, RECOMPUTE, STORED = "rejected", "recompute", "stored"
 RECOMMENDATION_COLUMNS = [
@@ -36,11 +36,10 @@ def stored_recommendations(
 
 def recommendations_for(store: Store, users: DataFrame) -> DataFrame:
     """The same on a store, reading only the buckets the users fall in."""
-    commit = Commit(store, store.manifest())
-    viewers = commit.read("viewer", commit.touched("viewer", users))
+    viewers = store.read("viewer", store.touched("viewer", users))
     wanted = viewers.join(users.select("ext_user_id").distinct(), "ext_user_id", "left_semi")
-    recommendations = commit.read("recommendation", commit.touched("recommendation", wanted))
-    return stored_recommendations(users, viewers, recommendations, commit.read("media"))
+    recommendations = store.read("recommendation", store.touched("recommendation", wanted))
+    return stored_recommendations(users, viewers, recommendations, store.read("media"))
 
 
 def refresh_decisions(

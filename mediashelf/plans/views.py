@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediashelf.operators import lookups
-from mediashelf.sources.store import Store
+from mediashelf.sources.tables import Store
 
 
 def _by_media(store: Store, rows: DataFrame) -> DataFrame:

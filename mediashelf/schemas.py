@@ -121,7 +121,7 @@ TABLES = {name: Table(*spec) for name, spec in {
     "counter": (
         "counter_id bigint, counter_name string, value_int int, value_str string",
         "counter_name", "counter_id"),
-    "quarantine": ("stream string, seq bigint, value string, reason string", "seq", None),
+    "quarantine": ("stream string, seq bigint, value string, reason string", "reason", None),
 }.items()}
 
 # Declared uniqueness, references, required columns and length bounds.

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from mediashelf.plans.reconcile import ATTEMPTS, reconcile_lists, reconcile_media
-from mediashelf.sources.store import Store
+from mediashelf.plans.reconcile import reconcile_lists, reconcile_media
+from mediashelf.sources.tables import Store
 from mediashelf.streaming.sinks import batch_sink, stream_identity
 
 COMPACT_EVERY = 100
@@ -29,19 +29,19 @@ def _consume(
 
 def consume_media(
     documents: DataFrame, store: Store, checkpoint: str, bounded: bool = False,
-    attempts: int = ATTEMPTS, compact_every: int = COMPACT_EVERY,
+    compact_every: int = COMPACT_EVERY,
 ) -> DataStreamWriter:
-    """Reconciles every micro-batch of media documents; a batch replayed after a failure is skipped."""
+    """Reconciles every micro-batch of media documents; a batch cut off by a failure is done again."""
     return _consume(
-        documents, store, checkpoint, bounded, reconcile_media, compact_every, attempts=attempts)
+        documents, store, checkpoint, bounded, reconcile_media, compact_every)
 
 
 def consume_lists(
     documents: DataFrame, store: Store, checkpoint: str, bounded: bool = False,
     fetch_media: Callable[[DataFrame], DataFrame] | None = None,
-    attempts: int = ATTEMPTS, compact_every: int = COMPACT_EVERY,
+    compact_every: int = COMPACT_EVERY,
 ) -> DataStreamWriter:
     """The same for list documents."""
     return _consume(
         documents, store, checkpoint, bounded, reconcile_lists, compact_every,
-        fetch_media=fetch_media, attempts=attempts)
+        fetch_media=fetch_media)

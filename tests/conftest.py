@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from mediashelf.session import local_session  # noqa: E402
-from mediashelf.sources.store import Store  # noqa: E402
+from mediashelf.sources.tables import Store  # noqa: E402
 
 
 @pytest.fixture(scope="session")

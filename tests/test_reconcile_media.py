@@ -140,7 +140,7 @@ def test_replay_is_a_no_op(store, documents):
 
 
 def test_one_batch_equals_many(spark, store, documents, tmp_path):
-    from mediashelf.sources.store import Store
+    from mediashelf.sources.tables import Store
 
     docs = [media(i % 3, genres=[f"g{i}", "A"], tags=[tag(i % 2, f"t{i}", f"c{i}")],
                   staff={"edges": [staff(1, f"r{i}", first=f"n{i}")]}, synonyms=[f"s{i}"])

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from mediashelf.plans import serving, views
 from mediashelf.plans.reconcile import reconcile_lists, reconcile_media
 from mediashelf.sources import requests
-from mediashelf.sources.store import Commit
 
 
 @pytest.fixture
@@ -14,11 +13,9 @@ def served(spark, store, documents):
     reconcile_lists(store, documents(lists([[entry(1, user=7)]]), lists([[entry(2, user=8)]])))
     ids = {r.ext_media_id: r.media_id for r in store.read("media").collect()}
     users = {r.ext_user_id: r.viewer_id for r in store.read("viewer").collect()}
-    commit = Commit(store, store.manifest())
     rows = [(users[7], ids[1], 90), (users[7], ids[2], 10), (users[7], ids[3], 50)]
-    commit.append("recommendation", spark.createDataFrame(
+    store.append("recommendation", spark.createDataFrame(
         rows, "viewer_id bigint, media_id bigint, score int"))
-    commit.publish()
     return store
 
 

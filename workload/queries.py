@@ -16,7 +16,7 @@ from mediashelf.plans import filters, recommend, serving, views
 from mediashelf.plans.reconcile import media_requests, reconcile_lists, reconcile_media
 from mediashelf.session import new_scratch, written
 from mediashelf.sources import options, requests, topics
-from mediashelf.sources.store import Store
+from mediashelf.sources.tables import Store
 from mediashelf.streaming.consume import consume_lists, consume_media
 from mediashelf.streaming.publish import publish_lists, publish_media, walk_ticks
 from mediashelf.streaming.sinks import batch_sink, partition_per_batch
