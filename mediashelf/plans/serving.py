@@ -138,15 +138,18 @@ def serve(
     Users whose recommendations are to be computed anew have their lists refreshed, media that
     their lists name and the store lacks being fetched on the way, and are handed to
     ``generate``, which returns the six recommendation columns.  A request that is turned down
-    comes back as one row without recommendation and with its ``reason``.
+    comes back as one row without recommendation and with its ``reason``.  Decisions and stored
+    answers are written first, as refreshing overwrites tables that they were read from.
     """
-    decided = refresh_decisions(requests, store.read("viewer"), store.read("recommendation"))
+    decided = written(
+        refresh_decisions(requests, store.read("viewer"), store.read("recommendation")), "decided")
     rejected = _turned_down(decided.filter(F.col("decision") == REJECTED), "bad parameters")
     answered = recommendations_for(store, decided.filter(F.col("decision") == STORED))
     answered = answered.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
     anew = decided.filter(F.col("decision") == RECOMPUTE).select("ext_user_id").distinct()
     if anew.isEmpty():
         return answered
+    answered = written(answered, "answered")
     refresh_lists(store, anew, fetch_lists, fetch_media)
     made = generate(anew).select(*RECOMMENDATION_COLUMNS)
     return answered.unionByName(made.withColumn("reason", F.lit(None).cast("string")))
