@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from mediashelf.operators.lookups import COLUMN_BYTES, size_of
 from mediashelf.plans import recommend
 from mediashelf.session import new_scratch
 from pyspark.sql import functions as F
@@ -85,6 +86,30 @@ def test_best_unseen_with_ties(spark, monkeypatch, n_users, n_items):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("scale", [1.0, 0.0])
+def test_best_unseen_in_bands_equals_all_pairs(spark, monkeypatch, scale):
+    for name, value in {"USERS": 13, "ITEMS": 9, "HEAD": 20, "SCORES": 40, "LANES": 2}.items():
+        monkeypatch.setattr(recommend, name, value)
+    rng = random.Random(2)
+    # whole numbers of very different lengths, so that many users are done after the first band
+    users = {i: [float(rng.randint(-3, 3)) for _ in range(2)] for i in range(60)}
+    items = {i: [float(rng.randint(-3, 3)) * scale * rng.choice([1, 1, 9]) for _ in range(2)] for i in range(300)}
+    seen = {(rng.randrange(70), rng.randrange(310)) for _ in range(1500)} | {(0, i) for i in range(300)}
+    frames = [spark.createDataFrame(list(side.items()), "id bigint, factor array<double>") for side in (users, items)]
+    found = recommend.best_unseen(*frames, spark.createDataFrame(sorted(seen), "user bigint, item bigint"), 4)
+    want = []
+    for u, f in users.items():
+        best = sorted((-sum(a * b for a, b in zip(f, g)), i) for i, g in items.items() if (u, i) not in seen)[:4]
+        want += [(u, i, -s, r + 1) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_sizes_count_array_elements(spark):
+    one = spark.createDataFrame([(1, [1.0]), (2, None)], "id bigint, factor array<double>")
+    many = spark.createDataFrame([(1, [1.0] * 101), (2, None)], "id bigint, factor array<double>")
+    assert size_of(many) - size_of(one) == 100 * COLUMN_BYTES
+
+
 def test_replacing_keeps_others_and_can_be_repeated(spark):
     path = new_scratch(spark, "stored")
     shape = "viewer_id bigint, media_id bigint, score int"
