@@ -29,21 +29,29 @@ def interval_bins(low: Column, high: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), of_level))
 
 
-def in_interval(points: DataFrame, date: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
+def in_interval(
+    points: DataFrame, date: str, intervals: DataFrame, low: str, high: str, folded: list[Column] = (),
+) -> DataFrame:
     """Every pair of a point and an interval that it lies in; all columns of both, whose names
     must differ.  Dates of years 1 to 9999; null ends, and null points, meet nothing.
 
     An interval is made up of bins of power-of-two sizes, two of each at most however long it is,
     and a day lies in one bin of each size that occurs, so each pair meets in one bin and in an
     equi-join.
+
+    With ``folded``, named aggregates of the points, the points of each bin are folded before they
+    meet: an interval comes with one row per bin of its own that holds any point, and the aggregates
+    in place of the points' columns, so that rows do not grow with the number of pairs.
     """
     known = intervals.where(F.col(low).isNotNull() & F.col(high).isNotNull())
     parts = known.withColumn("_part", F.explode(interval_bins(F.col(low), F.col(high)))).select(
         "*", F.col("_part.level").alias("_level"), F.col("_part.bin").alias("_bin")).drop("_part")
     sizes = sorted(r[0] for r in parts.select("_level").distinct().collect())  # LEVELS at most
     if not sizes:
-        return points.join(known, F.lit(False))
+        return (points.agg(*folded) if folded else points).join(known, F.lit(False))
     level = F.explode(F.array(*[F.lit(n) for n in sizes]))
     days = points.where(F.col(date).isNotNull()).withColumn("_level", level).withColumn(
         "_bin", F.call_function("div", _day(F.col(date)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_level"))))
+    if folded:
+        days = days.groupBy("_level", "_bin").agg(*folded)
     return days.join(parts, ["_level", "_bin"]).drop("_level", "_bin")

@@ -52,7 +52,27 @@ def test_bins_make_up_intervals_exactly(spark):
     assert max(r.n for r in bins.collect()) <= 46
 
 
+def test_points_folded_before_they_meet(spark):
+    rng = random.Random(4)
+    day = lambda: D(1995, 1, 1) + datetime.timedelta(days=rng.randrange(900))
+    spans = [(i % 60, day(), day()) for i in range(80)] + [(900, None, D(2000, 1, 1)), (901, D(1, 1, 1), D(9999, 12, 31))]
+    points = [(rng.choice([None, i]), day()) for i in range(5000)] + [(900, None)]
+    frames = spark.createDataFrame(points, "p long, at date"), spark.createDataFrame(spans, "s int, low date, high date")
+    met = in_interval(frames[0], "at", frames[1], "low", "high", [F.count("*").alias("n"), F.sum("p").alias("keys")])
+    assert met.columns == ["n", "keys", "s", "low", "high"]
+    assert met.count() <= 46 * len(spans)  # not a row per pair
+    found = met.groupBy("s").agg(F.sum("n"), F.sum("keys"))
+    want = {}
+    for s, low, high in spans:
+        for p, at in points:
+            if at and low and low <= at <= high:
+                n, keys = want.get(s, (0, None))
+                want[s] = n + 1, keys if p is None else (keys or 0) + p
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == want
+
+
 def test_no_intervals(spark):
     points = spark.createDataFrame([(1, D(2020, 1, 1))], "p int, at date")
     spans = spark.createDataFrame([], "s int, low date, high date")
     assert in_interval(points, "at", spans, "low", "high").count() == 0
+    assert in_interval(points, "at", spans, "low", "high", [F.count("*").alias("n")]).count() == 0

@@ -950,8 +950,9 @@ def orders_in_windows(spark, sf):
     days = F.when(n % 11 == 0, -1).when(n % 97 == 0, 3650).otherwise(n % 5).cast("int")
     spans = load(spark, sf, "events").select("event_id", low.alias("low"), F.date_add(low, days).alias("high"))
     orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"))
-    return ranges.in_interval(orders, "ordered", spans, "low", "high").groupBy("event_id").agg(
-        F.count("*").alias("n_orders"), F.sum("o_orderkey").alias("keys"))
+    totals = [F.count("*").alias("n_orders"), F.sum("o_orderkey").alias("keys")]
+    return ranges.in_interval(orders, "ordered", spans, "low", "high", totals).groupBy("event_id").agg(
+        F.sum("n_orders").alias("n_orders"), F.sum("keys").alias("keys"))
 
 
 # -- audits -------------------------------------------------------------------------------
