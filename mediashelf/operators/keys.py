@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 4096
+PARTS_PER_SCAN = 4
+
+
+def dealt(rows: DataFrame, scans: int, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` before an aggregation that leaves most of them; ``scans`` is the number
+    of tasks that read them.
+
+    The number of parts is given and follows the input.  Adaptive execution would join parts by
+    their compressed bytes, and so leave tasks with tens of millions of narrow rows.
+    """
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, PARTS_PER_SCAN * scans), *keys)
 
 
 def assign_keys(new: DataFrame, key: list[str], surrogate: str, after: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from mediashelf.operators import audit, dimensions, flatten, lookups
 from mediashelf.operators import documents as documents_op
 from mediashelf.operators.diff import changes, two_way_diff
-from mediashelf.operators.keys import assign_keys
+from mediashelf.operators.keys import PARTS_PER_SCAN, assign_keys, dealt
+from workload.queries import QUERIES
 
 
 def rows(frame):
@@ -153,3 +154,16 @@ def test_missing_null_number_and_text_are_told_apart(documents):
     found = {r.seq: r for r in documents_op.parse_lists(listed).collect()}
     assert [found[i].reason for i in range(3)] == [None, "no viewer", "bad entry"]
     assert found[0].ext_user_id == 5 and len(found[0].entries) == 2
+
+
+def test_dealt_parts_are_not_joined_again(spark):
+    rows = spark.range(1000).select((F.col("id") % 700).alias("a"), F.lit("x").alias("b"))
+    found = dealt(rows, 9, "a", "b").distinct()
+    assert found.count() == 700 and found.rdd.getNumPartitions() == 9 * PARTS_PER_SCAN
+    assert dealt(rows, 1, "a").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["equal_sets", "list_entry_diff"])
+def test_diff_queries_keep_their_parts(spark, name):
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,7 @@ from mediashelf.functions import messages
 from mediashelf.functions import text as X
 from mediashelf.operators import audit, dimensions, documents, flatten, lookups, ranges
 from mediashelf.operators.diff import after_diff, changes, two_way_diff
-from mediashelf.operators.keys import assign_keys
+from mediashelf.operators.keys import assign_keys, dealt
 from mediashelf.plans import filters, recommend, serving, views
 from mediashelf.plans.reconcile import media_requests, reconcile_lists, reconcile_media
 from mediashelf.session import new_scratch, written
@@ -563,8 +563,9 @@ def _part_scope(spark, sf) -> DataFrame:
 
 
 def _line_links(spark, sf, condition: str, *columns) -> DataFrame:
-    return load(spark, sf, "lineitem").filter(condition).select(
-        F.col("l_partkey").alias("media_id"), *columns).distinct()
+    lines = load(spark, sf, "lineitem")
+    links = lines.filter(condition).select(F.col("l_partkey").alias("media_id"), *columns)
+    return dealt(links, lines.rdd.getNumPartitions(), *links.columns).distinct()
 
 
 STORED_LINES, INCOMING_LINES = "l_returnflag <> 'A'", "l_returnflag <> 'R'"
@@ -633,14 +634,17 @@ def name_rows_after(spark, sf):
 @query
 def list_entry_diff(spark, sf):
     """List entries compared on their whole rows."""
+    lines = load(spark, sf, "lineitem")
+    scans = lines.rdd.getNumPartitions()
+
     def entries(condition: str) -> DataFrame:
-        lines = load(spark, sf, "lineitem").filter(condition)
-        return lines.groupBy(
-            F.col("l_orderkey").alias("viewer_id"), F.col("l_partkey").alias("media_id")).agg(
+        chosen = lines.filter(condition).withColumns(
+            {"viewer_id": F.col("l_orderkey"), "media_id": F.col("l_partkey")})
+        return dealt(chosen, scans, "viewer_id").groupBy("viewer_id", "media_id").agg(
             F.sum("l_linenumber").cast("int").alias("progress"), F.max("l_returnflag").alias("status"))
 
-    scope = load(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
-        F.col("o_orderkey").alias("viewer_id"))
+    scope = dealt(load(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
+        F.col("o_orderkey").alias("viewer_id")), scans, "viewer_id")
     incoming = entries(INCOMING_LINES).join(scope, "viewer_id", "left_semi")
     return two_way_diff(
         entries(STORED_LINES), incoming, scope, "viewer_id", ["media_id"], ["progress", "status"])
