@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,37 +64,72 @@ def turned_down(parameters: DataFrame) -> DataFrame:
     return parameters.where("reason IS NOT NULL").select("request").distinct()
 
 
-def filtered(candidates: DataFrame, parameters: DataFrame, names: DataFrame, media: DataFrame) -> DataFrame:
+def _wanted(parameters: DataFrame) -> DataFrame:
+    """One row per request with parameters: whether one was turned down, ``names`` and a day per date."""
+    good = F.col("reason").isNull()
+    ends = [
+        (F.max if side == "after" else F.min)(F.when(good & (F.col("key") == key), F.col("day"))).alias(key)
+        for key, (_, side) in DATES.items()]
+    return parameters.groupBy("request").agg(
+        F.bool_or(~good).alias("bad"),
+        F.collect_set(F.when(good & F.col("name").isNotNull(), F.struct("key", "name"))).alias("wanted"), *ends)
+
+
+def _passes() -> Column:
+    """How many of a media's spans, of one that has the names, a request's parameters let pass."""
+    def held(pair: Column) -> Column:
+        return F.exists("held", lambda x: (x["key"] == pair["key"]) & (x["name"] == pair["name"]))
+
+    def any_of(key: str) -> Column:
+        return ~F.exists("wanted", lambda x: x["key"] == key) | F.exists(
+            "wanted", lambda x: (x["key"] == key) & held(x))
+
+    named = reduce(and_, map(any_of, ANY_OF), F.forall("wanted", lambda x: x["key"].isin(*ANY_OF) | held(x)))
+
+    def inside(span: Column) -> Column:
+        holds = F.lit(True)
+        for key, (column, side) in DATES.items():
+            fits = span[column] > F.col(key) if side == "after" else span[column] < F.col(key)
+            holds = holds & (F.col(key).isNull() | F.coalesce(fits, F.lit(False)))
+        return holds
+
+    return F.when(F.col("wanted").isNull() | named, F.size(F.filter("spans", inside))).otherwise(0)
+
+
+def filtered(
+    candidates: DataFrame, parameters: DataFrame, names: DataFrame, media: DataFrame,
+    stored: DataFrame | None = None, by: str | None = None,
+) -> DataFrame:
     """The ``request, media_id`` candidates that all parameters of their request let pass.
 
     ``names`` holds ``media_id, key, name`` (what a media has), ``media`` holds ``media_id,
     date_start, date_end``, one row each; both ends of a span are open.  Requests with a parameter
-    turned down keep nothing, those without parameters keep all.
+    turned down keep nothing, those without parameters keep all.  With ``stored`` (``by, media_id``),
+    ``candidates`` are ``request, by``: every request's candidates are the media stored for its ``by``.
 
-    Sets are divided by counting: of the names that a request asks for under one key, how many a
-    media has; one is enough for some keys, others need all.  Spans are narrowed to one per request
-    first.  Nothing but candidates meets names or dates.
+    One name that a request asks for under a key is enough for some keys, others need all.  What a
+    request asks for comes as one row, and so does what a media has.  Both are joined to the sides of
+    the candidates, so that requests with ``stored`` are judged where they meet their media and only
+    pairs that pass are shuffled.
     """
-    asked = candidates.select("request", "media_id").distinct().join(turned_down(parameters), "request", "left_anti")
-    good = parameters.where("reason IS NULL")
-    sets = good.where("name IS NOT NULL").select("request", "key", "name").distinct()
-    needs = sets.groupBy("request", "key").agg(F.count("*").alias("n")).withColumn(
-        "n", F.when(F.col("key").isin(*ANY_OF), F.lit(1)).otherwise(F.col("n")))
-    keys = needs.groupBy("request").agg(F.count("*").alias("keys"))
-    held = names.select("media_id", "key", "name").distinct()
-    hits = asked.join(sets, "request").join(held, ["media_id", "key", "name"]).groupBy(
-        "request", "media_id", "key").agg(F.count("*").alias("has"))
-    fits = hits.join(needs, ["request", "key"]).where("has >= n").groupBy("request", "media_id").agg(
-        F.count("*").alias("fitting"))
-    kept = asked.join(keys, "request", "left").join(fits, ["request", "media_id"], "left").where(
-        F.coalesce("fitting", F.lit(0)) == F.coalesce("keys", F.lit(0)))
-    ends = [
-        (F.max if side == "after" else F.min)(F.when(F.col("key") == key, F.col("day"))).alias(key)
-        for key, (_, side) in DATES.items()]
-    spans = good.where("day IS NOT NULL").groupBy("request").agg(*ends)
-    dated = kept.select("request", "media_id").join(spans, "request", "left").join(media, "media_id", "left")
-    inside = F.lit(True)
-    for key, (column, side) in DATES.items():
-        holds = F.col(column) > F.col(key) if side == "after" else F.col(column) < F.col(key)
-        inside = inside & (F.col(key).isNull() | F.coalesce(holds, F.lit(False)))
-    return dated.where(inside).select("request", "media_id")
+    held = names.dropna(subset=["key", "name"]).groupBy("media_id").agg(
+        F.collect_set(F.struct("key", "name")).alias("held"))
+    spans = media.groupBy("media_id").agg(F.collect_list(F.struct("date_start", "date_end")).alias("spans"))
+    # files say little of the size of either, so neither may be broadcast
+    has = held.join(spans, "media_id", "full_outer").hint("merge")
+    wanted = _wanted(parameters).hint("merge")
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return rows.join(wanted, "request", "left").where(~F.coalesce("bad", F.lit(False)))
+
+    if stored is None:
+        met = asked(candidates.select("request", "media_id").distinct()).join(has, "media_id", "left")
+    else:
+        met = asked(candidates.select("request", by)).join(
+            stored.select(by, "media_id").join(has, "media_id", "left"), by)
+    nothing = F.array(F.struct(F.lit(None).cast("date").alias("date_start"), F.lit(None).cast("date").alias("date_end")))
+    met = met.withColumns({
+        "held": F.coalesce("held", F.array().cast("array<struct<key:string,name:string>>")),
+        "spans": F.coalesce("spans", nothing)})
+    kept = met.select("request", "media_id", _passes().alias("n")).where("n > 0").distinct()
+    return kept.select("request", "media_id", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("_n")).drop("_n")

@@ -39,6 +39,25 @@ def test_filtered_by_sets_and_spans(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 10), (1, 11), (1, 12), (1, 13), (2, 10), (3, 11), (4, 11), (6, 10)]
 
 
+def test_filtered_where_requests_meet_what_is_stored(spark):
+    asked = {1: "{}", 2: '{"genres":["a","b"]}', 3: '{"format":["x","y"],"genres":"a"}', 4: '{"startedAfter":"2020-01-01"}',
+             5: '{"genres":[]}', 6: '{"tags":"t"}'}
+    parameters = filters.typed_parameters(spark.createDataFrame(list(asked.items()), "request_id int, params string"))
+    names = [(10, "genres", "a"), (10, "genres", "b"), (11, "genres", "a"), (11, "format", "y"), (12, None, "x"), (12, "tags", None)]
+    media = [(10, D(2020, 1, 1), D(2020, 1, 4)), (11, D(2020, 1, 2), None), (11, D(2020, 1, 3), None)]
+    requests = [(r, u) for r in asked for u in (7, 8)] + [(1, 7), (1, None)]
+    stored = [(7, 10), (7, 11), (8, 11), (8, 12), (8, None), (9, 13), (None, 10)]
+    frames = (parameters, spark.createDataFrame(names, "media_id int, key string, name string"),
+              spark.createDataFrame(media, "media_id int, date_start date, date_end date"))
+    left = spark.createDataFrame(requests, "request int, user int")
+    right = spark.createDataFrame(stored, "user int, media_id int")
+    found = filters.filtered(left, *frames, right, "user")
+    whole = filters.filtered(left.join(right, "user").select("request", "media_id"), *frames)
+    want = [(1, 10), (1, 11), (1, 11), (1, 12), (1, None), (2, 10), (3, 11), (3, 11), (4, 11), (4, 11)]
+    for frame in (found, whole):
+        assert sorted(map(tuple, frame.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_bins_make_up_intervals_exactly(spark):
     rng = random.Random(3)
     day = lambda: D(1, 1, 1) + datetime.timedelta(days=rng.choice([rng.randrange(60), rng.randrange(3_652_059)]))

@@ -157,7 +157,7 @@ def test_missing_null_number_and_text_are_told_apart(documents):
 
 
 def test_dealt_parts_are_not_joined_again(spark):
-    rows = spark.range(1000).select((F.col("id") % 700).alias("a"), F.lit("x").alias("b"))
+    rows = spark.range(1000).select((F.col("id") % 700).alias("a"), (F.col("id") % 7).alias("b"))
     found = dealt(rows, 9, "a", "b").distinct()
     assert found.count() == 700 and found.rdd.getNumPartitions() == 9 * PARTS_PER_SCAN
     assert dealt(rows, 1, "a").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
