@@ -104,6 +104,14 @@ def test_best_unseen_in_bands_equals_all_pairs(spark, monkeypatch, scale):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_factors_without_a_number_meet_nothing(spark):
+    shape = "id bigint, factor array<double>"
+    users = spark.createDataFrame([(1, [1.0, 2.0]), (2, [None, 1.0]), (3, None)], shape)
+    media = spark.createDataFrame([(i, [float(i), None if i > 5 else 1.0]) for i in range(12)], shape)
+    found = recommend.best_unseen(users, media, spark.createDataFrame([(1, 5), (None, 4)], "user bigint, item bigint"), 2)
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 5.0, 2), (1, 4, 6.0, 1)]
+
+
 def test_sizes_count_array_elements(spark):
     one = spark.createDataFrame([(1, [1.0]), (2, None)], "id bigint, factor array<double>")
     many = spark.createDataFrame([(1, [1.0] * 101), (2, None)], "id bigint, factor array<double>")
