@@ -1,6 +1,7 @@
 import hashlib
 import random
 import tempfile
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -105,3 +106,14 @@ def test_spans_are_merged_where_they_touch():
             assert s["begin"] not in ends
             ends.add(s["end"])
         assert held == {i for a, b in spans for i in range(a, b)}
+
+
+def test_a_shard_takes_little_memory():
+    rng = np.random.default_rng(5)
+    pieces = [rng.integers(97, 123, 672).astype(np.uint8).tobytes() for _ in range(substring_dedup.SHARD_BYTES // 672)]
+    tracemalloc.start()
+    try:
+        assert not any(marks.any() for marks in induced.repeated_in(iter(pieces), 400))
+        assert tracemalloc.get_traced_memory()[1] < 128 << 20
+    finally:
+        tracemalloc.stop()
