@@ -8,15 +8,19 @@ every other column null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediashelf.functions import text as X
 from mediashelf.schemas import (
-    COUNTS, LIST_BRANCHES, LIST_DOCUMENT, MEDIA_DOCUMENT, OFTEN_NULL, PARSE_OPTIONS, exact, usual,
+    COUNTS, LIST_BRANCHES, LIST_DOCUMENT, MEDIA_DOCUMENT, PARSE_OPTIONS, TEXTS, exact, usual,
 )
 
+FEW = 64  # arrays of no more members are compared member by member, longer ones by hashed texts
+
 
 def _first_reason(*checks: tuple[str, Column]) -> Column:
     """Name of the first check that holds, else null; a check on a null value does not hold."""
@@ -30,13 +34,18 @@ def _any(array: Column, bad) -> Column:
 def _conflicting(array: Column, id_of, whole, identity=None) -> Column:
     """Whether two different members share an identity, which includes their integer id.
 
-    Members are only compared where an id occurs twice, which is rare.
+    Members are only compared where an id occurs twice.
     """
     identity = identity or (lambda x: [id_of(x)])
-    members = F.array_distinct(F.transform(array, lambda x: F.to_json(whole(x))))
-    identities = F.array_distinct(F.transform(array, lambda x: F.to_json(F.struct(*identity(x)))))
+
+    def differing(form: Callable[[Column], Column]) -> Column:
+        members = F.array_distinct(F.transform(array, lambda x: form(whole(x))))
+        identities = F.array_distinct(F.transform(array, lambda x: form(F.struct(*identity(x)))))
+        return F.size(members) != F.size(identities)
+
     repeated = F.size(F.array_distinct(F.transform(array, id_of))) < F.size(array)
-    return F.when(repeated, F.size(members) != F.size(identities)).otherwise(F.lit(False))
+    few = F.size(array) <= FEW
+    return F.when(repeated & few, differing(lambda x: x)).when(repeated, differing(F.to_json)).otherwise(F.lit(False))
 
 
 def _leaf(value: Column) -> Column:
@@ -94,21 +103,37 @@ def _once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+def _worded(value: Column) -> Column:
+    """A document whose null texts are the word ``null``.
+
+    Inside a JSON string every quote has a backslash before it, so a quoted name with a colon behind
+    it can only be a member.  Searches that begin with a fixed word skip most of the document, so a
+    null is found first and its name looked for behind it, with little space around the colon; a
+    document with more space somewhere is searched by name.
+    """
+    names = "|".join(TEXTS)
+    spaced = value.rlike(r"null(?<=\s{3}null|\s{3}:\s{0,2}null)")
+    by_name = F.regexp_replace(value, rf'"({names})"(\s*:\s*)null(?=[\s,}}])', '"$1"$2"null"')
+    by_null = F.regexp_replace(value, rf'null(?=[\s,}}])(?<="(?:{names})"\s{{0,2}}:\s{{0,2}}null)', '"null"')
+    return F.when(spaced, by_name).otherwise(by_null)
+
+
+def _quoted(value: Column) -> Column:
+    """Whether a document gives a number as a text."""
+    found = [value.rlike(rf'{name}(?<="{name})"\s*:\s*"') for name in COUNTS]
+    return reduce(or_, found)
+
+
 def _parsed(docs: DataFrame, schema: str, plain: Callable[[Column], Column]) -> DataFrame:
     """``seq, value, doc``, where ``doc`` has the usual types, a missing leaf is null and a text
     that is null in the document is the word ``null``.
 
-    Null texts are made words before parsing.  Inside a JSON string every quote has a backslash
-    before it, so a quoted name with a colon behind it can only be a member.  Documents that do
-    not fit the usual types then, or give a number as a text, are parsed again, exactly, and made
-    ``plain``.
+    Null texts are made words before parsing.  Documents that do not fit the usual types then, or
+    give a number as a text, are parsed again, exactly, and made ``plain``.
     """
-    typed = "|".join(f'"{name}"' for name in OFTEN_NULL)
-    texts = rf'"(\w+)"(?=\s*:\s*null[\s,}}])(?<!{typed})(\s*:\s*)null'
-    worded = F.regexp_replace("value", texts, '"$1"$2"null"')
+    worded = _worded(F.col("value"))
     usually = docs.select("seq", "value", _once(F.from_json(worded, usual(schema), PARSE_OPTIONS)).alias("doc"))
-    quoted = F.col("value").rlike(rf'"(?:{"|".join(COUNTS)})"\s*:\s*"')
-    fits = F.col("doc").isNotNull() & F.col("doc._corrupt").isNull() & ~quoted
+    fits = F.col("doc").isNotNull() & F.col("doc._corrupt").isNull() & ~_quoted(F.col("value"))
     exactly = F.when(~fits, F.from_json("value", exact(schema), PARSE_OPTIONS))
     both = usually.select("seq", "value", F.when(fits, F.col("doc")).alias("doc"), _once(exactly).alias("exact"))
     again = F.when(F.col("exact").isNotNull(), plain(F.col("exact")))

@@ -48,10 +48,9 @@ _BRANCH = f"""STRUCT<data: STRUCT<MediaListCollection: STRUCT<lists:
 MEDIA_DOCUMENT = f"data STRUCT<Media: STRUCT<{MEDIA_FIELDS}>>, {CORRUPT} STRING"
 LIST_DOCUMENT = ", ".join(f"{b} {_BRANCH}" for b in LIST_BRANCHES) + f", {CORRUPT} STRING"
 
-# Members that are no texts and often null, and the leaves that are COUNT.
-OFTEN_NULL = ("year", "month", "day", "startDate", "endDate", "startedAt", "completedAt", "tags", "genres",
-              "synonyms", "data")
-COUNTS = ("episodes", "duration", "chapters", "volumes", "userId")
+# The leaves that are ANY, and the leaves that are COUNT.
+TEXTS = tuple(dict.fromkeys(re.findall(r"(\w+): ANY", MEDIA_FIELDS + ENTRY_FIELDS)))
+COUNTS = tuple(dict.fromkeys(re.findall(r"(\w+): COUNT", MEDIA_FIELDS + ENTRY_FIELDS)))
 
 
 def usual(document: str) -> str:

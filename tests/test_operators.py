@@ -167,3 +167,43 @@ def test_dealt_parts_are_not_joined_again(spark):
 def test_diff_queries_keep_their_parts(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nulls_and_quoted_numbers_are_found_with_any_space(documents):
+    import json
+
+    from conftest import lists, media
+    from conftest import entry as listed
+
+    tags = [{"id": 1, "name": None, "category": 'a "name": null, "episodes": "7"'}] * 2
+    doc = json.loads(media(1, format=None, tags=tags, chapters=None, duration=5))
+    forms = [json.dumps(doc, separators=(",", colon)) for colon in (":", ": ", " : ", "   :", " :\n \t ", ":" + " " * 40)]
+    named = json.dumps(doc).replace('"TV"', "null")
+    found = documents_op.parse_media(documents(*forms, named)).drop("seq").distinct().collect()
+    assert [(r.reason, r.format, r.duration, len(r.tags)) for r in found] == [(None, "null", 5, 1)]
+    # a null inside another leaf is no null text
+    inner = documents_op.parse_media(documents(media(1, format={"x": None}))).first()
+    assert inner.format == '{"x":null}'
+    asked = [lists([[listed(1, status=None)]]), lists([[listed(1, user="1")]])]
+    asked += [text.replace('": ', '"' + " " * 9 + ":   ") for text in asked]
+    found = {r.seq: r for r in documents_op.parse_lists(documents(*asked)).collect()}
+    assert [found[i].reason for i in range(4)] == [None, "no viewer"] * 2
+    assert found[0].entries == found[2].entries and found[0].entries[0].status == "null"
+
+
+def test_conflicts_of_few_and_of_many_members(documents):
+    from conftest import media, tag
+
+    few = [tag(1), tag(1)]
+    many = [*few, *[tag(i) for i in range(2, 3 * documents_op.FEW)]]
+    cases = [few, [*few, tag(1, name="other")], many, [*many, tag(1, name="other")]]
+    frame = documents_op.parse_media(documents(*[media(1, tags=tags) for tags in cases]))
+    found = {r.seq: r.reason for r in frame.collect()}
+    assert [found[i] for i in range(4)] == [None, "tag conflict"] * 2
+
+
+def test_searches_of_whole_documents_begin_with_a_word(documents):
+    """Those that begin with a quote or a class look at every character."""
+    for parse in (documents_op.parse_media, documents_op.parse_lists):
+        plan = parse(documents("{}"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "null(?=" in plan and '"(\\w+)"' not in plan and '"(?:episodes' not in plan
