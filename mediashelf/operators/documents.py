@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mediashelf.functions import text as X
 from mediashelf.schemas import (
-    COUNTS, LIST_BRANCHES, LIST_DOCUMENT, MEDIA_DOCUMENT, PARSE_OPTIONS, TEXTS, exact, usual,
+    LIST_BRANCHES, LIST_DOCUMENT, MEDIA_DOCUMENT, PARSE_OPTIONS, exact, leaves, usual,
 )
 
 FEW = 64  # arrays of no more members are compared member by member, longer ones by hashed texts
@@ -31,21 +31,34 @@ def _any(array: Column, bad) -> Column:
     return F.exists(array, lambda item: F.coalesce(bad(item), F.lit(False)))
 
 
-def _conflicting(array: Column, id_of, whole, identity=None) -> Column:
-    """Whether two different members share an identity, which includes their integer id.
+def _members(array: Column, id_of, whole) -> Column:
+    """The members as they are kept, equal ones once; arrays longer than ``FEW`` keep them for now.
 
     Members are only compared where an id occurs twice.
     """
-    identity = identity or (lambda x: [id_of(x)])
+    members = F.transform(array, whole)
+    repeated = F.size(F.array_distinct(F.transform(array, id_of))) < F.size(array)
+    return F.when(repeated & (F.size(array) <= FEW), F.array_distinct(members)).otherwise(members)
 
-    def differing(form: Callable[[Column], Column]) -> Column:
-        members = F.array_distinct(F.transform(array, lambda x: form(whole(x))))
-        identities = F.array_distinct(F.transform(array, lambda x: form(F.struct(*identity(x)))))
-        return F.size(members) != F.size(identities)
 
-    repeated = F.size(F.array_distinct(F.transform(array, id_of))) < F.size(array)
-    few = F.size(array) <= FEW
-    return F.when(repeated & few, differing(lambda x: x)).when(repeated, differing(F.to_json)).otherwise(F.lit(False))
+def _distinct(members: Column) -> Column:
+    return F.when(F.size(members) > FEW, F.array_distinct(members)).otherwise(members)
+
+
+def _conflicting(members: Column, identity: str, *more: str) -> Column:
+    """Whether two different members share an identity, whose first field is their integer id."""
+
+    def count(array: Column) -> Column:
+        return F.size(F.array_distinct(array))
+
+    def named(x: Column) -> Column:
+        return F.struct(x[identity], *[x[f] for f in more])
+
+    repeated = count(F.transform(members, lambda x: x[identity])) < F.size(members)
+    few = count(F.transform(members, named)) < F.size(members) if more else repeated
+    texts = F.transform(members, lambda x: F.to_json(x))
+    many = count(texts) != count(F.transform(members, lambda x: F.to_json(named(x))))
+    return F.when(repeated, F.when(F.size(members) <= FEW, few).otherwise(many)).otherwise(F.lit(False))
 
 
 def _leaf(value: Column) -> Column:
@@ -94,16 +107,18 @@ def _staff(e: Column) -> Column:
     )
 
 
-def _once(column: Column) -> Column:
-    """A column that later filters cannot be pushed through.
+def _apart(frame: DataFrame, column: str) -> DataFrame:
+    """The frame with a computed column that later filters cannot be pushed through.
 
     Catalyst would copy a costly expression into every filter on it, and parse each document
-    again for every field the filter looks at; a generator keeps it evaluated once.
+    again for every field the filter looks at; a generator keeps it evaluated once.  The generator
+    only passes the column on, as what stands inside of one is not compiled.
     """
-    return F.explode(F.array(column))
+    others = [c for c in frame.columns if c != column]
+    return frame.select(*others, F.explode(F.array(column)).alias(column))
 
 
-def _worded(value: Column) -> Column:
+def _worded(value: Column, texts: tuple[str, ...]) -> Column:
     """A document whose null texts are the word ``null``.
 
     Inside a JSON string every quote has a backslash before it, so a quoted name with a colon behind
@@ -111,17 +126,17 @@ def _worded(value: Column) -> Column:
     null is found first and its name looked for behind it, with little space around the colon; a
     document with more space somewhere is searched by name.
     """
-    names = "|".join(TEXTS)
+    names = "|".join(texts)
     spaced = value.rlike(r"null(?<=\s{3}null|\s{3}:\s{0,2}null)")
     by_name = F.regexp_replace(value, rf'"({names})"(\s*:\s*)null(?=[\s,}}])', '"$1"$2"null"')
     by_null = F.regexp_replace(value, rf'null(?=[\s,}}])(?<="(?:{names})"\s{{0,2}}:\s{{0,2}}null)', '"null"')
-    return F.when(spaced, by_name).otherwise(by_null)
+    return F.when(~value.contains("null"), value).when(spaced, by_name).otherwise(by_null)
 
 
-def _quoted(value: Column) -> Column:
+def _quoted(value: Column, counts: tuple[str, ...]) -> Column:
     """Whether a document gives a number as a text."""
-    found = [value.rlike(rf'{name}(?<="{name})"\s*:\s*"') for name in COUNTS]
-    return reduce(or_, found)
+    found = [value.rlike(rf'{name}(?<="{name})"\s*:\s*"') for name in counts]
+    return reduce(or_, found, F.lit(False))
 
 
 def _parsed(docs: DataFrame, schema: str, plain: Callable[[Column], Column]) -> DataFrame:
@@ -131,13 +146,15 @@ def _parsed(docs: DataFrame, schema: str, plain: Callable[[Column], Column]) ->
     Null texts are made words before parsing.  Documents that do not fit the usual types then, or
     give a number as a text, are parsed again, exactly, and made ``plain``.
     """
-    worded = _worded(F.col("value"))
-    usually = docs.select("seq", "value", _once(F.from_json(worded, usual(schema), PARSE_OPTIONS)).alias("doc"))
-    fits = F.col("doc").isNotNull() & F.col("doc._corrupt").isNull() & ~_quoted(F.col("value"))
-    exactly = F.when(~fits, F.from_json("value", exact(schema), PARSE_OPTIONS))
-    both = usually.select("seq", "value", F.when(fits, F.col("doc")).alias("doc"), _once(exactly).alias("exact"))
+    worded = _worded(F.col("value"), leaves(schema, "ANY"))
+    usually = docs.select("seq", "value", F.from_json(worded, usual(schema), PARSE_OPTIONS).alias("doc"))
+    quoted = _quoted(F.col("value"), leaves(schema, "COUNT"))
+    fits = F.col("doc").isNotNull() & F.col("doc._corrupt").isNull() & ~quoted
+    judged = usually.select("*", fits.alias("fits"))
+    exactly = F.when(~F.col("fits"), F.from_json("value", exact(schema), PARSE_OPTIONS))
+    both = judged.select("*", exactly.alias("exact"))
     again = F.when(F.col("exact").isNotNull(), plain(F.col("exact")))
-    return both.select("seq", "value", _once(F.coalesce("doc", again)).alias("doc"))
+    return both.select("seq", "value", F.when(F.col("fits"), F.col("doc")).otherwise(again).alias("doc"))
 
 
 def _known(value: Column, made: Column) -> Column:
@@ -181,7 +198,8 @@ def _plain_media(doc: Column) -> Column:
 def _plain_lists(doc: Column) -> Column:
     def entry(e: Column) -> Column:
         kept = [e[f].alias(f) for f in ("mediaId", "startedAt", "completedAt", "score", "progress", "repeat")]
-        return _known(e, F.struct(_number(e["userId"]).alias("userId"), *kept, *_texts(e, "status")))
+        user = X.strict_int(_number(e["userId"]))
+        return _known(e, F.struct(user.alias("userId"), *kept, *_texts(e, "status")))
 
     def lists(one: Column) -> Column:
         return _known(one, F.struct(F.transform(one["entries"], entry).alias("entries")))
@@ -205,6 +223,11 @@ def parse_media(docs: DataFrame) -> DataFrame:
     m = F.col("doc.data.Media")
     tags, genres, synonyms = m["tags"], m["genres"], m["synonyms"]
     studios, staff = m["studios"]["edges"], m["staff"]["edges"]
+    sets = {
+        "kept_tags": _members(tags, lambda t: t["id"], _tag),
+        "kept_studios": _members(studios, lambda e: e["node"]["id"], _studio),
+        "kept_staff": _members(staff, lambda e: e["node"]["id"], _staff),
+    }
     sections = [m["title"], synonyms, m["startDate"], m["endDate"], tags, genres, studios, staff]
     missing = F.lit(False)
     for section in sections:
@@ -225,11 +248,9 @@ def parse_media(docs: DataFrame) -> DataFrame:
          | _any(studios, lambda e: _lacking(e["node"], "name"))
          | _any(staff, lambda e: _lacking(e, "role") | _lacking(
              e["node"]["name"], "first", "last", "full", "native"))),
-        ("tag conflict", _conflicting(tags, lambda t: t["id"], _tag)),
-        ("studio conflict", _conflicting(studios, lambda e: e["node"]["id"], _studio)),
-        ("staff conflict", _conflicting(
-            staff, lambda e: e["node"]["id"], _staff,
-            identity=lambda e: [e["node"]["id"], F.upper(e["role"])])),
+        ("tag conflict", _conflicting(F.col("kept_tags"), "ext_tag_id")),
+        ("studio conflict", _conflicting(F.col("kept_studios"), "ext_studio_id")),
+        ("staff conflict", _conflicting(F.col("kept_staff"), "ext_staff_id", "role")),
     )
     title = m["title"]
     columns = {
@@ -247,12 +268,13 @@ def parse_media(docs: DataFrame) -> DataFrame:
         "format": m["format"],
         "source": m["source"],
         "status": m["status"],
-        "tags": F.array_distinct(F.transform(tags, _tag)),
+        "tags": _distinct(F.col("kept_tags")),
         "genres": F.array_distinct(F.transform(genres, X.text_or_null)),
-        "studios": F.array_distinct(F.transform(studios, _studio)),
-        "staff": F.array_distinct(F.transform(staff, _staff)),
+        "studios": _distinct(F.col("kept_studios")),
+        "staff": _distinct(F.col("kept_staff")),
     }
-    return _keep_valid(_parsed(docs, MEDIA_DOCUMENT, _plain_media), reason, columns)
+    parsed = _parsed(docs, MEDIA_DOCUMENT, _plain_media)
+    return _keep_valid(parsed.select("*", *[c.alias(name) for name, c in sets.items()]), reason, columns)
 
 
 def _entry(e: Column) -> Column:
@@ -295,7 +317,7 @@ def parse_lists(docs: DataFrame) -> DataFrame:
         ).alias("shape"),
         raw.alias("raw"),
     )
-    user = X.strict_int(F.get(F.col("raw"), F.lit(0))["userId"])
+    user = F.get(F.col("raw"), F.lit(0))["userId"]
     reason = F.coalesce(F.col("shape"), _first_reason(
         ("no viewer", user.isNull()),
         ("bad entry", _any(F.col("raw"), _bad_entry)),
@@ -305,7 +327,7 @@ def parse_lists(docs: DataFrame) -> DataFrame:
 
 
 def _keep_valid(frame: DataFrame, reason: Column, columns: dict[str, Column]) -> DataFrame:
-    flagged = frame.select("*", _once(reason).alias("reason"))
+    flagged = _apart(frame.select("*", reason.alias("reason")), "reason")
     valid = F.col("reason").isNull()
     return flagged.select(
         "seq", "reason",

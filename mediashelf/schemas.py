@@ -3,7 +3,7 @@
 Document field names are the input format and therefore fixed.  Leaves that must
 be valid for a document to count carry their real type, so ``from_json`` itself
 flags a mistyped one as corrupt.  Leaves that may be anything have two types: text
-where documents are as usual, and variants, which tell a missing field, null, a number and a
+where documents are as usual (a whole number where nothing else counts), and variants, which tell a missing field, null, a number and a
 text apart, where they are not.
 """
 
@@ -17,8 +17,8 @@ PARSE_OPTIONS = {"columnNameOfCorruptRecord": CORRUPT}
 
 _DATE_PARTS = "STRUCT<year: INT, month: INT, day: INT>"
 
-# The shape of an incoming media document; ANY is a text, COUNT a number, usually,
-# and UNREAD is asked for only.
+# The shape of an incoming media document; ANY is a text, COUNT a number, WHOLE a whole
+# number, usually, and UNREAD is asked for only.
 MEDIA_FIELDS = f"""
   id: INT, type: ANY,
   title: STRUCT<romaji: ANY, english: ANY, native: ANY>,
@@ -35,7 +35,7 @@ MEDIA_FIELDS = f"""
 
 # The shape of one entry of a viewer's list document.
 ENTRY_FIELDS = f"""
-  userId: COUNT, id: UNREAD, mediaId: INT, startedAt: {_DATE_PARTS}, completedAt: {_DATE_PARTS},
+  userId: WHOLE, id: UNREAD, mediaId: INT, startedAt: {_DATE_PARTS}, completedAt: {_DATE_PARTS},
   score: DOUBLE, progress: INT, repeat: INT, media: UNREAD, status: ANY
 """
 
@@ -48,29 +48,34 @@ _BRANCH = f"""STRUCT<data: STRUCT<MediaListCollection: STRUCT<lists:
 MEDIA_DOCUMENT = f"data STRUCT<Media: STRUCT<{MEDIA_FIELDS}>>, {CORRUPT} STRING"
 LIST_DOCUMENT = ", ".join(f"{b} {_BRANCH}" for b in LIST_BRANCHES) + f", {CORRUPT} STRING"
 
-# The leaves that are ANY, and the leaves that are COUNT.
-TEXTS = tuple(dict.fromkeys(re.findall(r"(\w+): ANY", MEDIA_FIELDS + ENTRY_FIELDS)))
-COUNTS = tuple(dict.fromkeys(re.findall(r"(\w+): COUNT", MEDIA_FIELDS + ENTRY_FIELDS)))
+def leaves(document: str, kind: str) -> tuple[str, ...]:
+    """Names of a document's leaves of one kind: ANY, COUNT or WHOLE."""
+    return tuple(dict.fromkeys(re.findall(rf"(\w+): {kind}\b", document)))
 
 
 def usual(document: str) -> str:
     """The schema of documents whose leaves are as usual."""
-    return _read(document).replace("ANY", "STRING").replace("COUNT", "STRING")
+    return _typed(_read(document), ANY="STRING", COUNT="STRING", WHOLE="INT")
 
 
 def exact(document: str) -> str:
     """The schema that takes any leaf as it is."""
-    return _read(document).replace("ANY", "VARIANT").replace("COUNT", "VARIANT")
+    return _typed(_read(document), ANY="VARIANT", COUNT="VARIANT", WHOLE="VARIANT")
 
 
 def requested(fields: str) -> str:
     """The schema of all fields that are asked for."""
-    return fields.replace("ANY", "VARIANT").replace("COUNT", "VARIANT").replace("UNREAD", "VARIANT")
+    return _typed(fields, ANY="VARIANT", COUNT="VARIANT", WHOLE="VARIANT", UNREAD="VARIANT")
+
+
+def _typed(document: str, **types: str) -> str:
+    return re.sub(rf"\b({'|'.join(types)})\b", lambda kind: types[kind[0]], document)
 
 
 def _read(document: str) -> str:
     return re.sub(r"\w+: UNREAD, ", "", document)
 
+
 # Seed rows of the name-type dimension, ids 1 to 4.
 NAME_TYPES = ("romaji", "english", "native", "synonyms")
 

@@ -207,3 +207,22 @@ def test_searches_of_whole_documents_begin_with_a_word(documents):
     for parse in (documents_op.parse_media, documents_op.parse_lists):
         plan = parse(documents("{}"))._jdf.queryExecution().optimizedPlan().toString()
         assert "null(?=" in plan and '"(\\w+)"' not in plan and '"(?:episodes' not in plan
+
+
+def test_documents_are_parsed_and_judged_in_compiled_steps(documents):
+    """What stands inside a generator is not compiled, so it only passes on a column."""
+    for parse in (documents_op.parse_media, documents_op.parse_lists):
+        plan = parse(documents("{}"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        found = [line for line in plan if "Generate explode" in line]
+        assert len(found) == 1 and "Generate explode(array(reason#" in found[0]
+
+
+def test_viewers_are_whole_numbers_and_no_texts(documents):
+    from conftest import entry, lists
+
+    users = [5, -0, 2147483647, "5", 5.0, 2147483648, True, None, {"a": 1}]
+    docs = documents(*[lists([[entry(1, user=u)]]) for u in users], lists([[entry(1, user=7), entry(2, user="8")]]))
+    found = {r.seq: (r.reason, r.ext_user_id) for r in documents_op.parse_lists(docs).collect()}
+    assert [found[i] for i in range(3)] == [(None, 5), (None, 0), (None, 2147483647)]
+    assert [found[i] for i in range(3, len(users))] == [("no viewer", None)] * 6
+    assert found[len(users)] == (None, 7)
