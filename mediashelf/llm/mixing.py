@@ -104,9 +104,10 @@ def mix(
         leaves = leaves.withColumn(f"w_{level}", chosen)
     leaves = staged(leaves, "mix-leaves")
     up, down = total_share
-    total = F.lit(leaves.agg(F.sum("tokens")).first()[0] or 0) * up
+    # worked out here: as a literal the sum may be a 32-bit integer, which its share's product need not fit
+    total = F.lit((leaves.agg(F.sum("tokens")).first()[0] or 0) * up // down)
     plan = leaves.join(
-        budgets(leaves, F.floor(total / down), max_epochs), leaf, "left"
+        budgets(leaves, total, max_epochs), leaf, "left"
     ).select(
         *leaf, "n", "tokens", F.coalesce(F.col("budget").cast("bigint"), F.lit(0)).alias("budget")
     ).withColumn(

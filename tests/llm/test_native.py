@@ -121,6 +121,14 @@ def plan_total(size):
     return sum(size.values()) * 7 // 10
 
 
+@pytest.mark.parametrize("tokens,share", [(250_000_000, (4, 5)), (600_000_000, (7, 4)), (1 << 40, (4, 5))])
+def test_mixture_of_very_many_tokens(spark, tokens, share):
+    frame = spark.createDataFrame([(i,) for i in range(4)], "doc_id bigint").withColumn("n", F.lit(tokens).cast("bigint"))
+    one = {level: {None: 1} for level in mixing.LEVELS}
+    found = mixing.mix(frame, one, share, F.col("n"), F.lit("A"), F.lit("en"), F.lit("x"))
+    assert found.count() == 4 * share[0] // share[1]
+
+
 def judged(url, rules, default="allow"):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
