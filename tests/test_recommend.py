@@ -104,6 +104,59 @@ def test_best_unseen_in_bands_equals_all_pairs(spark, monkeypatch, scale):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_factors_keep_two_tables_and_parts_change_nothing(spark, monkeypatch, tmp_path, scored):
+    entries = spark.createDataFrame(scored[0], "user bigint, item bigint, score double")
+    found = []
+    for k, sizes in enumerate(({}, {"PART": 1 << 10, "HOT": 8})):
+        for name, value in sizes.items():
+            monkeypatch.setattr(recommend, name, value)
+        monkeypatch.setattr("mediashelf.session.scratch_root", lambda spark: f"{tmp_path}/{k}")
+        users, media, mean = recommend.factors(entries, rank=3, rounds=2)
+        found.append([mean, *({r.id: r.factor for r in side.collect()} for side in (users, media))])
+        left = [p.name.rsplit("-", 1)[0] for p in (tmp_path / str(k)).iterdir()]
+        assert sorted(n for n in left if n != "hot") == ["factors-item", "factors-user"]
+    one, parts = found
+    assert one[0] == parts[0]
+    for a, b in zip(one[1:], parts[1:]):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
+
+
+@pytest.mark.parametrize("n_users", [8, 500])
+def test_best_unseen_moves_few_rows(spark, monkeypatch, n_users):
+    """Users travel once a stripe and media once a group, whatever the number of blocks."""
+    for name, value in {"USERS": 64, "ITEMS": 8, "HEAD": 100}.items():
+        monkeypatch.setattr(recommend, name, value)
+    rng, moved = random.Random(4), []
+    of_frame = type(spark.range(0))
+    monkeypatch.setattr(of_frame, "mapInArrow", lambda self, *a, f=of_frame.mapInArrow: (
+        moved.append(sum(r["n"] for r in self.select(sum(
+            F.coalesce(F.size(c), F.lit(0)) for c in ("users", "items")).alias("n")).collect())), f(self, *a))[1])
+    users = {i: [rng.gauss(0, 1) for _ in range(3)] for i in range(n_users)}
+    items = {i: [rng.gauss(0, 1) for _ in range(3)] for i in range(1_000)}
+    frames = [spark.createDataFrame(list(side.items()), "id bigint, factor array<double>") for side in (users, items)]
+    found = recommend.best_unseen(*frames, spark.createDataFrame([(0, 0)], "user bigint, item bigint"), 3)
+    want = {(u, i) for u, f in users.items() for i in sorted(
+        (i for i in items if (u, i) != (0, 0)), key=lambda i: -sum(a * b for a, b in zip(f, items[i])))[:3]}
+    assert {(r.user, r.item) for r in found.collect()} == want
+    assert sum(moved) <= 9 * n_users + 16 * len(items)
+
+
+def test_groups_of_users_come_one_after_the_other(spark, monkeypatch):
+    for name, value in {"USERS": 10, "ITEMS": 9, "HEAD": 20, "SCORES": 40, "MEETING": 1, "STRIPE": 2}.items():
+        monkeypatch.setattr(recommend, name, value)
+    rng = random.Random(5)
+    users = {i: [float(rng.randint(-3, 3)) for _ in range(2)] for i in range(50)}
+    items = {i: [float(rng.randint(-3, 3)) * rng.choice([1, 9]) for _ in range(2)] for i in range(100)}
+    seen = {(rng.randrange(50), rng.randrange(100)) for _ in range(600)}
+    frames = [spark.createDataFrame(list(side.items()), "id bigint, factor array<double>") for side in (users, items)]
+    found = recommend.best_unseen(*frames, spark.createDataFrame(sorted(seen), "user bigint, item bigint"), 4)
+    want = []
+    for u, f in users.items():
+        best = sorted((-sum(a * b for a, b in zip(f, g)), i) for i, g in items.items() if (u, i) not in seen)[:4]
+        want += [(u, i, -s, r + 1) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_factors_without_a_number_meet_nothing(spark):
     shape = "id bigint, factor array<double>"
     users = spark.createDataFrame([(1, [1.0, 2.0]), (2, [None, 1.0]), (3, None)], shape)
